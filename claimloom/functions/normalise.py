@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -13,9 +14,10 @@ LINE_SEPARATORS = r"[\u2028\u2029]"
 
 @F.arrow_udf("string")
 def _compatibility_form(text: pa.Array) -> pa.Array:
-    if text.null_count == len(text):
-        return text
-    return pc.utf8_normalize(text, form="NFKC")
+    # Arrow's own utf8_normalize leaves composed letters apart, so it is no help here.
+    return pa.array(
+        [t and unicodedata.normalize("NFKC", t) for t in text.to_pylist()], pa.string()
+    )
 
 
 def normalise(text: Column) -> Column:

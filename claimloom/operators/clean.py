@@ -15,6 +15,7 @@ from claimloom.functions.text import (
     SPACE_CLASS,
     any_of,
     cased,
+    contains_any,
     filled_lines,
     has_email,
     let,
@@ -32,11 +33,34 @@ DIGIT_FORMS = {
     r"\d{1,2}:\d{2}\s*(?:AM|PM)": r"\d:\d{2}\s*(?:AM|PM)",
     r"\d+\.?\d*\s*%": r"\d\.?\s*%",
 }
-PROTECTED = cased(any_of([DIGIT_FORMS.get(p, p) for p in fixed.PROTECTED_PATTERNS]))
+
+
+def _is_word(pattern: str) -> bool:
+    return pattern.startswith(r"\b") and pattern.endswith(r"\b")
+
+
+def word_search(patterns: list[str]) -> str:
+    """One pattern for many ``\\b(one|two)\\b``, branching on the first letter.
+
+    Java tries alternatives one by one; this leaves a handful for each word.
+    """
+    by_letter: dict[str, list[str]] = {}
+    for pattern in patterns:
+        body = pattern[2:-2]
+        for word in body[1:-1].split("|") if body.startswith("(") else [body]:
+            by_letter.setdefault(word[0], []).append(word[1:])
+    branches = "|".join(f"{letter}(?:{'|'.join(rest)})" for letter, rest in by_letter.items())
+    return rf"\b(?=[{''.join(by_letter)}])(?:{branches})\b"
+
+
+PROTECTED_WORDS = cased(word_search([p for p in fixed.PROTECTED_PATTERNS if _is_word(p)]))
+# Every other protected pattern needs a digit.
+PROTECTED_NUMBERS = cased(any_of([DIGIT_FORMS.get(p, p) for p in fixed.PROTECTED_PATTERNS if not _is_word(p)]))
 
 _HEADER_LINE, _FORWARDED, _WROTE, _ADDRESS_TIME, _BRACKETED, _STAMP = fixed.HEADER_PATTERNS
-FOOTER = uncased(any_of(fixed.FOOTER_PATTERNS))
-BOILERPLATE = uncased(any_of(fixed.BOILERPLATE_PATTERNS))
+_MAIL_LINK, _QUOTED, _PAGE_COUNT, _UNSUBSCRIBE, _PREFERENCES = fixed.FOOTER_PATTERNS
+_PHRASES = [p for p in fixed.BOILERPLATE_PATTERNS if ".*" not in p]
+_PHRASE_PATTERNS = [p for p in fixed.BOILERPLATE_PATTERNS if ".*" in p]
 
 TABLE, PROTECTED_TEXT, HEADER, FOOTER_TEXT, DISCLAIMER, BODY = (
     "table", "protected", "header", "footer", "disclaimer", "body",
@@ -125,15 +149,19 @@ def without_disclaimer_blocks(
     markers: list[str] = fixed.BLOCK_MARKERS,
     endings: list[str] = fixed.BLOCK_ENDINGS,
 ) -> Column:
-    """Cut up to ten disclaimer blocks: struct<text, blocks>.
+    """Cut up to ten disclaimer blocks: struct<text, blocks, more>.
 
     Each round takes the first marker in list order that occurs.  The block ends after the
     first ending in list order found behind the marker's start, and on to the end of that
     sentence if it is near; without an ending it reaches to the end of the text.
     """
+    openings = list(dict.fromkeys(m.split(".*?")[0].lower() for m in markers))
     markers = [_marker(m) for m in markers]
-    endings = ["(?idU)" + e for e in endings]
-    present = "|".join(f"(?:{m})" for m in markers)
+    endings = [uncased(e) for e in endings]
+    any_marker = any_of(markers)
+
+    def present(body: Column) -> Column:
+        return contains_any(F.lower(body), openings) & body.rlike(any_marker)
 
     def before(body: Column, marker: str) -> Column:
         return let(F.split(body, marker, 2), lambda parts: F.when(F.size(parts) == 2, parts[0]))
@@ -163,15 +191,21 @@ def without_disclaimer_blocks(
             ),
         )
 
-    def one_round(state: Column, _: Column) -> Column:
-        return F.when(
-            state["text"].rlike(present),
-            F.struct(cut(state["text"]).alias("text"), (state["blocks"] + F.lit(1)).alias("blocks")),
-        ).otherwise(state)
+    def state(body: Column, blocks: Column, more: bool) -> Column:
+        return F.struct(body.alias("text"), blocks.alias("blocks"), F.lit(more).alias("more"))
+
+    def one_round(s: Column, _: Column) -> Column:
+        return (
+            F.when(~s["more"], s)
+            .when(present(s["text"]), state(cut(s["text"]), s["blocks"] + F.lit(1), True))
+            .otherwise(state(s["text"], s["blocks"], False))
+        )
 
-    start = F.struct(text.alias("text"), F.lit(0).cast("bigint").alias("blocks"))
+    none = F.lit(0).cast("bigint")
     rounds = F.sequence(F.lit(1), F.lit(fixed.BLOCK_ROUNDS))
-    return F.when(text.rlike(present), F.aggregate(rounds, start, one_round)).otherwise(start)
+    return F.when(present(text), F.aggregate(rounds, state(text, none, True), one_round)).otherwise(
+        state(text, none, False)
+    )
 
 
 # --- paragraph tests ------------------------------------------------------------------
@@ -196,14 +230,24 @@ def is_table(paragraph: Column) -> Column:
 
 def is_protected(paragraph: Column) -> Column:
     """Business words, amounts, dates or ids outside e-mail addresses."""
-    return without_emails(paragraph).rlike(PROTECTED)
+    return let(
+        without_emails(paragraph),
+        lambda p: p.rlike(PROTECTED_WORDS) | (p.rlike(r"(?U)\d") & p.rlike(PROTECTED_NUMBERS)),
+    )
+
+
+# The tests below look for plain words first, in lower case: that costs little, and only
+# the few paragraphs that hold them go through a pattern.
 
 
 def is_header(paragraph: Column) -> Column:
     """Thread starts, or mostly mail header lines."""
-    # The cheap test for the second half runs first: few paragraphs hold it.
-    thread = paragraph.rlike(uncased(_FORWARDED.replace("-+", "-"))) | (
-        paragraph.rlike(uncased(r"wrote\s*:")) & paragraph.rlike(uncased(_WROTE))
+    thread = let(
+        F.lower(paragraph),
+        lambda low: (
+            F.contains(low, F.lit("forwarded message")) & paragraph.rlike(uncased(_FORWARDED.replace("-+", "-")))
+        )
+        | (F.contains(low, F.lit("wrote")) & low.rlike(cased(r"wrote\s*:")) & paragraph.rlike(uncased(_WROTE))),
     )
 
     def header_line(line: Column) -> Column:
@@ -223,19 +267,31 @@ def is_header(paragraph: Column) -> Column:
 
 def is_footer(paragraph: Column) -> Column:
     """Mail links, hidden quotes, page counts and subscription notes."""
-    return paragraph.rlike(FOOTER)
+    return paragraph.rlike(cased(_PAGE_COUNT)) | let(
+        F.lower(paragraph),
+        lambda low: contains_any(low, ["[quoted text hidden]", _UNSUBSCRIBE, _PREFERENCES])
+        | (F.contains(low, F.lit("mail.google.com")) & paragraph.rlike(uncased(_MAIL_LINK))),
+    )
+
+
+def _words_in(low: Column) -> Column:
+    words = F.array(*[F.lit(w) for w in fixed.DISCLAIMER_KEYWORDS])
+    return F.filter(words, lambda w: F.contains(low, w))
 
 
 def disclaimer_words(paragraph: Column) -> Column:
     """The distinct disclaimer keywords in a paragraph, in list order."""
-    words = F.array(*[F.lit(w) for w in fixed.DISCLAIMER_KEYWORDS])
-    return let(F.lower(paragraph), lambda low: F.filter(words, lambda w: F.contains(low, w)))
+    return let(F.lower(paragraph), _words_in)
 
 
 def is_disclaimer(paragraph: Column) -> Column:
     """Three disclaimer keywords, or one phrase that says it all."""
-    dense = F.size(disclaimer_words(paragraph)) >= fixed.DISCLAIMER_KEYWORD_MINIMUM
-    return dense | paragraph.rlike(BOILERPLATE)
+    return let(
+        F.lower(paragraph),
+        lambda low: (F.size(_words_in(low)) >= fixed.DISCLAIMER_KEYWORD_MINIMUM)
+        | contains_any(low, _PHRASES)
+        | (F.contains(low, F.lit("on behalf of the ")) & paragraph.rlike(uncased(any_of(_PHRASE_PATTERNS)))),
+    )
 
 
 def paragraph_class(paragraph: Column) -> Column:
