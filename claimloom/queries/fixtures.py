@@ -84,7 +84,7 @@ select distinct l_orderkey as doc_id, cast(l_linenumber % 3 + 1 as int) as page,
 
 # Page texts of one document per source folder, with some empty and blank pages.
 PAGE_TEXTS = """
-select cast(doc_id / 5 as bigint) as doc_id, cast(doc_id % 5 + 1 as int) as page,
+select cast(floor(doc_id / 5) as bigint) as doc_id, cast(doc_id % 5 + 1 as int) as page,
   case when doc_id % 7 = 0 then '' when doc_id % 7 = 1 then '  ' else text end as text
 from documents
 """
