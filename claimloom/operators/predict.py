@@ -35,7 +35,9 @@ def predict(inputs: DataFrame, make_predictor: Callable[[], Predictor], keep: bo
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predictor = make_predictor()
         for batch in batches:
-            yield predictor(batch).reindex(columns=names)
+            found = predictor(batch)
+            absent = {name: None for name in names if name not in found.columns}
+            yield found.assign(**absent)[names]
 
     predictions = inputs.select("doc_id", "email_text", "table_data", "xlsx_data").mapInPandas(
         run, PREDICTION_SCHEMA

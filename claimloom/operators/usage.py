@@ -125,7 +125,7 @@ def batch_totals(file_metrics: DataFrame, model: str | None = None) -> DataFrame
     )
 
 
-def stage_summary(stage_log: DataFrame) -> DataFrame:
+def stage_summary(stage_log: DataFrame, digits: int = 1) -> DataFrame:
     """Last duration of each stage and its share of the document's total.
 
     stage_log(doc_id, stage, ts, duration) -> (doc_id, stage, duration, percent).  The
@@ -137,5 +137,5 @@ def stage_summary(stage_log: DataFrame) -> DataFrame:
         "doc_id",
         "stage",
         "duration",
-        F.when(total > 0, rounded(F.col("duration") / total * 100, 1)).otherwise(F.lit(0.0)).alias("percent"),
+        F.when(total > 0, rounded(F.col("duration") / total * 100, digits)).otherwise(F.lit(0.0)).alias("percent"),
     )
