@@ -12,6 +12,7 @@ from claimloom.queries import fixtures as fx
 from claimloom.queries import sql_text as sql
 from claimloom.queries.fixtures import view
 from claimloom.queries.registry import ctes, query
+from claimloom.session import durable
 
 _STATED = """select doc_id, case doc_id % 5 when 0 then 'None' when 1 then 'ACCFGH1234567890;ACCFGH1234567891, short'
   when 2 then concat('ACCFGH1234567890 ACCFGH1234567890', chr(10), chr(9), 'LONGENOUGH') when 3 then '' else substring(text, 1, 400) end as extracted_fsns from documents"""
@@ -92,12 +93,13 @@ SETS = [
     ctes(*field_queries.RESOLVED, *SETS, body="select model_name, row_idx, fsn, match from sets")
 )
 def code_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lookup.code_sets(field_queries.resolved(spark, sf_dir), view(spark, sf_dir, fx.FSN_MAPPING))
+    return lookup.code_sets(durable(field_queries.resolved(spark, sf_dir)), view(spark, sf_dir, fx.FSN_MAPPING))
 
 
 def _coded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    resolved = field_queries.resolved(spark, sf_dir)
-    sets = lookup.code_sets(resolved, view(spark, sf_dir, fx.FSN_MAPPING))
+    # Both are read several times further on.
+    resolved = durable(field_queries.resolved(spark, sf_dir))
+    sets = durable(lookup.code_sets(resolved, view(spark, sf_dir, fx.FSN_MAPPING)))
     return lookup.with_codes(resolved, sets), sets
 
 
@@ -184,7 +186,8 @@ ENRICHED = [
     )
 )
 def enriched_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    enriched = lookup.with_vendor_terms(field_queries.resolved(spark, sf_dir), view(spark, sf_dir, fx.BRAND_MAPPING))
+    resolved = durable(field_queries.resolved(spark, sf_dir))
+    enriched = lookup.with_vendor_terms(resolved, view(spark, sf_dir, fx.BRAND_MAPPING))
     return enriched.select("doc_id", "scheme_type", "scheme_subtype", "vendor_name", "enriched.*")
 
 
@@ -196,7 +199,7 @@ CONFIGS = [*ENRICHED, *field_queries.periods_sql("enriched"),
 
 def _configs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     coded, sets = _coded(spark, sf_dir)
-    enriched = lookup.with_vendor_terms(coded, view(spark, sf_dir, fx.BRAND_MAPPING))
+    enriched = lookup.with_vendor_terms(durable(coded), view(spark, sf_dir, fx.BRAND_MAPPING))
     return config.with_config(config.with_periods(enriched)), sets
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,22 +26,28 @@ def build_session(app_name: str = "claimloom", **options: str) -> SparkSession:
     return builder.getOrCreate()
 
 
+def _shared_folder(spark: SparkSession) -> str:
+    """The folder for intermediate tables, which every executor must reach."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
+        folder = tempfile.mkdtemp(prefix="claimloom-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
 def durable(df: DataFrame) -> DataFrame:
-    """Write a costly result to the shared checkpoint folder and go on from there.
+    """Write a costly result as a table in the shared folder and go on from there.
 
-    It survives lost executors, so nothing above it runs twice.  The folder comes from
-    ``spark.checkpoint.dir``; only a local session without one gets a folder of its own.
+    It survives lost executors, so nothing above it runs twice, and as Parquet its readers
+    load only the columns they need.  The folder comes from ``spark.checkpoint.dir``; only
+    a local session without one gets a folder of its own.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        if folder is None:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder all executors can reach")
-            folder = tempfile.mkdtemp(prefix="claimloom-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint()
+    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def spread(df: DataFrame) -> DataFrame:
