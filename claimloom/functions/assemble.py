@@ -27,6 +27,21 @@ def split_by_size(
     return parts.join(F.broadcast(oversized.select(*keys)), keys, "left_anti"), oversized
 
 
+def _joined(parts: DataFrame, keys: list[str], order: list[str], text: str, separator: str) -> DataFrame:
+    return (
+        parts.groupBy(*keys)
+        .agg(
+            F.count("*").alias("n_parts"),
+            F.sort_array(F.collect_list(F.struct(*order, text))).alias("_parts"),
+        )
+        .select(
+            *keys,
+            F.array_join(F.transform("_parts", lambda p: p[text]), separator).alias("text"),
+            "n_parts",
+        )
+    )
+
+
 def assemble(
     parts: DataFrame,
     keys: list[str],
@@ -34,25 +49,23 @@ def assemble(
     text: str,
     separator: str,
     max_chars: int = CELL_CHARS,
+    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Join the parts of each key in order: keys, ``text``, ``n_parts``.
 
     A key whose text would not fit one cell is not gathered: it gets NULL text here, and
     ``parts`` still holds it whole, row by row.
+
+    ``sized_by`` is a cheaper table that holds at least every part, such as the input of a
+    join that made the parts.  Keys that fit by its sizes need no second look at ``parts``.
     """
-    fitting, oversized = split_by_size(parts, keys, text, max_chars)
-    joined = (
-        fitting.groupBy(*keys)
-        .agg(
-            F.count("*").alias("n_parts"),
-            F.sort_array(F.collect_list(F.struct(*order, text))).alias("_parts"),
-        )
-        .select(
-            *keys,
-            F.array_join(F.transform("_parts", lambda p: p[text]), separator).alias("text"),
-            "n_parts",
+    if sized_by is None:
+        fitting, oversized = split_by_size(parts, keys, text, max_chars)
+        return _joined(fitting, keys, order, text, separator).unionByName(
+            oversized.select(*keys, F.lit(None).cast("string").alias("text"), "n_parts")
         )
-    )
-    return joined.unionByName(
-        oversized.select(*keys, F.lit(None).cast("string").alias("text"), "n_parts")
-    )
+    _, suspects = split_by_size(sized_by, keys, text, max_chars)
+    suspects = F.broadcast(suspects.select(*keys))
+    sure = _joined(parts.join(suspects, keys, "left_anti"), keys, order, text, separator)
+    doubtful = parts.join(suspects, keys, "left_semi")
+    return sure.unionByName(assemble(doubtful, keys, order, text, separator, max_chars))

@@ -52,11 +52,17 @@ def outside_zones(elements: DataFrame, zone_table: DataFrame) -> DataFrame:
     return elements.alias("e").join(distinct_zones.alias("z"), inside, "left_anti")
 
 
-def page_texts(elements: DataFrame, max_chars: int = CELL_CHARS) -> DataFrame:
-    """Text of each page in the order of its elements: pages(doc_id, page, text)."""
-    return assemble(
-        elements.where(F.col("text").isNotNull()), ["doc_id", "page"], ["seq"], "text", " ", max_chars
-    ).select("doc_id", "page", "text")
+def page_texts(elements: DataFrame, zone_table: DataFrame | None = None, max_chars: int = CELL_CHARS) -> DataFrame:
+    """Text of each page in the order of its elements: pages(doc_id, page, text).
+
+    With ``zone_table`` the elements in its zones are left out first.
+    """
+    spoken = elements.where(F.col("text").isNotNull())
+    kept = spoken if zone_table is None else outside_zones(spoken, zone_table)
+    sized_by = None if zone_table is None else spoken
+    return assemble(kept, ["doc_id", "page"], ["seq"], "text", " ", max_chars, sized_by).select(
+        "doc_id", "page", "text"
+    )
 
 
 def _marked(pages: DataFrame, marker: str, filled: Column) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from claimloom import fixed_values as fixed
 from claimloom.functions.assemble import CELL_CHARS, assemble, split_by_size
+from claimloom.functions.text import let
 
 TABLE_KEYS = ["doc_id", "source_page", "table_idx"]
 
@@ -16,58 +17,67 @@ def table_id(page: Column, table_idx: Column) -> Column:
     return F.concat(F.lit("p"), page.cast("string"), F.lit("_t"), (table_idx + 1).cast("string"))
 
 
-def header_names(cells: DataFrame) -> DataFrame:
-    """Column names from the first row of each table.
-
-    A missing header is "col"; the k-th repeat of a name gets the suffix ``_k``.
-    """
+def _headers(cells: DataFrame) -> DataFrame:
+    """Column names of each table; ``last`` marks the last column of a name."""
     base = F.coalesce(F.col("value"), F.lit("col"))
     repeat = W.partitionBy(*TABLE_KEYS, "base_name").orderBy("col_idx")
+    same = W.partitionBy(*TABLE_KEYS, "name").orderBy(F.col("col_idx").desc())
     return (
         cells.where(F.col("row_idx") == 0)
         .select(*TABLE_KEYS, "col_idx", base.alias("base_name"))
+        # One shuffle serves both windows.
+        .repartition(*TABLE_KEYS)
         .withColumn("repeat", F.row_number().over(repeat) - 1)
-        .select(
-            *TABLE_KEYS,
-            "col_idx",
-            F.when(F.col("repeat") == 0, F.col("base_name"))
-            .otherwise(F.concat_ws("_", "base_name", F.col("repeat").cast("string")))
-            .alias("name"),
+        .withColumn(
+            "name",
+            F.when(F.col("repeat") == 0, F.col("base_name")).otherwise(
+                F.concat_ws("_", "base_name", F.col("repeat").cast("string"))
+            ),
         )
+        .withColumn("last", F.row_number().over(same) == 1)
+        .select(*TABLE_KEYS, "col_idx", "name", "last")
     )
 
 
-def table_cells(cells: DataFrame) -> DataFrame:
-    """Data cells under their column names, one row per cell.
+def header_names(cells: DataFrame) -> DataFrame:
+    """Column names from the first row of each table.
 
-    This long form needs no common schema over tables, and no row or table is ever
-    gathered: the header joins on table and column.
+    A missing header is "col"; the k-th repeat of a name gets the suffix ``_k``.
     """
+    return _headers(cells).drop("last")
+
+
+def _named_cells(cells: DataFrame) -> DataFrame:
     body = cells.where(F.col("row_idx") > 0)
-    return body.join(header_names(cells), TABLE_KEYS + ["col_idx"]).select(
-        "doc_id",
-        "source_page",
-        "table_idx",
+    return body.join(_headers(cells), TABLE_KEYS + ["col_idx"]).select(
+        *TABLE_KEYS,
         table_id(F.col("source_page"), F.col("table_idx")).alias("table_id"),
         "row_idx",
         "col_idx",
         "name",
         "value",
+        "last",
     )
 
 
+def table_cells(cells: DataFrame) -> DataFrame:
+    """Data cells under their column names, one row per cell.
+
+    This long form needs no common schema over tables, and no row or table is ever
+    gathered: the header joins on table and column.
+    """
+    return _named_cells(cells).drop("last")
+
+
 def table_rows(cells: DataFrame) -> DataFrame:
     """Data rows as map<column name, value>, keyed by document, page, table and row.
 
     Where a literal header equals a numbered repeat, the later column wins.
     """
-    keys = ["doc_id", "source_page", "table_idx", "table_id", "row_idx"]
-    column = W.partitionBy(*keys, "name").orderBy(F.col("col_idx").desc())
     return (
-        table_cells(cells)
-        .withColumn("_last", F.row_number().over(column))
-        .where("_last = 1")
-        .groupBy(*keys)
+        _named_cells(cells)
+        .where("last")
+        .groupBy(*TABLE_KEYS, "table_id", "row_idx")
         .agg(F.map_from_entries(F.collect_list(F.struct("name", "value"))).alias("cells"))
     )
 
@@ -93,6 +103,19 @@ def table_counts(cells: DataFrame) -> DataFrame:
     )
 
 
+def _column_names(header: Column) -> Column:
+    """The names of ``header_names`` for one header row, array<struct<col_idx, value>>."""
+
+    def name(bases: Column, base: Column, position: Column) -> Column:
+        repeats = F.size(F.filter(F.slice(bases, 1, position), lambda b: b == base))
+        return let(repeats, lambda k: F.when(k == 0, base).otherwise(F.concat_ws("_", base, k.cast("string"))))
+
+    return let(
+        F.transform(header, lambda h: F.coalesce(h["value"], F.lit("col"))),
+        lambda bases: F.transform(bases, lambda base, i: name(bases, base, i)),
+    )
+
+
 def table_texts(cells: DataFrame, max_chars: int = CELL_CHARS) -> DataFrame:
     """All tables of a document as CSV text: docs(doc_id, table_text).
 
@@ -101,42 +124,60 @@ def table_texts(cells: DataFrame, max_chars: int = CELL_CHARS) -> DataFrame:
     text; ``table_cells`` holds it row by row.
     """
     fitting, oversized = split_by_size(cells, ["doc_id"], "value", max_chars)
-    columns = (
-        header_names(fitting)
-        .groupBy("doc_id", "name")
-        .agg(F.min(F.struct("source_page", "table_idx", "col_idx")).alias("first_seen"))
-        .groupBy("doc_id")
-        .agg(F.sort_array(F.collect_list(F.struct("first_seen", "name"))).alias("columns"))
-        .select("doc_id", F.transform("columns", lambda c: c["name"]).alias("columns"))
+    # A document that fits one cell fits one task, so a single shuffle by document serves
+    # rows, tables and documents alike.
+    rows = (
+        fitting.repartition("doc_id")
+        .groupBy(*TABLE_KEYS, "row_idx")
+        .agg(F.sort_array(F.collect_list(F.struct("col_idx", "value"))).alias("cells"))
     )
-    order = ["source_page", "table_idx", "row_idx"]
-    lines = table_rows(fitting).groupBy("doc_id").agg(
-        # Maps cannot be compared, so the rows are sorted by an explicit comparison.
-        F.array_sort(
-            F.collect_list(F.struct(F.struct(*order).alias("at"), "source_page", "table_id", "cells")),
-            lambda a, b: F.when(a["at"] < b["at"], -1).when(a["at"] > b["at"], 1).otherwise(0),
-        ).alias("rows")
+    grids = (
+        rows.groupBy(*TABLE_KEYS)
+        .agg(F.sort_array(F.collect_list(F.struct("row_idx", "cells"))).alias("rows"))
+        .where(F.col("rows")[0]["row_idx"] == 0)
+        .withColumn("header", F.col("rows")[0]["cells"])
+        .withColumn("names", _column_names(F.col("header")))
+        .withColumn("columns", F.transform("header", lambda h: h["col_idx"]))
     )
-    head = F.concat_ws(
-        ",", F.lit("source_page"), F.lit("table_id"), F.array_join(F.transform("columns", csv_cell), ",")
+    documents = (
+        grids.groupBy("doc_id")
+        .agg(F.sort_array(F.collect_list(F.struct("source_page", "table_idx", "names", "columns", "rows"))).alias("tables"))
+        .withColumn("all_names", F.array_distinct(F.flatten(F.transform("tables", lambda t: t["names"]))))
     )
 
-    def line(row: Column) -> Column:
+    def column_of(table: Column, name: Column) -> Column:
+        # The last column of a name counts.
+        back = F.array_position(F.reverse(table["names"]), name)
+        return F.when(back > 0, F.element_at(table["columns"], (F.size(table["names"]) - back + 1).cast("int")))
+
+    def line(table: Column, columns: Column, row: Column) -> Column:
+        def cell(values: Column, column: Column) -> Column:
+            return csv_cell(F.coalesce(F.try_element_at(values, column), F.lit("")))
+
         return F.concat_ws(
             ",",
-            row["source_page"].cast("string"),
-            row["table_id"],
-            F.array_join(
-                F.transform("columns", lambda c: csv_cell(F.coalesce(F.try_element_at(row["cells"], c), F.lit("")))),
-                ",",
+            table["source_page"].cast("string"),
+            table_id(table["source_page"], table["table_idx"]),
+            let(
+                F.map_from_entries(row["cells"]),
+                lambda values: F.array_join(F.transform(columns, lambda c: cell(values, c)), ","),
             ),
         )
 
-    text = F.array_join(F.concat(F.array(head), F.transform(F.coalesce("rows", F.array()), line)), "\n")
-    return (
-        columns.join(lines, "doc_id", "left")
-        .select("doc_id", F.concat(text, F.lit("\n")).alias("table_text"))
-        .unionByName(oversized.select("doc_id", F.lit(None).cast("string").alias("table_text")))
+    def lines(table: Column, names: Column) -> Column:
+        body = F.filter(table["rows"], lambda r: r["row_idx"] > 0)
+        return let(
+            F.transform(names, lambda n: column_of(table, n)),
+            lambda columns: F.transform(body, lambda row: line(table, columns, row)),
+        )
+
+    head = F.concat_ws(",", F.lit("source_page"), F.lit("table_id"), F.array_join(F.transform("all_names", csv_cell), ","))
+    body = let(
+        F.col("all_names"), lambda names: F.flatten(F.transform("tables", lambda t: lines(t, names)))
+    )
+    text = F.concat(F.array_join(F.concat(F.array(head), body), "\n"), F.lit("\n"))
+    return documents.select("doc_id", text.alias("table_text")).unionByName(
+        oversized.select("doc_id", F.lit(None).cast("string").alias("table_text"))
     )
 
 

@@ -48,8 +48,7 @@ def page_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept = layout.outside_zones(view(spark, sf_dir, fx.ELEMENTS), view(spark, sf_dir, fx.ZONES))
-    return layout.page_texts(kept)
+    return layout.page_texts(view(spark, sf_dir, fx.ELEMENTS), view(spark, sf_dir, fx.ZONES))
 
 
 def _document_sql(marker: str, filled: str) -> str:
