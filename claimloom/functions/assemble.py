@@ -10,38 +10,33 @@ CELL_CHARS = 256 * 1024 * 1024
 
 
 def split_by_size(
-    parts: DataFrame, keys: list[str], text: str, max_chars: int = CELL_CHARS
+    parts: DataFrame,
+    keys: list[str],
+    text: str,
+    max_chars: int = CELL_CHARS,
+    sized_by: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Parts of the keys whose text fits one cell, and the keys that are too large.
 
     Returns (fitting parts, oversized(keys, n_parts, n_chars)).  The sizes are counts added
     up before the shuffle, so a hot key is found without being gathered.  There can be no
     more oversized keys than total size / ``max_chars``: that bounds the broadcast.
+
+    ``sized_by`` is a cheaper table with the same columns that holds at least every part,
+    such as the input of the join that made them; sizes then are those before the join.
     """
     chars = F.coalesce(F.length(text).cast("bigint"), F.lit(0)) + F.lit(1)
     oversized = (
-        parts.groupBy(*keys)
+        (parts if sized_by is None else sized_by)
+        # Said outright, so that both uses of the sizes share one shuffle.
+        .dropna(subset=keys)
+        .groupBy(*keys)
         .agg(F.count("*").alias("n_parts"), F.sum(chars).alias("n_chars"))
         .where(F.col("n_chars") > max_chars)
     )
     return parts.join(F.broadcast(oversized.select(*keys)), keys, "left_anti"), oversized
 
 
-def _joined(parts: DataFrame, keys: list[str], order: list[str], text: str, separator: str) -> DataFrame:
-    return (
-        parts.groupBy(*keys)
-        .agg(
-            F.count("*").alias("n_parts"),
-            F.sort_array(F.collect_list(F.struct(*order, text))).alias("_parts"),
-        )
-        .select(
-            *keys,
-            F.array_join(F.transform("_parts", lambda p: p[text]), separator).alias("text"),
-            "n_parts",
-        )
-    )
-
-
 def assemble(
     parts: DataFrame,
     keys: list[str],
@@ -54,18 +49,21 @@ def assemble(
     """Join the parts of each key in order: keys, ``text``, ``n_parts``.
 
     A key whose text would not fit one cell is not gathered: it gets NULL text here, and
-    ``parts`` still holds it whole, row by row.
-
-    ``sized_by`` is a cheaper table that holds at least every part, such as the input of a
-    join that made the parts.  Keys that fit by its sizes need no second look at ``parts``.
+    ``parts`` still holds it whole, row by row.  ``sized_by``: see ``split_by_size``.
     """
-    if sized_by is None:
-        fitting, oversized = split_by_size(parts, keys, text, max_chars)
-        return _joined(fitting, keys, order, text, separator).unionByName(
-            oversized.select(*keys, F.lit(None).cast("string").alias("text"), "n_parts")
+    fitting, oversized = split_by_size(parts, keys, text, max_chars, sized_by)
+    joined = (
+        fitting.groupBy(*keys)
+        .agg(
+            F.count("*").alias("n_parts"),
+            F.sort_array(F.collect_list(F.struct(*order, text))).alias("_parts"),
         )
-    _, suspects = split_by_size(sized_by, keys, text, max_chars)
-    suspects = F.broadcast(suspects.select(*keys))
-    sure = _joined(parts.join(suspects, keys, "left_anti"), keys, order, text, separator)
-    doubtful = parts.join(suspects, keys, "left_semi")
-    return sure.unionByName(assemble(doubtful, keys, order, text, separator, max_chars))
+        .select(
+            *keys,
+            F.array_join(F.transform("_parts", lambda p: p[text]), separator).alias("text"),
+            "n_parts",
+        )
+    )
+    return joined.unionByName(
+        oversized.select(*keys, F.lit(None).cast("string").alias("text"), "n_parts")
+    )

@@ -7,12 +7,13 @@ import unicodedata
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 CONTROL_OR_INVISIBLE = r"[\x00-\x08\x0B\x0C\x0E-\x1F\x7F\u200B-\u200D\uFEFF\u00AD]"
 LINE_SEPARATORS = r"[\u2028\u2029]"
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _compatibility_form(text: pa.Array) -> pa.Array:
     # Arrow's own utf8_normalize leaves composed letters apart, so it is no help here.
     return pa.array(
