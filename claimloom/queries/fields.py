@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -238,23 +237,6 @@ def output_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- predictor boundary ---------------------------------------------------------------
 
 
-def _sample_predictor():
-    """A small rule-based predictor, opened once per task."""
-
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        mail = batch["email_text"].str.lower()
-        return pd.DataFrame(
-            {
-                "doc_id": batch["doc_id"],
-                "scheme_type": mail.str.contains("price drop", regex=False).map({True: "PDC", False: "SELL_SIDE"}),
-                "vendor_name": mail.str.extract(r"from: (\w+)", expand=False),
-                "scheme_name": batch["table_data"].str.slice(0, 20),
-            }
-        )
-
-    return run
-
-
 @query(
     ctes(
         ("mails", fx.MAILS),
@@ -263,13 +245,26 @@ def _sample_predictor():
     )
 )
 def predicted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def make_predictor():
+        """A small rule-based predictor, opened once per task."""
+
+        def run(batch):
+            mail = batch["email_text"].str.lower()
+            return batch[["doc_id"]].assign(
+                scheme_type=mail.str.contains("price drop", regex=False).map({True: "PDC", False: "SELL_SIDE"}),
+                vendor_name=mail.str.extract(r"from: (\w+)", expand=False),
+                scheme_name=batch["table_data"].str.slice(0, 20),
+            )
+
+        return run
+
     inputs = view(spark, sf_dir, fx.MAILS).select(
         "doc_id",
         F.col("raw_text").alias("email_text"),
         F.lit(fixed.NO_TABLE_DATA).alias("table_data"),
         F.lit(fixed.NO_XLSX_DATA).alias("xlsx_data"),
     )
-    return predict.predict(inputs, _sample_predictor, keep=False).select(
+    return predict.predict(inputs, make_predictor, keep=False).select(
         "doc_id", "scheme_type", "vendor_name", "scheme_name"
     )
 

@@ -1,0 +1,121 @@
+import pytest
+from pyspark.sql import functions as F
+
+from claimloom import fixed_values as fixed
+from claimloom.functions.numbers import rounded
+from claimloom.operators import evaluate, usage
+
+
+def test_message_usage(spark):
+    rows = [
+        (1, 0, "system", "x" * 9), (1, 1, "assistant", "y" * 50), (1, 2, "user", "z" * 3), (1, 3, "assistant", "o" * 7),
+        (2, 0, "user", "abc"), (3, 0, "assistant", "abcd"), (4, 0, "user", None),
+    ]
+    df = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
+    got = {r.conv_id: (r.input_tokens, r.output_tokens, r.total_chars) for r in usage.message_usage(df).collect()}
+    assert got == {1: (15, 1, 69), 2: (0, 0, 3), 3: (0, 1, 4), 4: (0, 0, 0)}
+
+
+@pytest.mark.parametrize("model, priced", [
+    ("openai/gpt-4o-mini", "openai/gpt-4o-mini"), ("openrouter/qwen/qwen3-32b", "openrouter/qwen/qwen3-32b"),
+    ("openrouter/anthropic/claude-3-opus", "anthropic/claude-3-opus"), ("openai/gpt-4o-mini-2024", "openai/gpt-4o"),
+    ("x/google/gemini-flash-1.5:free", "google/gemini-flash-1.5"), ("new", "openai/gpt-4o"),
+    # Without its provider the name is listed nowhere.
+    ("openai/mistralai/mistral-large", "mistralai/mistral-large"),
+])
+def test_prices(spark, model, priced):
+    row = usage.with_prices(spark.createDataFrame([(model,)], "model string")).first()
+    assert (row.in_price, row.out_price) == fixed.PRICES[priced]
+
+
+def test_sample_cost(spark):
+    df = spark.createDataFrame([("openai/gpt-4o", 2345, 987)], "model string, input_tokens bigint, output_tokens bigint")
+    row = usage.with_cost(df).first()
+    assert row.total_tokens == 3332 and round(row.cost, 4) == 0.0157
+
+
+def test_estimates_only_without_measurement(spark):
+    df = spark.createDataFrame([("x" * 9, "y" * 8, 0, 5), ("x" * 9, "y", 3, 5), ("x" * 9, None, None, None)], "p string, r string, input_tokens bigint, output_tokens bigint")
+    got = [(r.input_tokens, r.output_tokens) for r in usage.measured_or_estimated(df, "p", "r").collect()]
+    assert got == [(2, 2), (3, 5), (2, 0)]
+
+
+def test_batch_totals(spark):
+    df = spark.createDataFrame(
+        [(1, "success", 10, 5, 0.5), (2, "failed", None, None, None), (3, "context_generated", 0, 0, 0.0)],
+        "doc_id bigint, status string, input_tokens bigint, output_tokens bigint, cost double",
+    )
+    row = usage.batch_totals(df, "m").first().asDict()
+    assert row == {
+        "total_files": 3, "successful": 2, "failed": 1, "total_input_tokens": 10, "total_output_tokens": 5, "total_tokens": 15,
+        "total_cost_usd": 0.5, "average_tokens_per_file": 7.5, "average_cost_per_file": 0.25, "model": "m",
+    }
+    empty = usage.batch_totals(df.limit(0)).first()
+    assert (empty.total_files, empty.average_tokens_per_file, empty.total_cost_usd) == (0, 0.0, 0.0)
+
+
+def test_stage_summary(spark):
+    df = spark.createDataFrame([(1, "a", 1, 9.0), (1, "a", 2, 1.0), (1, "b", 1, 3.0), (2, "a", 1, 0.0)], "doc_id bigint, stage string, ts int, duration double")
+    got = {(r.doc_id, r.stage): (r.duration, r.percent) for r in usage.stage_summary(df).collect()}
+    assert got == {(1, "a"): (1.0, 25.0), (1, "b"): (3.0, 75.0), (2, "a"): (0.0, 0.0)}
+
+
+@pytest.mark.parametrize("digits", [0, 1, 2, 4])
+def test_rounding_as_python(spark, digits):
+    values = [12.345, 2.675, 0.5, 1.5, 2.5, 0.125, 1234567.00005, -12.345, 0.0, 99.995, 1 / 3]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    assert [r[0] for r in df.select(rounded(F.col("v"), digits)).collect()] == [float(round(v, digits)) for v in values]
+
+
+def test_label_fields(spark):
+    labels = {
+        "Vendor": "vendor_name", "GST Ratet": "gst_rate", "Any Slab with End Date": "discount_slab_type", "max cap": "max_cap",
+        "my config": "fsn_file_config_file", "Remove the GST": "remove_gst_from_final_claim", "gst": "gst", "Odd Key": "odd_key", "BEST_BET": "best_bet",
+    }
+    df = spark.createDataFrame([(k,) for k in labels], "k string")
+    assert {r[0]: r[1] for r in df.select("k", evaluate.field_of_label(F.col("k"))).collect()} == labels
+
+
+def test_later_label_counts(spark):
+    df = spark.sql("select map('Vendor', 'a', 'x', 'y', 'Vendor Name', 'b') as m")
+    assert df.select(evaluate.mapped_labels(F.col("m"))).first()[0] == {"x": "y", "vendor_name": "b"}
+
+
+def test_normalisers(spark):
+    def one(function, value):
+        return spark.createDataFrame([(value,)], "v string").select(function(F.col("v"))).first()[0]
+
+    assert one(evaluate.standard_type, " bs ") == "BUY_SIDE" and one(evaluate.standard_type, "New") == "new"
+    assert one(evaluate.standard_subtype, "price match") == "PUC" and one(evaluate.standard_subtype, "pc") == "PERIODIC_CLAIM"
+    assert one(evaluate.or_not_applicable, "No") == "not applicable" and one(evaluate.or_not_applicable, " 5 ") == "5"
+    assert one(evaluate.standard_duration, "2024-01-01 - 2024-02-01") == "2024 to 01 to 01 to 2024 to 02 to 01"
+    assert one(evaluate.plain, None) == "" and one(evaluate.evaluation_date, "") == "n/a"
+
+
+def test_scores(spark):
+    gold = spark.createDataFrame(
+        [(1, "BS", "pc", "1/2/2024 - 2/2/2024", "x", "2024-02-01")], "example_id bigint, scheme_type string, scheme_subtype string, duration string, vendor_name string, start_date string"
+    )
+    same = spark.createDataFrame(
+        [(1, "buy side", "BS-PC", "1/2/2024 to 2/2/2024", "X ", "01/02/2024", "name")],
+        "doc_id bigint, scheme_type string, scheme_subtype string, duration string, vendor_name string, start_date string, scheme_name string",
+    )
+    pairs = evaluate.compared(same, gold)
+    # Only the description is missing.
+    assert evaluate.scores(pairs).first().score == 15.5 / 16
+    (row,) = evaluate.mismatch_report(pairs).collect()
+    assert row.perfect_match and row.field is None
+    other = same.withColumn("vendor_name", F.lit("y")).withColumn("scheme_type", F.lit("SS"))
+    report = evaluate.mismatch_report(evaluate.compared(other, gold)).collect()
+    assert {r.field: (r.expected, r.actual) for r in report} == {"scheme_type": ("BUY_SIDE", "SELL_SIDE"), "vendor_name": ("x", "y")}
+    assert report[0].score == 11.5 / 16
+
+
+def test_weights_add_up():
+    total = sum(evaluate._weights().values()) + fixed.FREE_TEXT_WEIGHT * len(fixed.FREE_TEXT_FIELDS)
+    assert total == fixed.TOTAL_WEIGHT
+
+
+def test_no_examples(spark):
+    scores = spark.createDataFrame([], "example_id bigint, score double")
+    assert tuple(evaluate.dataset_score(scores).first()) == (0, None)
