@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # One cell of text.  Far above any document, and well inside what a row can hold.
-CELL_CHARS = 256 * 1024 * 1024
+CELL_CHARS = 64 * 1024 * 1024
 
 
 def split_by_size(
@@ -14,22 +14,17 @@ def split_by_size(
     keys: list[str],
     text: str,
     max_chars: int = CELL_CHARS,
-    sized_by: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Parts of the keys whose text fits one cell, and the keys that are too large.
 
     Returns (fitting parts, oversized(keys, n_parts, n_chars)).  The sizes are counts added
     up before the shuffle, so a hot key is found without being gathered.  There can be no
     more oversized keys than total size / ``max_chars``: that bounds the broadcast.
-
-    ``sized_by`` is a cheaper table with the same columns that holds at least every part,
-    such as the input of the join that made them; sizes then are those before the join.
     """
     chars = F.coalesce(F.length(text).cast("bigint"), F.lit(0)) + F.lit(1)
     oversized = (
-        (parts if sized_by is None else sized_by)
         # Said outright, so that both uses of the sizes share one shuffle.
-        .dropna(subset=keys)
+        parts.dropna(subset=keys)
         .groupBy(*keys)
         .agg(F.count("*").alias("n_parts"), F.sum(chars).alias("n_chars"))
         .where(F.col("n_chars") > max_chars)
@@ -44,15 +39,19 @@ def assemble(
     text: str,
     separator: str,
     max_chars: int = CELL_CHARS,
-    sized_by: DataFrame | None = None,
 ) -> DataFrame:
     """Join the parts of each key in order: keys, ``text``, ``n_parts``.
 
     A key whose text would not fit one cell is not gathered: it gets NULL text here, and
-    ``parts`` still holds it whole, row by row.  ``sized_by``: see ``split_by_size``.
+    ``parts`` still holds it whole, row by row.
     """
-    fitting, oversized = split_by_size(parts, keys, text, max_chars, sized_by)
-    joined = (
+    fitting, oversized = split_by_size(parts, keys, text, max_chars)
+    return joined_parts(fitting, keys, order, text, separator).unionByName(without_text(oversized, keys))
+
+
+def joined_parts(fitting: DataFrame, keys: list[str], order: list[str], text: str, separator: str) -> DataFrame:
+    """``assemble`` for parts known to fit."""
+    return (
         fitting.groupBy(*keys)
         .agg(
             F.count("*").alias("n_parts"),
@@ -64,6 +63,7 @@ def assemble(
             "n_parts",
         )
     )
-    return joined.unionByName(
-        oversized.select(*keys, F.lit(None).cast("string").alias("text"), "n_parts")
-    )
+
+
+def without_text(oversized: DataFrame, keys: list[str]) -> DataFrame:
+    return oversized.select(*keys, F.lit(None).cast("string").alias("text"), "n_parts")

@@ -81,23 +81,34 @@ RULES = {
 }
 
 
-def override_rule(mail: Column, vendor: Column) -> Column:
-    """Name of the first override rule that applies, NULL if none does."""
+def mail_signals(mail: Column) -> Column:
+    """What a mail's words say about its scheme: struct of one boolean per rule.
+
+    Taken while the text is at hand, so that the rules do not need it again.
+    """
 
-    def first_rule(low: Column) -> Column:
-        return (
-            F.when(low.rlike(uncased(any_of(fixed.BUY_SIDE_PATTERNS))), "buy_side")
-            .when(
-                contains_any(F.lower(F.coalesce(vendor, F.lit(""))), fixed.LIFESTYLE_VENDORS)
-                | contains_any(low, fixed.LIFESTYLE_WORDS),
-                "lifestyle",
-            )
-            .when(contains_any(low, fixed.ONE_OFF_WORDS), "one_off")
-            .when(contains_any(low, fixed.PRICE_DROP_WORDS), "price_drop")
-            .when(contains_any(low, fixed.EXCHANGE_WORDS), "exchange")
+    def signals(low: Column) -> Column:
+        return F.struct(
+            low.rlike(uncased(any_of(fixed.BUY_SIDE_PATTERNS))).alias("buy_side"),
+            contains_any(low, fixed.LIFESTYLE_WORDS).alias("lifestyle"),
+            contains_any(low, fixed.ONE_OFF_WORDS).alias("one_off"),
+            contains_any(low, fixed.PRICE_DROP_WORDS).alias("price_drop"),
+            contains_any(low, fixed.EXCHANGE_WORDS).alias("exchange"),
         )
 
-    return let(F.lower(F.coalesce(mail, F.lit(""))), first_rule)
+    return let(F.lower(F.coalesce(mail, F.lit(""))), signals)
+
+
+def override_rule(signals: Column, vendor: Column) -> Column:
+    """Name of the first override rule that applies, NULL if none does."""
+    lifestyle_vendor = contains_any(F.lower(F.coalesce(vendor, F.lit(""))), fixed.LIFESTYLE_VENDORS)
+    return (
+        F.when(signals["buy_side"], "buy_side")
+        .when(lifestyle_vendor | signals["lifestyle"], "lifestyle")
+        .when(signals["one_off"], "one_off")
+        .when(signals["price_drop"], "price_drop")
+        .when(signals["exchange"], "exchange")
+    )
 
 
 def _by_rule(rule: Column, values: dict[str, str], otherwise: Column) -> Column:
@@ -107,10 +118,10 @@ def _by_rule(rule: Column, values: dict[str, str], otherwise: Column) -> Column:
     return picked.otherwise(otherwise)
 
 
-def with_overrides(fields: DataFrame, mail: str = "email_text") -> DataFrame:
+def with_overrides(fields: DataFrame, signals: str = "signals") -> DataFrame:
     """Force the pair where the mail or the vendor says what it is; adds ``override_rule``."""
     rule = F.col("override_rule")
-    return fields.withColumn("override_rule", override_rule(F.col(mail), F.col("vendor_name"))).withColumns(
+    return fields.withColumn("override_rule", override_rule(F.col(signals), F.col("vendor_name"))).withColumns(
         {
             "scheme_type": _by_rule(rule, {r: p[0] for r, p in RULES.items()}, F.col("scheme_type")),
             "scheme_subtype": _by_rule(rule, {r: p[1] for r, p in RULES.items()}, F.col("scheme_subtype")),
@@ -140,8 +151,8 @@ def with_valid_pair(fields: DataFrame) -> DataFrame:
     ).drop("_subtype")
 
 
-def resolve_fields(predictions: DataFrame, mail: str = "email_text") -> DataFrame:
-    """All corrections in their order.
+def resolve_fields(predictions: DataFrame, signals: str = "signals") -> DataFrame:
+    """All corrections in their order, over predictions with their ``mail_signals``.
 
     ``stated_type`` and ``stated_subtype`` keep the pair as it was before the overrides,
     which is what confidence is judged by.
@@ -149,7 +160,7 @@ def resolve_fields(predictions: DataFrame, mail: str = "email_text") -> DataFram
     stated = with_fixed_terms(with_defaults(predictions)).withColumns(
         {"stated_type": F.col("scheme_type"), "stated_subtype": F.col("scheme_subtype")}
     )
-    overridden = with_overrides(stated, mail).withColumns(
+    overridden = with_overrides(stated, signals).withColumns(
         {"traced_type": F.col("scheme_type"), "traced_subtype": F.col("scheme_subtype")}
     )
     return with_valid_pair(overridden)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom import fixed_values as fixed
-from claimloom.functions.assemble import CELL_CHARS, assemble
+from claimloom.functions.assemble import CELL_CHARS, assemble, joined_parts, split_by_size, without_text
 from claimloom.functions.text import strip
 
 
@@ -55,13 +55,18 @@ def outside_zones(elements: DataFrame, zone_table: DataFrame) -> DataFrame:
 def page_texts(elements: DataFrame, zone_table: DataFrame | None = None, max_chars: int = CELL_CHARS) -> DataFrame:
     """Text of each page in the order of its elements: pages(doc_id, page, text).
 
-    With ``zone_table`` the elements in its zones are left out first.
+    With ``zone_table`` the elements in its zones are left out.  Pages are sized before
+    that, on the plain elements, so one too large to gather does not reach the join; its
+    text is NULL and ``outside_zones`` lists its elements.
     """
+    keys = ["doc_id", "page"]
     spoken = elements.where(F.col("text").isNotNull())
-    kept = spoken if zone_table is None else outside_zones(spoken, zone_table)
-    sized_by = None if zone_table is None else spoken
-    return assemble(kept, ["doc_id", "page"], ["seq"], "text", " ", max_chars, sized_by).select(
-        "doc_id", "page", "text"
+    fitting, oversized = split_by_size(spoken, keys, "text", max_chars)
+    kept = fitting if zone_table is None else outside_zones(fitting, zone_table)
+    return (
+        joined_parts(kept, keys, ["seq"], "text", " ")
+        .unionByName(without_text(oversized, keys))
+        .select("doc_id", "page", "text")
     )
 
 

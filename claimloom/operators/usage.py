@@ -74,17 +74,20 @@ def with_cost(df: DataFrame, model: str = "model") -> DataFrame:
     )
 
 
-def measured_or_estimated(df: DataFrame, prompt: str, response: str) -> DataFrame:
-    """Fill input_tokens and output_tokens from the texts where no input was measured."""
+def measured_or_estimated(df: DataFrame, prompt_chars: str, response_chars: str) -> DataFrame:
+    """Fill input_tokens and output_tokens from text lengths where no input was measured.
+
+    Lengths, and not the texts, are what has to be brought together for this.
+    """
     measured = F.coalesce(F.col("input_tokens"), F.lit(0)) > 0
 
-    def estimate(text: str) -> Column:
-        return tokens(F.coalesce(F.length(text).cast("bigint"), F.lit(0)))
+    def estimate(chars: str) -> Column:
+        return tokens(F.coalesce(F.col(chars).cast("bigint"), F.lit(0)))
 
     return df.withColumn("_measured", measured).withColumns(
         {
-            "input_tokens": F.when(F.col("_measured"), F.col("input_tokens")).otherwise(estimate(prompt)),
-            "output_tokens": F.when(F.col("_measured"), F.col("output_tokens")).otherwise(estimate(response)),
+            "input_tokens": F.when(F.col("_measured"), F.col("input_tokens")).otherwise(estimate(prompt_chars)),
+            "output_tokens": F.when(F.col("_measured"), F.col("output_tokens")).otherwise(estimate(response_chars)),
         }
     ).drop("_measured")
 

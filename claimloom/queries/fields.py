@@ -28,8 +28,8 @@ def predictions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mails = view(spark, sf_dir, fx.MAILS).select("doc_id", F.col("raw_text").alias("email_text"))
-    return fields.resolve_fields(predictions(spark, sf_dir).join(mails, "doc_id")).drop("email_text")
+    mails = view(spark, sf_dir, fx.MAILS).select("doc_id", fields.mail_signals(F.col("raw_text")).alias("signals"))
+    return fields.resolve_fields(predictions(spark, sf_dir).join(mails, "doc_id"))
 
 
 # --- the same in SQL ------------------------------------------------------------------
@@ -241,7 +241,7 @@ def output_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     ctes(
         ("mails", fx.MAILS),
         body="""select doc_id, case when contains(lower(raw_text), 'price drop') then 'PDC' else 'SELL_SIDE' end as scheme_type,
-          regexp_extract(lower(raw_text), 'from: (\\w+)', 1) as vendor_name, 'No table data availa' as scheme_name from mails""",
+          regexp_extract(lower(raw_text), 'from: (\\w+)', 1) as vendor_name, 'NO TABLE DATA AVAILABLE' as scheme_name from mails""",
     )
 )
 def predicted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -253,7 +253,7 @@ def predicted_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
             return batch[["doc_id"]].assign(
                 scheme_type=mail.str.contains("price drop", regex=False).map({True: "PDC", False: "SELL_SIDE"}),
                 vendor_name=mail.str.extract(r"from: (\w+)", expand=False),
-                scheme_name=batch["table_data"].str.slice(0, 20),
+                scheme_name=batch["table_data"].str.upper(),
             )
 
         return run

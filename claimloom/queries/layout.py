@@ -71,8 +71,8 @@ def recognised_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Extracted texts long, short, failed and absent against recognised ones.
-_PRIMARY = """select doc_id, case doc_id % 5 when 0 then text when 1 then concat(' ', substring(text, 1, 20), ' ') when 2 then null else text end as raw_text, doc_id % 3 + 1 as num_pages from documents where doc_id % 7 <> 6"""
-_RECOGNISED = """select doc_id, case when doc_id % 4 = 0 then null when doc_id % 4 = 1 then '' else concat('seen ', text) end as raw_text, doc_id % 3 + 2 as num_pages from documents where doc_id % 6 <> 5"""
+_PRIMARY = """select doc_id, case doc_id % 5 when 0 then text when 1 then concat(' ', substring(text, 1, 20), ' ') when 2 then null else text end as raw_text, doc_id % 3 + 1 as num_pages from documents"""
+_RECOGNISED = """select doc_id, case when doc_id % 4 = 0 then null when doc_id % 4 = 1 then '' else concat('seen ', text) end as raw_text, doc_id % 3 + 2 as num_pages from documents"""
 
 
 @query(
@@ -181,19 +181,20 @@ def consolidated_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidate(view(spark, sf_dir, fx.CELLS), documents)
 
 
-_FIRST_SOURCE = f"select * from ({fx.CELLS}) t where doc_id % 3 <> 0"
+# Another extractor that found a table in every order, also in those without lines.
+_SECOND_SOURCE = """select o_orderkey as doc_id, 1 as source_page, 0 as table_idx, 0 as row_idx, 0 as col_idx, 'status' as value from orders
+  union all select o_orderkey, 1, 0, 1, 0, o_orderstatus from orders"""
 
 
 @query(
     ctes(
-        ("cells", fx.CELLS),
-        body="""select doc_id, source_page, table_idx, row_idx, col_idx, value from cells where doc_id % 3 <> 0
-          union all select doc_id, source_page, table_idx, row_idx, col_idx, 'seen ' || value from cells where doc_id % 3 = 0""",
+        ("cells", fx.CELLS), ("second", _SECOND_SOURCE),
+        body="""select doc_id, source_page, table_idx, row_idx, col_idx, value from cells
+          union all select * from second where doc_id not in (select doc_id from cells)""",
     )
 )
 def table_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    second = view(spark, sf_dir, fx.CELLS).withColumn("value", F.concat(F.lit("seen "), "value"))
-    return tables.with_table_fallback(view(spark, sf_dir, _FIRST_SOURCE), second)
+    return tables.with_table_fallback(view(spark, sf_dir, fx.CELLS), view(spark, sf_dir, _SECOND_SOURCE))
 
 
 # --- sheets and context ---------------------------------------------------------------

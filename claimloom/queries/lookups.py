@@ -15,7 +15,7 @@ from claimloom.queries.registry import ctes, query
 from claimloom.session import durable
 
 _STATED = """select doc_id, case doc_id % 5 when 0 then 'None' when 1 then 'ACCFGH1234567890;ACCFGH1234567891, short'
-  when 2 then concat('ACCFGH1234567890 ACCFGH1234567890', chr(10), chr(9), 'LONGENOUGH') when 3 then '' else substring(text, 1, 400) end as extracted_fsns from documents"""
+  when 2 then concat('ACCFGH1234567890 ACCFGH1234567890', chr(10), chr(9), 'LONGENOUGH') when 3 then '' else text end as extracted_fsns from documents"""
 
 
 @query(
@@ -57,7 +57,7 @@ def partial_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Short, long, rare and absent needles over all texts of the benchmark and the parts.
-_NEEDLES = "select distinct lower(substring(p_name, p_partkey % 4 + 1, p_partkey % 7 + 1)) as needle from part where p_partkey % 3 = 0 and length(substring(p_name, p_partkey % 4 + 1, p_partkey % 7 + 1)) > 0 union select 'zzz'"
+_NEEDLES = "select distinct lower(substring(p_name, p_partkey % 4 + 1, p_partkey % 7 + 1)) as needle from part where length(substring(p_name, p_partkey % 4 + 1, p_partkey % 7 + 1)) > 0 union select 'zzz'"
 _TEXTS = "select distinct lower(text) as text from benchmark"
 
 

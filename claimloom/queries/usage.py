@@ -82,8 +82,8 @@ _MEASURED = """select doc_id, text as prompt, source as response,
     )
 )
 def estimated_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    given = view(spark, sf_dir, _MEASURED)
-    return usage.measured_or_estimated(given, "prompt", "response").select("doc_id", "input_tokens", "output_tokens")
+    given = view(spark, sf_dir, _MEASURED).withColumns({"p": F.length("prompt"), "r": F.length("response")})
+    return usage.measured_or_estimated(given, "p", "r").select("doc_id", "input_tokens", "output_tokens")
 
 
 def _totals(source: str) -> str:

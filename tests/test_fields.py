@@ -24,7 +24,8 @@ def resolve(spark, rows, mails=None):
     texts = spark.createDataFrame(
         [(i, m) for i, m in enumerate(mails or [""] * len(rows))], "doc_id bigint, email_text string"
     )
-    return fields.resolve_fields(given.join(texts, "doc_id"))
+    signals = texts.select("doc_id", fields.mail_signals(F.col("email_text")).alias("signals"))
+    return fields.resolve_fields(given.join(signals, "doc_id"))
 
 
 def pairs(df):

@@ -35,7 +35,7 @@ def test_sample_cost(spark):
 
 
 def test_estimates_only_without_measurement(spark):
-    df = spark.createDataFrame([("x" * 9, "y" * 8, 0, 5), ("x" * 9, "y", 3, 5), ("x" * 9, None, None, None)], "p string, r string, input_tokens bigint, output_tokens bigint")
+    df = spark.createDataFrame([(9, 8, 0, 5), (9, 1, 3, 5), (9, None, None, None)], "p int, r int, input_tokens bigint, output_tokens bigint")
     got = [(r.input_tokens, r.output_tokens) for r in usage.measured_or_estimated(df, "p", "r").collect()]
     assert got == [(2, 2), (3, 5), (2, 0)]
 
