@@ -144,8 +144,7 @@ def _weights() -> dict[str, float]:
     return weights
 
 
-def scores(pairs: DataFrame) -> DataFrame:
-    """(example_id, score): weighted share of matching fields over ``compared``."""
+def _score() -> Column:
     points = F.lit(0.0)
     for field, weight in _weights().items():
         points = points + F.when(F.col(f"expected_{field}") == F.col(f"actual_{field}"), weight).otherwise(0.0)
@@ -153,7 +152,12 @@ def scores(pairs: DataFrame) -> DataFrame:
         points = points + F.when(
             F.col(f"length_{field}") > fixed.FREE_TEXT_LENGTH, fixed.FREE_TEXT_WEIGHT
         ).otherwise(0.0)
-    return pairs.select("example_id", (points / fixed.TOTAL_WEIGHT).alias("score"))
+    return points / fixed.TOTAL_WEIGHT
+
+
+def scores(pairs: DataFrame) -> DataFrame:
+    """(example_id, score): weighted share of matching fields over ``compared``."""
+    return pairs.select("example_id", _score().alias("score"))
 
 
 def dataset_score(example_scores: DataFrame) -> DataFrame:
@@ -167,8 +171,7 @@ def mismatch_report(pairs: DataFrame, examples: int = fixed.REPORTED_EXAMPLES) -
     A perfect example has one row with NULL field.  Only as many rows as there are
     reported examples leave the top-k step.
     """
-    first = pairs.orderBy("example_id").limit(examples)
-    judged = first.join(scores(first), "example_id")
+    judged = pairs.orderBy("example_id").limit(examples).withColumn("score", _score())
     differences = F.filter(
         F.array(
             *[

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom import fixed_values as fixed
+from claimloom.functions.keys import own_key
 from claimloom.functions.text import collapse, strip
 
 GRAM = 3
@@ -139,11 +140,7 @@ def with_codes(fields: DataFrame, sets: DataFrame) -> DataFrame:
         F.count("*").alias("_found"), F.first("match").alias("_match")
     ).withColumnRenamed("model_name", "_key")
     stated = F.size("stated_fsns")
-    # Documents without a lookup get a key of their own that matches nothing, so they do
-    # not all meet in one task.
-    key = F.when((stated == 0) & wants_lookup(F.col("model_name")), F.col("model_name")).otherwise(
-        F.concat(F.lit("\x00"), F.col("doc_id").cast("string"))
-    )
+    key = own_key((stated == 0) & wants_lookup(F.col("model_name")), F.col("model_name"), F.col("doc_id"))
     return (
         fields.withColumn("stated_fsns", stated_codes(F.col("extracted_fsns")))
         .withColumn("_wanted", key)
@@ -263,7 +260,7 @@ def with_vendor_terms(fields: DataFrame, mapping: DataFrame) -> DataFrame:
     terms = vendor_terms(vendors, mapping).select(
         F.col("vendor_name").alias("_vendor"), F.struct(*ENRICHED).alias("enriched")
     )
-    key = F.when(wanted, F.col("vendor_name")).otherwise(F.concat(F.lit("\x00"), F.col("doc_id").cast("string")))
+    key = own_key(wanted, F.col("vendor_name"), F.col("doc_id"))
     return fields.withColumn("_wanted", key).join(terms, F.col("_wanted") == F.col("_vendor"), "left").drop(
         "_wanted", "_vendor"
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from claimloom import fixed_values as fixed
+from claimloom.functions.keys import own_key
 from claimloom.operators import config, fields, lookup
 from claimloom.queries import fields as field_queries
 from claimloom.queries import fixtures as fx
@@ -229,7 +230,10 @@ def config_products(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.coalesce(F.col(looked_up), F.lit(fixed.PRODUCT_PLACEHOLDER))
         )
 
-    return configs.where(config.has_products()).join(sums, "code_set", "left").select(
+    keyed = configs.where(config.has_products()).withColumn(
+        "code_set", own_key(F.col("code_set").isNotNull(), F.col("code_set"), F.col("doc_id"))
+    )
+    return keyed.join(sums, "code_set", "left").select(
         "doc_id", "period_no", "num_periods", "start_date", "end_date", "config_type", "code_source",
         F.greatest("num_codes", F.lit(1).cast("bigint")).alias("num_products"),
         product(1, "first_code").alias("first_product"),
