@@ -20,7 +20,8 @@ PIECES = [
     "This e-mail message may contain confidential", "This email is", "it is confidential so", "legally protected.", "strictly prohibited",
     "STRICTLY PROHIBITED by law. More", "personally liable for any damages or so", "Any views or opinions presented in this email",
     "This message contains confidential information", "本电子邮件及其附件含有一些保密信息", "actions taken on the basis of the information provided", " x ",
-    "a​b", "😀 smile", "ｆｕｌｌ", "soft­hyphen", "line sep", "no-sign-" + "x" * 30, "o" * 40 + "@", "a@b.com_x@c.de y", "İstanbul",
+    "a​b", "😀 smile", "ｆｕｌｌ", "soft­hyphen", "on", "On a day, and", "wrote", "al@b.co.at", "éa@b.com at", "..@b.com on", "é.@b.com on", "a.b_%@c.d-e.com2 pm", "<a@b.com>", "'x y' <q@r.st>",
+    "on behalf of the", "the group", "legally", "This email and any files transmitted",  "line sep", "no-sign-" + "x" * 30, "o" * 40 + "@", "a@b.com_x@c.de y", "İstanbul",
 ]
 
 
@@ -36,7 +37,7 @@ def random_texts(count, seed):
 
 @pytest.fixture(scope="module")
 def texts(spark):
-    rows = list(enumerate(random_texts(1500, 7)))
+    rows = list(enumerate(random_texts(4000, 7)))
     return spark.createDataFrame(rows, "doc_id bigint, raw_text string").repartition(4)
 
 
@@ -121,7 +122,11 @@ def test_audit(spark):
 
 def test_long_lines_stay_linear(spark):
     """Long runs that invite backtracking finish quickly."""
-    runs = ["9" * 200_000, "x" * 200_000 + "@", "-" * 200_000, "\n" * 100_000, "a@" * 50_000, "On " * 30_000]
+    runs = [
+        "9" * 200_000, "x" * 200_000 + "@", "-" * 200_000, "\n" * 100_000, "a@" * 50_000, "On " * 30_000 + "\nwrote:",
+        "x.y" * 50_000 + "@", "x@y.zz; " * 30_000, "a" + " " * 100_000 + "@", "on behalf of the " * 20_000, "This email confidential " * 20_000,
+        "This email " * 20_000 + "confidential", "Cc:\n" * 30_000, "From: x,\n" * 30_000, "a\t" * 50_000, "5" + " " * 100_000,
+    ]
     df = spark.createDataFrame(list(enumerate(runs)), "doc_id bigint, raw_text string")
     assert clean.clean(df).select(F.sum(F.length("cleaned_text"))).first()[0] > 0
 
