@@ -124,6 +124,50 @@ def cost_by_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# A document per order, read from a file, with its texts' lengths and some errors.
+_ORDER_DOCUMENTS = """select o_orderkey as doc_id, concat('/in/', o_orderpriority, '/f', cast(o_orderkey as varchar(20)), '.pdf') as path,
+  o_custkey % 9 + 1 as num_pages, case when o_orderstatus = 'F' then 'All extraction methods failed' end as error,
+  o_orderkey * 3 as context_chars, concat(o_orderpriority, '_01022024_101112') as output_directory from orders"""
+_ORDER_PERIODS = "select l_orderkey as doc_id, case when l_returnflag = 'R' then 'cannot split the periods' end as error from lineitem"
+_ORDER_OUTPUT = "select o_orderkey as doc_id, length(o_orderpriority) as output_chars from orders"
+_ORDER_USAGE = "select c_custkey as doc_id, c_custkey * 2 as input_tokens, c_custkey % 700 as output_tokens from customer"
+
+
+@query(
+    ctes(
+        ("documents_of", _ORDER_DOCUMENTS), ("cells", fx.CELLS), ("stage_log", fx.STAGE_LOG), PRICES,
+        ("counts", "select doc_id, count(distinct (source_page, table_idx)) as n from cells group by doc_id"),
+        ("failures", f"select doc_id, max(error) as period_error from ({_ORDER_PERIODS}) group by doc_id"),
+        ("spent", "select doc_id, sum(duration) as seconds from (select doc_id, arg_max(duration, ts) as duration from stage_log group by doc_id, stage) group by doc_id"),
+        ("used", f"""select d.*, n, period_error, seconds, 'openai/gpt-4o' as model,
+            case when coalesce(u.input_tokens, 0) > 0 then u.input_tokens else context_chars // 4 end as input_tokens,
+            case when coalesce(u.input_tokens, 0) > 0 then u.output_tokens else output_chars // 4 end as output_tokens
+          from documents_of d left join counts c on d.doc_id = c.doc_id left join failures f on d.doc_id = f.doc_id
+            left join spent s on d.doc_id = s.doc_id join ({_ORDER_OUTPUT}) o on d.doc_id = o.doc_id left join ({_ORDER_USAGE}) u on d.doc_id = u.doc_id"""),
+        costed("used"),
+        ("judged", "select *, coalesce(error, period_error) as fault from costed"),
+        body=f"""select doc_id, 'f' || doc_id || '.pdf' as file, case when fault is null then 'success' else 'failed' end as status, fault as error,
+          num_pages as pages, coalesce(n, 0) as tables_extracted, case when fault is null then input_tokens end as input_tokens,
+          case when fault is null then output_tokens end as output_tokens, case when fault is null then total_tokens end as total_tokens,
+          case when fault is null then round(cost, 9) end as cost, model,
+          case when seconds is not null then {sql.rounded('seconds', 2)} end as processing_time_seconds, output_directory from judged""",
+    )
+)
+def file_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from claimloom.plans import batch
+
+    metrics = batch.file_metrics(
+        view(spark, sf_dir, _ORDER_DOCUMENTS),
+        view(spark, sf_dir, fx.CELLS),
+        view(spark, sf_dir, _ORDER_PERIODS),
+        view(spark, sf_dir, _ORDER_OUTPUT),
+        "openai/gpt-4o",
+        view(spark, sf_dir, _ORDER_USAGE),
+        view(spark, sf_dir, fx.STAGE_LOG),
+    )
+    return metrics.withColumn("cost", F.round("cost", 9))
+
+
 @query(
     ctes(
         ("stage_log", fx.STAGE_LOG),
