@@ -249,40 +249,38 @@ def is_protected(paragraph: Column) -> Column:
 
 
 # The tests below look for plain words first, in lower case: that costs little, and only
-# the few paragraphs that hold them go through a pattern.
+# the few paragraphs that hold them go through a pattern.  Each takes the paragraph and its
+# lower case, which they share.
 
 
-def is_header(paragraph: Column) -> Column:
-    """Thread starts, or mostly mail header lines."""
-    thread = let(
-        F.lower(paragraph),
-        lambda low: (
-            F.contains(low, F.lit("forwarded message")) & paragraph.rlike(uncased(_FORWARDED))
-        )
-        | (F.contains(low, F.lit("wrote")) & low.rlike(cased(r"wrote\s*:")) & paragraph.rlike(uncased(_WROTE))),
+def _header_line(line: Column) -> Column:
+    return line.rlike(uncased(any_of([_HEADER_LINE, _STAMP]))) | (
+        F.contains(line, F.lit("@")) & line.rlike(uncased(any_of([_ADDRESS_TIME, _BRACKETED])))
     )
 
-    def header_line(line: Column) -> Column:
-        return line.rlike(uncased(any_of([_HEADER_LINE, _STAMP]))) | (
-            F.contains(line, F.lit("@")) & line.rlike(uncased(any_of([_ADDRESS_TIME, _BRACKETED])))
-        )
 
-    def test(lines: Column) -> Column:
-        headers = F.size(F.filter(lines, header_line))
+def _header(paragraph: Column, low: Column) -> Column:
+    thread = (F.contains(low, F.lit("forwarded message")) & paragraph.rlike(uncased(_FORWARDED))) | (
+        F.contains(low, F.lit("wrote")) & low.rlike(cased(r"wrote\s*:")) & paragraph.rlike(uncased(_WROTE))
+    )
+
+    def several(lines: Column) -> Column:
+        headers = F.size(F.filter(lines, _header_line))
         metadata = F.exists(lines, lambda line: line.rlike(uncased(fixed.METADATA_LINE)))
-        return F.when(F.size(lines) == 0, F.lit(False)).when(
-            F.size(lines) == 1, headers == 1
-        ).otherwise((headers * 2 >= F.size(lines)) | (metadata & (F.size(lines) < 5)))
+        return F.when(F.size(lines) == 1, headers == 1).otherwise(
+            (F.size(lines) > 0) & ((headers * 2 >= F.size(lines)) | (metadata & (F.size(lines) < 5)))
+        )
 
-    return thread | let(filled_lines(paragraph), test)
+    return thread | F.when(
+        F.contains(paragraph, F.lit("\n")), let(filled_lines(paragraph), several)
+    ).otherwise(let(strip(paragraph), lambda line: (line != "") & _header_line(line)))
 
 
-def is_footer(paragraph: Column) -> Column:
-    """Mail links, hidden quotes, page counts and subscription notes."""
-    return paragraph.rlike(cased(_PAGE_COUNT)) | let(
-        F.lower(paragraph),
-        lambda low: contains_any(low, ["[quoted text hidden]", _UNSUBSCRIBE, _PREFERENCES])
-        | (F.contains(low, F.lit("mail.google.com")) & paragraph.rlike(uncased(_MAIL_LINK))),
+def _footer(paragraph: Column, low: Column) -> Column:
+    return (
+        paragraph.rlike(cased(_PAGE_COUNT))
+        | contains_any(low, ["[quoted text hidden]", _UNSUBSCRIBE, _PREFERENCES])
+        | (F.contains(low, F.lit("mail.google.com")) & paragraph.rlike(uncased(_MAIL_LINK)))
     )
 
 
@@ -291,30 +289,49 @@ def _words_in(low: Column) -> Column:
     return F.filter(words, lambda w: F.contains(low, w))
 
 
-def disclaimer_words(paragraph: Column) -> Column:
-    """The distinct disclaimer keywords in a paragraph, in list order."""
-    return let(F.lower(paragraph), _words_in)
+def _disclaimer(paragraph: Column, low: Column) -> Column:
+    return (
+        (F.size(_words_in(low)) >= fixed.DISCLAIMER_KEYWORD_MINIMUM)
+        | contains_any(low, _PHRASES)
+        | (F.contains(low, F.lit("on behalf of the ")) & paragraph.rlike(uncased(_ON_BEHALF)))
+    )
+
+
+def is_header(paragraph: Column) -> Column:
+    """Thread starts, or mostly mail header lines."""
+    return let(F.lower(paragraph), lambda low: _header(paragraph, low))
+
+
+def is_footer(paragraph: Column) -> Column:
+    """Mail links, hidden quotes, page counts and subscription notes."""
+    return let(F.lower(paragraph), lambda low: _footer(paragraph, low))
 
 
 def is_disclaimer(paragraph: Column) -> Column:
     """Three disclaimer keywords, or one phrase that says it all."""
-    return let(
-        F.lower(paragraph),
-        lambda low: (F.size(_words_in(low)) >= fixed.DISCLAIMER_KEYWORD_MINIMUM)
-        | contains_any(low, _PHRASES)
-        | (F.contains(low, F.lit("on behalf of the ")) & paragraph.rlike(uncased(_ON_BEHALF))),
-    )
+    return let(F.lower(paragraph), lambda low: _disclaimer(paragraph, low))
+
+
+def disclaimer_words(paragraph: Column) -> Column:
+    """The distinct disclaimer keywords in a paragraph, in list order."""
+    return let(F.lower(paragraph), _words_in)
 
 
 def paragraph_class(paragraph: Column) -> Column:
     """The class that decides a paragraph's fate; the first that applies."""
+
+    def cleanable(low: Column) -> Column:
+        return (
+            F.when(_header(paragraph, low), HEADER)
+            .when(_footer(paragraph, low), FOOTER_TEXT)
+            .when(_disclaimer(paragraph, low), DISCLAIMER)
+            .otherwise(BODY)
+        )
+
     return (
         F.when(is_table(paragraph), TABLE)
         .when(is_protected(paragraph), PROTECTED_TEXT)
-        .when(is_header(paragraph), HEADER)
-        .when(is_footer(paragraph), FOOTER_TEXT)
-        .when(is_disclaimer(paragraph), DISCLAIMER)
-        .otherwise(BODY)
+        .otherwise(let(F.lower(paragraph), cleanable))
     )
 
 
@@ -440,29 +457,32 @@ def size_statistics(original: Column, cleaned: Column) -> list[Column]:
     ]
 
 
-def audit_counts(df: DataFrame) -> DataFrame:
-    """Per-document counts over ``with_paragraphs``.
+def audit_columns() -> list[Column]:
+    """Counts over the columns of ``with_paragraphs``.
 
     The four totals keep their long-standing meaning, in which ``retained`` is taken before
     the disclaimer test; the counts per class are exact.
     """
     p = F.col("paragraphs")
-    return df.select(
-        *[c for c in df.columns if c not in ("paragraphs", "prepared_text", "cleaned_text")],
+    blocks = F.col("cc_blocks") + F.col("address_blocks") + F.col("disclaimer_blocks")
+    return [
+        F.col("cc_blocks"),
+        F.col("address_blocks"),
+        F.col("disclaimer_blocks"),
         count_class(p, HEADER).alias("header_paragraphs"),
         count_class(p, FOOTER_TEXT).alias("footer_paragraphs"),
         count_class(p, DISCLAIMER).alias("disclaimer_paragraphs"),
         count_class(p, BODY).alias("body_paragraphs"),
-        (
-            F.col("cc_blocks")
-            + F.col("address_blocks")
-            + F.col("disclaimer_blocks")
-            + count_class(p, HEADER, FOOTER_TEXT, DISCLAIMER)
-        ).alias("removed"),
+        (blocks + count_class(p, HEADER, FOOTER_TEXT, DISCLAIMER)).alias("removed"),
         count_class(p, TABLE, PROTECTED_TEXT, BODY, DISCLAIMER).alias("retained"),
         count_class(p, PROTECTED_TEXT).alias("protected"),
         count_class(p, TABLE).alias("tables_protected"),
-    )
+    ]
+
+
+def audit_counts(df: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``audit_columns`` of each document over ``with_paragraphs``."""
+    return df.select(key, *audit_columns())
 
 
 def keyword_report(df: DataFrame, key: str = "doc_id") -> DataFrame:

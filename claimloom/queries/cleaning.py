@@ -186,7 +186,7 @@ def reduction_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def cleaning_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return clean.audit_counts(clean.with_paragraphs(mails(spark, sf_dir))).drop("source", "raw_text")
+    return clean.audit_counts(clean.with_paragraphs(mails(spark, sf_dir)))
 
 
 @query(

@@ -51,10 +51,10 @@ def durable(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread rows over the cores if they come from fewer files than there are cores.
+    """Spread rows over the cores if the scan has fewer partitions than there are cores.
 
-    For inputs whose work per row is heavy: one small file would otherwise be one task.
-    A large input has many files and passes through without a shuffle.
+    For inputs whose work per row is heavy: one small file would otherwise be one task.  A
+    large input has many partitions and passes through without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
