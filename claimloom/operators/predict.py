@@ -17,6 +17,8 @@ PREDICTION_SCHEMA = T.StructType(
     + [T.StructField(name, T.StringType()) for name in fixed.FIELD_DEFAULTS]
     + [T.StructField("reasonings", T.MapType(T.StringType(), T.StringType()))]
     + [T.StructField("global_reasoning", T.StringType())]
+    # Why there is no prediction; NULL where there is one.
+    + [T.StructField("prediction_error", T.StringType())]
 )
 
 # Batch of inputs -> batch of predictions with the columns of PREDICTION_SCHEMA.
@@ -27,17 +29,34 @@ def predict(inputs: DataFrame, make_predictor: Callable[[], Predictor], keep: bo
     """Predict from (doc_id, email_text, table_data, xlsx_data).
 
     ``make_predictor`` runs once per task, so a client or model is opened where it is used.
-    Columns the predictor leaves out are NULL.  With ``keep`` the predictions are written
-    to the checkpoint folder: a costly predictor must not run again for every sink.
+    Columns the predictor leaves out are NULL.  If it fails on a batch, the documents go
+    through it one by one, and only those that fail again get a ``prediction_error``.  With
+    ``keep`` the predictions are written to the shared folder: a costly predictor must not
+    run again for every sink.
     """
     names = PREDICTION_SCHEMA.fieldNames()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         predictor = make_predictor()
-        for batch in batches:
-            found = predictor(batch)
+
+        def complete(found: pd.DataFrame) -> pd.DataFrame:
             absent = {name: None for name in names if name not in found.columns}
-            yield found.assign(**absent)[names]
+            return found.assign(**absent)[names]
+
+        def one(document: pd.DataFrame) -> pd.DataFrame:
+            try:
+                return complete(predictor(document))
+            except Exception as error:
+                return complete(document[["doc_id"]].assign(prediction_error=f"{type(error).__name__}: {error}"))
+
+        for batch in batches:
+            try:
+                found = complete(predictor(batch))
+            except Exception:
+                for row in range(len(batch)):
+                    yield one(batch.iloc[[row]])
+            else:
+                yield found
 
     predictions = inputs.select("doc_id", "email_text", "table_data", "xlsx_data").mapInPandas(
         run, PREDICTION_SCHEMA
@@ -56,9 +75,15 @@ def as_predictions(table: DataFrame) -> DataFrame:
 
 
 def parse_predictions(table: DataFrame, json: str = "response") -> DataFrame:
-    """Predictions from JSON responses (doc_id, response); unreadable ones are all NULL."""
-    fields = T.StructType([f for f in PREDICTION_SCHEMA if f.name != "doc_id"])
-    return table.select("doc_id", F.from_json(json, fields).alias("p")).select("doc_id", "p.*")
+    """Predictions from JSON responses (doc_id, response); unreadable ones have an error."""
+    given = ("doc_id", "prediction_error")
+    fields = T.StructType([f for f in PREDICTION_SCHEMA if f.name not in given]).add("_unread", "string")
+    parsed = F.from_json(json, fields, {"columnNameOfCorruptRecord": "_unread"})
+    return table.select("doc_id", parsed.alias("p")).select(
+        "doc_id",
+        *[F.col(f"p.{f.name}") for f in PREDICTION_SCHEMA if f.name not in given],
+        F.when(F.col("p").isNull() | F.col("p._unread").isNotNull(), "the response cannot be read").alias("prediction_error"),
+    )
 
 
 def truncated(predictions: DataFrame) -> DataFrame:

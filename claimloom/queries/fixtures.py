@@ -127,6 +127,6 @@ def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
         if f"from {name}" in sql:
             data = table(spark, sf_dir, name)
             # Text work is heavy per row and the test tables are single files.
-            data = spread(data) if name in ("documents", "conversations") else data
+            data = spread(data) if name == "documents" else data
             data.createOrReplaceTempView(name)
     return spark.sql(sql)

@@ -158,6 +158,8 @@ def test_responses_and_truncation(spark):
         [(1, '{"scheme_type": "OFC", "reasonings": {"a": "b"}}'), (2, "{broken"), (3, "{}")], "doc_id bigint, response string"
     )
     parsed = predict.parse_predictions(df)
+    assert {r.doc_id: r.prediction_error is None for r in parsed.collect()} == {1: True, 2: False, 3: True}
+    assert parsed.schema == predict.PREDICTION_SCHEMA
     assert {r.doc_id: r.looks_truncated for r in predict.truncated(parsed).collect()} == {1: False, 2: True, 3: True}
 
 
