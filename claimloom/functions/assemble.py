@@ -14,19 +14,22 @@ def split_by_size(
     keys: list[str],
     text: str,
     max_chars: int = CELL_CHARS,
+    chars: str | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """Parts of the keys whose text fits one cell, and the keys that are too large.
 
     Returns (fitting parts, oversized(keys, n_parts, n_chars)).  The sizes are counts added
     up before the shuffle, so a hot key is found without being gathered.  There can be no
     more oversized keys than total size / ``max_chars``: that bounds the broadcast.
+    ``chars`` names a column with the length of the text, which spares reading the text.
     """
-    chars = F.coalesce(F.length(text).cast("bigint"), F.lit(0)) + F.lit(1)
+    length = F.length(text) if chars is None else F.col(chars)
+    size = F.coalesce(length.cast("bigint"), F.lit(0)) + F.lit(1)
     oversized = (
         # Said outright, so that both uses of the sizes share one shuffle.
         parts.dropna(subset=keys)
         .groupBy(*keys)
-        .agg(F.count("*").alias("n_parts"), F.sum(chars).alias("n_chars"))
+        .agg(F.count("*").alias("n_parts"), F.sum(size).alias("n_chars"))
         .where(F.col("n_chars") > max_chars)
     )
     return parts.join(F.broadcast(oversized.select(*keys)), keys, "left_anti"), oversized
@@ -39,13 +42,14 @@ def assemble(
     text: str,
     separator: str,
     max_chars: int = CELL_CHARS,
+    chars: str | None = None,
 ) -> DataFrame:
     """Join the parts of each key in order: keys, ``text``, ``n_parts``.
 
     A key whose text would not fit one cell is not gathered: it gets NULL text here, and
     ``parts`` still holds it whole, row by row.
     """
-    fitting, oversized = split_by_size(parts, keys, text, max_chars)
+    fitting, oversized = split_by_size(parts, keys, text, max_chars, chars)
     return joined_parts(fitting, keys, order, text, separator).unionByName(without_text(oversized, keys))
 
 

@@ -72,7 +72,14 @@ def page_texts(elements: DataFrame, zone_table: DataFrame | None = None, max_cha
 
 def _marked(pages: DataFrame, marker: str, filled: Column) -> DataFrame:
     head = F.concat(F.lit("\n--- Page "), F.col("page").cast("string"), F.lit(f"{marker} ---\n"))
-    return pages.where(filled).select("doc_id", "page", F.concat(head, F.lit("\n"), F.col("text")).alias("part"))
+    # A stored length sizes the documents without reading their text a second time.
+    length = F.col("n_chars") if "n_chars" in pages.columns else F.length("text")
+    return pages.where(filled).select(
+        "doc_id",
+        "page",
+        F.concat(head, F.lit("\n"), F.col("text")).alias("part"),
+        (length + F.length(head) + 1).alias("part_chars"),
+    )
 
 
 def documents(
@@ -81,12 +88,15 @@ def documents(
     """Join page texts under their markers: docs(doc_id, raw_text, num_pages).
 
     Empty pages have no text but count.  Recognised text counts as empty when blank.
+    ``pages`` may bring the length of its texts as ``n_chars``.
     ``page_counts(doc_id, num_pages)`` adds documents and pages that yielded no row.
     """
-    text = F.coalesce(F.col("text"), F.lit(""))
-    filled = (strip(text) if ocr else text) != ""
+    if ocr:
+        filled = strip(F.coalesce(F.col("text"), F.lit(""))) != ""
+    else:
+        filled = F.col("n_chars") > 0 if "n_chars" in pages.columns else F.coalesce(F.col("text"), F.lit("")) != ""
     parts = _marked(pages, " (OCR)" if ocr else "", filled)
-    joined = assemble(parts, ["doc_id"], ["page"], "part", "\n", max_chars)
+    joined = assemble(parts, ["doc_id"], ["page"], "part", "\n", max_chars, "part_chars")
     counts = page_counts
     if counts is None:
         counts = pages.groupBy("doc_id").agg(F.count("*").alias("num_pages"))

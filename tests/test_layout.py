@@ -126,3 +126,14 @@ def test_removal_report(spark):
     df = spark.createDataFrame([(1, text)], "doc_id bigint, raw_text string")
     report = context.removal_report(clean.with_paragraphs(df)).collect()
     assert [r.item_no for r in report] == list(range(1, 11)) and {r.category for r in report} == {"header"}
+
+
+def test_stored_lengths_spare_the_text(spark, tmp_path):
+    given = pages(spark, [(1, 1, "one"), (1, 2, "two"), (2, 1, "x" * 500)]).withColumn("n_chars", F.length("text"))
+    given.write.parquet(str(tmp_path / "pages"))
+    docs = layout.documents(spark.read.parquet(str(tmp_path / "pages")), max_chars=200)
+    assert {r.doc_id: r.raw_text is None for r in docs.collect()} == {1: False, 2: True}
+    # Only the scan that joins the pages reads their text.
+    plan = docs._jdf.queryExecution().executedPlan().toString()
+    scans = [line for line in plan.splitlines() if "FileScan" in line]
+    assert any("text#" in s for s in scans) and any("n_chars#" in s and "text#" not in s for s in scans)
