@@ -11,14 +11,16 @@ is one n-gram of all its words).  Texts with equal sets form a class.  Two class
 2. *Prefixes.*  Two sets that link share an n-gram among the first
    ``size - ceil(size * percent / 100) + 1`` of each.  One row per class and prefix n-gram
    is sorted by range over (n-gram, size, hash), so a very common n-gram spreads over tasks.
-3. *Neighbours.*  Consecutive classes of each n-gram's list are compared first.  That links
-   nearly all members of a group of near copies by a number of pairs that grows with the
-   rows and not with the square of the group.
+3. *Neighbours.*  First, consecutive classes in an eighth of the n-grams' lists are compared.
+   Then, while that still links anything, lists that hold several components are gone through
+   again: consecutive classes of different components, and from the second time on every
+   class with the best linked class of the other components.  This joins groups of near copies by a number of pairs that
+   grows with the rows and not with the square of a group.
 4. *The rest.*  What step 3 left in different components is joined in full: lists that still
-   hold two components, pairs of components first, then their members.
-   Pairs inside one component are never formed, and no link between components is lost.
+   hold two components, pairs of components first, then their members.  Pairs inside one
+   component are never formed, and no link between components is lost.
 5. *Check.*  A pair must pass the length and positional filters, the suffix filter (counts
-   of n-grams by 16 ranges of the key bound the symmetric difference from below), and the
+   of n-grams by 64 ranges of the key bound the symmetric difference from below), and the
    exact count of common n-grams.  Each pair is checked once.
 
 Components use ``graph.components`` over class numbers.
@@ -48,7 +50,10 @@ from claimloom.session import durable
 
 SKETCH_BITS = 20
 _SKETCH_PIECES = 64
-_RANGES = 16
+_RANGES = 64
+#: The share of lists that the first round goes through, and the most rounds after it.
+_FIRST_SHARE = 8
+_ROUNDS = 3
 _ID_BITS = 24
 
 
@@ -153,7 +158,7 @@ def with_sets(docs: DataFrame, like: Similarity, scales: np.ndarray) -> DataFram
     return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, ka long, kb long, prefix array<long>, ranges array<int>")
 
 
-_POSTING = "token long, class long, size int, place int, class_2 long, size_2 int, place_2 int"
+_POSTING = "token long, class long, size int, place int, component long, class_2 long, size_2 int, place_2 int, component_2 long"
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -161,8 +166,8 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     The first and the last row of a partition stay too, as the list may go on elsewhere.
     """
-    names = ["token", "class", "size", "place"]
-    held = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32)]  # up to two rows: the last shown, the next to show
+    names = ["token", "class", "size", "place", "component"]
+    held = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32, np.int64)]  # up to two rows: the last shown, the next to show
     shown = 0  # of the rows held
     first = True
 
@@ -253,12 +258,40 @@ def _named(linked: DataFrame) -> DataFrame:
     return components(linked.select(F.col("a").alias("u"), F.col("b").alias("v"))).withColumnsRenamed({"node": "class"})
 
 
-def _across(shared: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs of postings in different components that the filters leave."""
+def _in_order(postings: DataFrame, seed: int) -> DataFrame:
+    """Each posting with the last of its n-gram's list, in order of size and a seeded hash."""
+    spread = F.xxhash64(F.lit(seed), "token", "class")
+    ordered = postings.repartitionByRange("token", "size", spread).sortWithinPartitions("token", "size", spread)
+    return ordered.select("token", "class", "size", "place", "component").mapInArrow(_neighbours, _POSTING)
+
+
+def _adjacent(rows: DataFrame, percent: int) -> DataFrame:
+    sizes = F.col("size"), F.col("place"), F.col("size_2"), F.col("place_2")
+    return rows.where(F.col("class_2").isNotNull() & (F.col("component") != F.col("component_2")) & _possible(percent, *sizes))
+
+
+def _mixed(shared: DataFrame, found: DataFrame) -> DataFrame:
+    """The postings of lists that hold several components, with their component."""
     listed = shared.select("token", "class", "size", "place").join(found, "class", "left")
     listed = listed.withColumn("component", F.coalesce("component", "class"))
     mixed = listed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
-    listed = durable(listed.join(mixed.select("token"), "token"))
+    return durable(listed.join(mixed.select("token"), "token"))
+
+
+def _with_hubs(listed: DataFrame, links: DataFrame, found: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Every posting's class with the best linked class of the other components of its list."""
+    ends = links.select(F.col("a").alias("class")).union(links.select("b"))
+    degrees = ends.groupBy("class").agg(F.count("*").alias("degree"))
+    hubs = degrees.join(found, "class").groupBy("component").agg(F.max(F.struct("degree", "class")).alias("best"))
+    hubs = hubs.select("component", F.col("best.class").alias("class")).join(classes.select("class", "size"), "class")
+    hubs = hubs.select(F.col("component").alias("component_2"), F.col("class").alias("class_2"), F.col("size").alias("size_2"))
+    there = listed.select("token", F.col("component").alias("component_2")).distinct().join(hubs, "component_2")
+    fits = F.least("size", "size_2") * 100 >= F.greatest("size", "size_2") * percent
+    return listed.join(there, "token").where((F.col("component") != F.col("component_2")) & fits)
+
+
+def _across(listed: DataFrame, percent: int) -> DataFrame:
+    """Pairs of postings in different components that the filters leave."""
     held = listed.groupBy("token", "component").agg(F.min("size").alias("least"), F.max("size").alias("most"))
     other = held.select("token", F.col("component").alias("component_2"), F.col("least").alias("least_2"), F.col("most").alias("most_2"))
     fits = (F.col("component") < F.col("component_2")) & (F.col("most_2") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("least_2") * percent)
@@ -268,6 +301,28 @@ def _across(shared: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     return met.where(_possible(percent, F.col("size"), F.col("place"), F.col("size_2"), F.col("place_2")))
 
 
+def _components(postings: DataFrame, classes: DataFrame, docs: DataFrame, like: Similarity) -> DataFrame:
+    """``(class, component)`` of the classes that link with another."""
+    shared = durable(_in_order(postings.withColumn("component", F.col("class")), 0))
+    first = shared.where(F.pmod(F.xxhash64("token"), F.lit(_FIRST_SHARE)) == 0)
+    tried = durable(_ordered_pairs(_adjacent(first, like.percent)))
+    links = durable(_linked(tried, classes, docs, like))
+    found = durable(_named(links))
+    for k in range(1, _ROUNDS + 1):
+        listed = _mixed(shared, found)
+        near = _ordered_pairs(_adjacent(_in_order(listed, k), like.percent))
+        if k > 1:  # there are few components now, and the large groups have a hub
+            near = near.union(_ordered_pairs(_with_hubs(listed, links, found, classes, like.percent))).distinct()
+        near = durable(near.join(tried, ["a", "b"], "left_anti"))
+        more = durable(_linked(near, classes, docs, like))
+        if more.isEmpty():
+            break
+        tried, links = tried.union(near), links.union(more)
+        found = durable(_named(links))
+    rest = _ordered_pairs(_across(_mixed(shared, found), like.percent)).join(tried, ["a", "b"], "left_anti")
+    return durable(_named(links.union(_linked(durable(rest), classes, docs, like))))
+
+
 def documents_by_class(docs: DataFrame, text: str, doc_id: str, like: Similarity) -> tuple[DataFrame, DataFrame]:
     """``(doc_id, n_shingles, ka, kb)`` of every row, and every class with its component.
 
@@ -283,16 +338,7 @@ def documents_by_class(docs: DataFrame, text: str, doc_id: str, like: Similarity
     )
     classes = durable(classes.withColumn("class", F.monotonically_increasing_id()))
     postings = classes.select("class", "size", F.posexplode("prefix").alias("place", "token"))
-    spread = F.xxhash64("token", "class")
-    ordered = postings.repartitionByRange("token", "size", spread).sortWithinPartitions("token", "size", spread)
-    shared = durable(ordered.select("token", "class", "size", "place").mapInArrow(_neighbours, _POSTING))
-    near = shared.where(F.col("class_2").isNotNull() & _possible(like.percent, F.col("size"), F.col("place"), F.col("size_2"), F.col("place_2")))
-    tried = durable(_ordered_pairs(near))
-    links = durable(_linked(tried, classes, docs, like))
-    found = durable(_named(links))
-    rest = _ordered_pairs(_across(shared, found, like.percent)).join(tried, ["a", "b"], "left_anti")
-    more = _linked(durable(rest), classes, docs, like)
-    found = durable(_named(links.union(more)))
+    found = _components(postings, classes, docs, like)
     return members.select("doc_id", "n_shingles", "ka", "kb"), classes.select(
         "ka", "kb", "class", F.col("doc_id").alias("first_id")
     ).join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
