@@ -379,4 +379,4 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", like:
     order = Window.partitionBy("_ka", "_kb").orderBy(F.col(f"`{doc_id}`").asc_nulls_last())
     one = rows.where("_n > 0").withColumn("_rank", F.row_number().over(order)).where("_rank = 1").drop("_rank")
     kept = one.join(chosen, ["_ka", "_kb"], "left_semi")
-    return kept.union(rows.where("_n = 0")).select(*[f"`{c}`" for c in docs.columns])
+    return kept.unionByName(rows.where("_n = 0")).select(*[f"`{c}`" for c in docs.columns])

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from claimloom.llm import decontaminate, jaccard, mixing, quality_rules, sharding
+from claimloom.llm import binary, chat, decontaminate, jaccard, line_dedup, mixing, quality_classifier, quality_rules, sharding, url_filters
+from claimloom.session import _shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,3 +85,94 @@ def op6_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's counts, ratios and verdict."""
     return quality_rules.rule_report(table(spark, sf_dir, "documents"))
+
+
+_LINES = """lines as (
+      select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) - 1 as k,
+        len(string_split(text, chr(10))) as n from documents where text is not null),
+    hashed as (select *, cast('0x' || substr(md5(line), 1, 8) as bigint) % 1000003 as h from lines),
+    ended as (
+      select *, k = n - 1 or (k >= 1 and ((lag(h) over w * 31 + h) % 1000003) % 4 = 0) as ends from hashed window w as (partition by doc_id order by k)),
+    numbered as (
+      select *, coalesce(sum(ends::int) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0) as chunk from ended),
+    chunks as (
+      select doc_id, chunk, min(k) as first, count(*) as size, count(*) filter (trim(line) <> '') as filled, string_agg(line, chr(10) order by k) as body
+      from numbered group by doc_id, chunk),
+    ranked as (
+      select doc_id, chunk, filled >= 2 and row_number() over (partition by body, filled >= 2 order by doc_id, first) > 1 as gone from chunks)"""
+
+
+@_query(
+    f"""with {_LINES}
+    select d.doc_id, coalesce(n_lines, 0)::bigint as n_lines, coalesce(removed_lines, 0)::bigint as removed_lines,
+      case when d.text is null then null when removed_lines = 0 then d.text else coalesce(body, '') end as text
+    from documents d left join (
+      select n.doc_id, count(*) as n_lines, count(*) filter (gone) as removed_lines, string_agg(line, chr(10) order by k) filter (not gone) as body
+      from numbered n join ranked r on n.doc_id = r.doc_id and n.chunk = r.chunk group by n.doc_id) t on d.doc_id = t.doc_id"""
+)
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the line chunks that stand elsewhere before."""
+    return line_dedup.deduplicated(table(spark, sf_dir, "documents"))
+
+
+@_query()
+def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality score and prediction."""
+    return quality_classifier.scored(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@_query()
+def op7_binary_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens, written as binary records and read back."""
+    folder = binary.new_folder(_shared_folder(spark))
+    if "://" not in folder and not folder.startswith("file:"):
+        folder = os.path.abspath(folder)
+    files = binary.write(table(spark, sf_dir, "documents"), folder, tokenizer_file())
+    return binary.read(spark, folder, files)
+
+
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+_ESCAPED = "regexp_replace({}, '([<\\[])(\\\\*)(\\||/?s>|</?SYS>>|/?INST\\])', '\\1\\\\\\2\\3', 'g')"
+
+
+@_query(
+    f"""with rows as (
+      select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+      union all values (-1, 0, 'user', '{CONTROL_TEXT}'), (-1, 1, 'assistant', '{CONTROL_TEXT}')),
+    marked as (
+      select *, role is distinct from lag(role) over w as opens, role is distinct from lead(role) over w as closes
+      from rows window w as (partition by conv_id order by turn))
+    select conv_id, count(*) as n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn)) as turns_sha256,
+      coalesce(sum(length(text)) filter (role = 'assistant'), 0)::bigint as loss_chars,
+      sha256(coalesce(string_agg(text, '' order by turn) filter (role = 'assistant'), '')) as loss_sha256,
+      sum(length({_ESCAPED.format("text")}) + case when opens then {len(chat.START) + len(chat.TEXT)} + length({_ESCAPED.format("role")}) else {len(chat.NEXT)} end
+        + case when closes then {len(chat.END)} else 0 end)::bigint as formatted_chars
+    from marked group by conv_id"""
+)
+def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of every conversation and of one with control strings, read back from its formatted text."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    first = F.col("id") == 0
+    own = spark.range(2).select(F.lit(-1).cast("long"), "id", F.when(first, "user").otherwise("assistant"), F.lit(CONTROL_TEXT))
+    back = chat.read_back(chat.formatted(rows.union(own)))
+    told = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return back.select(
+        "conv_id",
+        F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(told.cast("binary"), 256).alias("turns_sha256"),
+        F.length("loss_text").cast("long").alias("loss_chars"),
+        F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"),
+    )
+
+
+@_query()
+def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's host, path, rule and verdict."""
+    return url_filters.judged(table(spark, sf_dir, "pages"), url_filters.RULES)
