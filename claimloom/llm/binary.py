@@ -13,8 +13,8 @@ when it is whole, so a repeated task leaves one file.  Files go through the file
 the folder's URI, never to a task's machine.
 
 Encoding looks up pieces: the tokenizer's pattern never joins a character to white space that
-follows, so a text may be cut before white space and each distinct piece is encoded once per
-task; a table of pieces has a fixed largest size.
+follows, so a text may be cut before white space and each distinct piece is encoded once by
+each Python worker; its table of pieces has a fixed largest size.
 
 Defined results: null text is empty, an empty text has the end token only; null ids come
 first and read back as null; equal ids are ordered by text; repeated rows are records of their
@@ -23,6 +23,7 @@ own; an empty table gives no record.  Only the id and text columns are read.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import struct
@@ -97,7 +98,7 @@ def masked(sums: np.ndarray) -> np.ndarray:
 
 
 class Encoder:
-    """Texts to the bytes of their token ids; made once in a task."""
+    """Texts to the bytes of their token ids."""
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -130,6 +131,12 @@ class Encoder:
         return [b"".join(map(known.__getitem__, x)) for x in cut]
 
 
+@functools.cache
+def encoder_of(tokenizer_file: str) -> Encoder:
+    """One encoder for all tasks that a Python worker runs."""
+    return Encoder(tokenizer_file)
+
+
 def frames(payloads: list[bytes]) -> list[bytes]:
     lengths = [struct.pack("<Q", len(x)) for x in payloads]
     heads, tails = masked(checksums(lengths)), masked(checksums(payloads))
@@ -163,7 +170,7 @@ def write(docs: DataFrame, folder: str, tokenizer_file: str, text: str = "text",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         part, attempt = context.partitionId(), context.taskAttemptId()
-        encoder = Encoder(tokenizer_file)
+        encoder = encoder_of(tokenizer_file)
         last = np.array([end], encoder.type).tobytes()
         files, place, records, tokens = None, 0, 0, 0
         for batch in batches:
