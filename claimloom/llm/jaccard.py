@@ -4,7 +4,7 @@ Every text becomes the set of its distinct word n-grams (lower-cased A-Z; a shor
 is one n-gram of all its words).  Texts with equal sets form a class.  Two classes link when
 100 * intersection >= percent * union; a component is what links connect.
 
-1. *Order.*  Counts of all n-grams go into a table of 2^20 counters, whatever the input's
+1. *Order.*  Counts of all n-grams go into a table of 2^23 counters, whatever the input's
    size.  N-grams sort by the scale of their counter, then by key: rare first.  The filters
    are right under any order that all texts share, so a counter shared by several n-grams
    costs time and never a link.
@@ -48,12 +48,12 @@ from claimloom.llm import words as w
 from claimloom.llm.graph import components
 from claimloom.session import durable
 
-SKETCH_BITS = 20
+SKETCH_BITS = 23
 _SKETCH_PIECES = 64
 _RANGES = 64
 #: The share of lists that the first round goes through, and the most rounds after it.
 _FIRST_SHARE = 8
-_ROUNDS = 3
+_ROUNDS = 2
 _ID_BITS = 24
 
 
@@ -96,32 +96,40 @@ def prefix_length(size: int, percent: int) -> int:
 def count_scales(docs: DataFrame, n: int) -> np.ndarray:
     """For each of 2^SKETCH_BITS key ranges, the scale of its number of n-grams, as bytes.
 
-    Every task adds into one table and passes it on in pieces; pieces are summed in two steps,
-    so that no group holds more than a share of the tasks.  The result has a fixed size.
+    Every task adds into one table, up to 255 each, and passes it on in pieces; pieces are summed
+    in two steps, so that no group holds more than a share of the tasks.  The result has a
+    fixed size, and only its order matters.
     """
     width = (1 << SKETCH_BITS) // _SKETCH_PIECES
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros(1 << SKETCH_BITS, np.int64)
+        table = np.zeros(1 << SKETCH_BITS, np.uint8)
         for batch in batches:
-            for _, part in w.slices(batch.column(0)):
-                keys, _ = shingle_sets(part, n)
-                table += np.bincount((keys >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(table))
+            found = [shingle_sets(part, n)[0] >> np.uint64(64 - SKETCH_BITS) for _, part in w.slices(batch.column(0))]
+            own = np.bincount(np.concatenate(found).astype(np.int64), minlength=len(table)) if found else 0
+            table = np.minimum(own + table, 255).astype(np.uint8)
         if table.any():
             group = TaskContext.get().partitionId() % 64
             for k in range(_SKETCH_PIECES):
-                piece = table[k * width : (k + 1) * width].tobytes()
+                piece = table[k * width : (k + 1) * width].astype(np.uint32).tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([group], pa.int32()), pa.array([piece], pa.binary())], ["piece", "part", "counts"])
 
     def add(table: pa.Table) -> pa.Table:
-        total = sum(np.frombuffer(x.as_py(), np.int64) for x in table["counts"])
+        total = np.zeros(width, np.uint32)
+        for x in table["counts"]:
+            total += np.frombuffer(x.as_py(), np.uint32)
         return pa.table({"piece": table["piece"][:1], "part": table["part"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
+    def scale(table: pa.Table) -> pa.Table:
+        total = np.frombuffer(add(table)["counts"][0].as_py(), np.uint32)
+        scales = np.floor(2 * np.log2(total + 1.0)).astype(np.uint8)
+        return pa.table({"piece": table["piece"][:1], "scales": pa.array([scales.tobytes()], pa.binary())})
+
     kind = "piece int, part int, counts binary"
     summed = docs.select("text").mapInArrow(count, kind).groupBy("piece", "part").applyInArrow(add, kind)
-    pieces = {r["piece"]: np.frombuffer(r["counts"], np.int64) for r in summed.groupBy("piece").applyInArrow(add, kind).collect()}
-    total = np.concatenate([pieces.get(k, np.zeros(width, np.int64)) for k in range(_SKETCH_PIECES)])
-    return np.floor(2 * np.log2(total + 1)).astype(np.uint8)
+    rows = summed.groupBy("piece").applyInArrow(scale, "piece int, scales binary").collect()
+    pieces = {r["piece"]: np.frombuffer(r["scales"], np.uint8) for r in rows}
+    return np.concatenate([pieces.get(k, np.zeros(width, np.uint8)) for k in range(_SKETCH_PIECES)])
 
 
 def with_sets(docs: DataFrame, like: Similarity, scales: np.ndarray) -> DataFrame:
@@ -270,11 +278,13 @@ def _adjacent(rows: DataFrame, percent: int) -> DataFrame:
     return rows.where(F.col("class_2").isNotNull() & (F.col("component") != F.col("component_2")) & _possible(percent, *sizes))
 
 
-def _mixed(shared: DataFrame, found: DataFrame) -> DataFrame:
+def _mixed(shared: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """The postings of lists that hold several components, with their component."""
     listed = shared.select("token", "class", "size", "place").join(found, "class", "left")
     listed = listed.withColumn("component", F.coalesce("component", "class"))
-    mixed = listed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high")
+    # Only a smaller set's first n-grams can be the first in common, so a list needs one such posting.
+    early = (F.col("size") - F.col("place")) * (100 + percent) >= F.col("size") * 2 * percent
+    mixed = listed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(early).alias("early")).where("low < high and early")
     return durable(listed.join(mixed.select("token"), "token"))
 
 
@@ -292,9 +302,10 @@ def _with_hubs(listed: DataFrame, links: DataFrame, found: DataFrame, classes: D
 
 def _across(listed: DataFrame, percent: int) -> DataFrame:
     """Pairs of postings in different components that the filters leave."""
-    held = listed.groupBy("token", "component").agg(F.min("size").alias("least"), F.max("size").alias("most"))
-    other = held.select("token", F.col("component").alias("component_2"), F.col("least").alias("least_2"), F.col("most").alias("most_2"))
+    held = listed.groupBy("token", "component").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.max(F.col("size") - F.col("place")).alias("left"))
+    other = held.select("token", *[F.col(c).alias(f"{c}_2") for c in ("component", "least", "most", "left")])
     fits = (F.col("component") < F.col("component_2")) & (F.col("most_2") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("least_2") * percent)
+    fits &= F.least("left", "left_2") * (100 + percent) >= (F.col("least") + F.col("least_2")) * percent
     met = held.join(other, "token").where(fits).select("token", "component", "component_2")
     right = listed.select("token", F.col("class").alias("class_2"), F.col("size").alias("size_2"), F.col("place").alias("place_2"), F.col("component").alias("component_2"))
     met = met.join(listed, ["token", "component"]).join(right, ["token", "component_2"])
@@ -309,7 +320,7 @@ def _components(postings: DataFrame, classes: DataFrame, docs: DataFrame, like:
     links = durable(_linked(tried, classes, docs, like))
     found = durable(_named(links))
     for k in range(1, _ROUNDS + 1):
-        listed = _mixed(shared, found)
+        listed = _mixed(shared, found, like.percent)
         near = _ordered_pairs(_adjacent(_in_order(listed, k), like.percent))
         if k > 1:  # there are few components now, and the large groups have a hub
             near = near.union(_ordered_pairs(_with_hubs(listed, links, found, classes, like.percent))).distinct()
@@ -319,7 +330,7 @@ def _components(postings: DataFrame, classes: DataFrame, docs: DataFrame, like:
             break
         tried, links = tried.union(near), links.union(more)
         found = durable(_named(links))
-    rest = _ordered_pairs(_across(_mixed(shared, found), like.percent)).join(tried, ["a", "b"], "left_anti")
+    rest = _ordered_pairs(_across(_mixed(shared, found, like.percent), like.percent)).join(tried, ["a", "b"], "left_anti")
     return durable(_named(links.union(_linked(durable(rest), classes, docs, like))))
 
 
