@@ -306,9 +306,13 @@ def _across(listed: DataFrame, percent: int) -> DataFrame:
     other = held.select("token", *[F.col(c).alias(f"{c}_2") for c in ("component", "least", "most", "left")])
     fits = (F.col("component") < F.col("component_2")) & (F.col("most_2") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("least_2") * percent)
     fits &= F.least("left", "left_2") * (100 + percent) >= (F.col("least") + F.col("least_2")) * percent
-    met = held.join(other, "token").where(fits).select("token", "component", "component_2")
+    met = held.join(other, "token").where(fits).select("token", "component", "component_2", "least_2", "most_2", "left_2")
+    # Members that no member of the other component can fit go before the two sides are joined.
+    can = (F.col("most_2") * 100 >= F.col("size") * percent) & (F.col("size") * 100 >= F.col("least_2") * percent)
+    can &= F.least(F.col("size") - F.col("place"), "left_2") * (100 + percent) >= (F.col("size") + F.col("least_2")) * percent
+    met = met.join(listed, ["token", "component"]).where(can)
     right = listed.select("token", F.col("class").alias("class_2"), F.col("size").alias("size_2"), F.col("place").alias("place_2"), F.col("component").alias("component_2"))
-    met = met.join(listed, ["token", "component"]).join(right, ["token", "component_2"])
+    met = met.join(right, ["token", "component_2"])
     return met.where(_possible(percent, F.col("size"), F.col("place"), F.col("size_2"), F.col("place_2")))
 
 

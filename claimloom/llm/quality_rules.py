@@ -70,14 +70,13 @@ def repeat_words(words: w.Words) -> np.ndarray:
     row = np.repeat(np.arange(len(words.counts)), words.counts)
     if not len(windows):
         return np.zeros(len(words.counts), np.int64)
-    whole = row[: len(windows)] == row[2:]
-    keys = w.mix(windows + row[: len(windows)].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    place = np.flatnonzero(row[: len(windows)] == row[2:])  # windows that end in their text
+    keys = w.mix(windows[place] + row[place].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     order = np.argsort(keys)
     same = keys[order][1:] == keys[order][:-1]
-    again = np.zeros(len(keys), bool)
-    again[order[1:][same]] = True
-    again[order[:-1][same]] = True
-    again &= whole
+    again = np.zeros(len(windows), bool)
+    again[place[order[1:][same]]] = True
+    again[place[order[:-1][same]]] = True
     inside = np.zeros(len(words.keys), bool)
     for k in range(3):
         inside[k : k + len(again)] |= again

@@ -1,0 +1,350 @@
+"""The operators against plain statements of their results, and their edge cases."""
+
+import random
+import struct
+import zlib
+from collections import Counter
+
+import duckdb
+import numpy as np
+import pyarrow as pa
+import pytest
+import zstandard
+from pyspark.sql import functions as F
+
+import corpus_pipeline
+from claimloom.llm import binary, chat, decontaminate, jaccard, line_dedup, mixing, quality_classifier, quality_rules, queries, sharding, url_filters
+from claimloom.llm import words as w
+from claimloom.session import _shared_folder
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, class string, `size` int, token string, shard string"
+VOCABULARY = [f"w{k}" for k in range(300)]
+
+
+def frame(spark, rows):
+    """Documents with columns whose names clash with inner ones."""
+    return spark.createDataFrame([(i, t, None, s, None, "x", 1, "t", "old") for i, t, s in rows], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empty and long texts, ties and repeated rows."""
+    long = " ".join(random.Random(1).choices(VOCABULARY, k=30_000))
+    rows = [(None, None, None), (None, "a b c", "s"), (1, "", "s"), (2, " \t\n", None), (3, "one", "s"), (3, "one", "s"), (4, long, "s"), (5, long, "t"), (5, long + " end", "t"), (6, "Ä é\nx", "t")]
+    return frame(spark, rows)
+
+
+def plain_words(text):
+    return [x.decode() for x in (text or "").encode().split()]
+
+
+def near_copies(seed, n=120):
+    rng = random.Random(seed)
+    rows = []
+    for k in range(n):
+        text = rng.choices(VOCABULARY, k=rng.randint(1, 60))
+        if rows and rng.random() < 0.7:
+            text = rng.choice(rows)[1].split()
+            for _ in range(rng.randint(0, 2)):
+                text[rng.randrange(len(text))] = rng.choice(VOCABULARY)
+        rows.append((k, " ".join(text)))
+    return rows
+
+
+def brute_components(rows, n, percent):
+    sets = {}
+    for i, t in rows:
+        x = [c.lower() for c in plain_words(t)]
+        sets[i] = {tuple(x[k : k + n]) for k in range(len(x) - n + 1)} or ({tuple(x)} if x else set())
+    parent = {i: i for i in sets}
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    ids = sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                x, y = sorted((root(a), root(b)))
+                parent[y] = x
+    return {(i, len(sets[i]), root(i)) for i in ids}
+
+
+@pytest.mark.parametrize(("seed", "n", "percent"), [(1, 4, 85), (2, 5, 80)])
+def test_jaccard(spark, seed, n, percent):
+    rows = near_copies(seed)
+    df = frame(spark, [(i, t, "s") for i, t in rows])
+    got = {tuple(r) for r in jaccard.near_duplicates(df, like=jaccard.Similarity(n, percent)).collect()}
+    expected = brute_components(rows, n, percent)
+    assert got == expected
+    assert len({c for _, _, c in expected}) < len(rows)
+    kept = {r["doc_id"] for r in jaccard.keep_one(df, like=jaccard.Similarity(n, percent)).collect()}
+    assert kept == {c for _, _, c in expected}
+
+
+def test_jaccard_odd(spark, odd):
+    got = Counter(tuple(r) for r in jaccard.near_duplicates(odd).collect())
+    assert sum(got.values()) == odd.count()
+    assert got[(3, 1, 3)] == 2 and got[(1, 0, 1)] == 1 and got[(None, 0, None)] == 1 and got[(None, 1, None)] == 1
+    assert {r[2] for r in got if r[0] in (4, 5)} == {4}
+    kept = jaccard.keep_one(odd)
+    assert kept.columns == odd.columns
+    assert Counter(r["doc_id"] for r in kept.collect()) == Counter([None, None, 1, 2, 3, 4, 6])
+    assert jaccard.near_duplicates(odd.limit(0)).count() == 0
+
+
+def plain_report(text):
+    x = plain_words(text)
+    windows = [tuple(x[k : k + 3]) for k in range(len(x) - 2)]
+    many = Counter(windows)
+    inside = {k + d for k, g in enumerate(windows) if many[g] > 1 for d in range(3)}
+    seen, lines = set(), 0
+    for line in (text or "").split("\n"):
+        if plain_words(line):
+            lines += line in seen
+            seen.add(line)
+    failed = len(x) < 50 or 100 * len(inside) > 50 * len(x)
+    return len(x), sum(map(len, x)), sum(c in "#*$%&|<>" for c in text or ""), lines, len(inside), failed
+
+
+def test_quality_rules(spark, odd):
+    rng = random.Random(3)
+    made = [(k, " ".join(rng.choices(VOCABULARY[: rng.choice((5, 300))] + ["é#", "\n", "x|y"], k=rng.randint(0, 300))), "s") for k in range(60)]
+    for df in (frame(spark, made), odd):
+        texts = Counter((r["doc_id"], *plain_report(r["text"])) for r in df.collect())
+        report = quality_rules.rule_report(df).collect()
+        assert Counter(tuple(r)[:7] for r in report) == texts
+        kept = quality_rules.keep(df)
+        assert kept.columns == df.columns and kept.count() == sum(r["kept"] for r in report)
+    assert quality_rules.rule_report(odd.limit(0)).count() == 0
+
+
+def test_bands():
+    judge = lambda x: quality_rules.judge(x, quality_rules.Bands(), zstandard.ZstdCompressor(level=3))[3]
+    rng = random.Random(4)
+    prose = " ".join("".join(rng.choices(["the", "an", "stor", "ly", "ing", "er", "ed", "wh", "tion", "of", "re"], k=rng.randint(1, 4))) for _ in range(4000)).encode()
+    assert not judge(b"again and again " * 3000) and not judge(random.Random(5).randbytes(50_000))
+    assert not judge(prose[:9000] + b"x" * 30_000) and judge(prose) and judge(b"")
+
+
+def edits(rng, item, k):
+    text = list(item)
+    for _ in range(k):
+        at = rng.randrange(len(text))
+        kind = rng.random()
+        if kind < 0.4:
+            text[at] = rng.choice(VOCABULARY)
+        elif kind < 0.7:
+            del text[at]
+        else:
+            text.insert(at, rng.choice(VOCABULARY))
+    return text
+
+
+def plain_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        last, row = row, [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+    return row[-1]
+
+
+def test_decontamination_recall_and_exactness(spark):
+    rng = random.Random(6)
+    items = [(k, " ".join(rng.choices(VOCABULARY, k=rng.randint(5, 40)))) for k in range(25)]
+    rows = []
+    for k in range(150):
+        text = rng.choices(VOCABULARY, k=rng.randint(0, 40))
+        item = rng.choice(items)[1].split()
+        if rng.random() < 0.8:
+            text += edits(rng, item, rng.randint(0, len(item) // 4))
+        rows.append((k, " ".join(text + rng.choices(VOCABULARY, k=rng.randint(0, 30))), "s"))
+    expected = {}
+    for i, t, _ in rows:
+        x = t.split()
+        for j, u in items:
+            y = u.split()
+            best = min(((plain_distance(y, x[s : s + len(y)]), s) for s in range(len(x))), default=(99, 0))
+            if best[0] <= len(y) * 20 // 100:
+                expected[i, j] = best
+    benchmark = spark.createDataFrame(items, "item_id long, text string")
+    df = frame(spark, rows)
+    got = {(r["doc_id"], r["item_id"]): (r["distance"], r["start"]) for r in decontaminate.matches(df, benchmark).collect()}
+    assert len(expected) > 60
+    assert set(got) <= set(expected) and len(got) >= 0.97 * len(expected)
+    assert sum(got[k] == expected[k] for k in got) >= 0.97 * len(got)
+    kept = decontaminate.clean(df, benchmark)
+    assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i, _, _ in rows} - {i for i, _ in got}
+
+
+def test_decontamination_odd(spark, odd):
+    benchmark = spark.createDataFrame([(1, None), (2, ""), (3, "ONE!"), (None, "a, b c")], "item_id long, text string")
+    got = Counter((r["doc_id"], r["item_id"]) for r in decontaminate.matches(odd, benchmark).collect())
+    assert got == Counter({(3, 3): 2, (None, None): 1})
+    assert decontaminate.matches(odd.limit(0), benchmark).count() == 0
+    assert decontaminate.matches(odd, benchmark.limit(0)).count() == 0
+
+
+def test_sharding(spark, odd):
+    names = [f"s{k}" for k in range(7)]
+    table = sharding.lookup_table(names, 997)
+    counts = Counter(table.tolist())
+    assert max(counts.values()) - min(counts.values()) <= 1
+    fewer = sharding.lookup_table(names[:-1], 997)
+    stay = table != 6
+    assert (fewer[stay] == table[stay]).mean() > 0.75
+    placed = sharding.place(odd, names, size=997)
+    assert placed.count() == odd.count() and Counter(placed.columns) == Counter([*odd.columns, "slot"])
+    assert all(r["shard"] == names[table[r["slot"]]] for r in placed.collect())
+    assert placed.where("doc_id = 3").select("slot").distinct().count() == 1
+    assert sharding.place(odd.limit(0), names).count() == 0
+
+
+def test_mixing(spark, odd):
+    rng = random.Random(7)
+    rows = [(k, " ".join(rng.choices(VOCABULARY, k=rng.randint(0, 40))), rng.choice(["a"] * 20 + ["b", None, "c", "ß"])) for k in range(3000)]
+    mix = mixing.mix(frame(spark, rows)).collect()
+    by = {}
+    for r in mix:
+        by.setdefault(r["source"], []).append(r)
+        assert r["taken"] == r["copies"] * r["size"] <= 3 * r["size"]
+    assert sum(x[0]["target"] for x in by.values()) == pytest.approx(sum(r["size"] for r in mix))
+    for x in by.values():
+        assert abs(sum(r["taken"] for r in x) - x[0]["target"]) <= 40 and x[0]["target"] <= 3 * x[0]["source_size"]
+    out = mixing.mixed(odd)
+    wanted = mixing.mix(odd)
+    assert out.columns == odd.columns and out.count() == wanted.agg(F.sum("copies")).first()[0]
+    assert mixing.mix(odd.limit(0)).count() == 0
+
+
+def test_classifier(spark, odd):
+    rng = random.Random(8)
+    rows, labels = [], []
+    for k in range(400):
+        good = rng.random() < 0.7
+        rows.append((k, " ".join(x if good else x.upper() + "!!" for x in rng.choices(VOCABULARY, k=50)), "s"))
+        labels.append((k, int(good)))
+    labels = spark.createDataFrame([*labels, (None, 1), (7, None)], "doc_id long, quality int")
+    truth = {r["doc_id"]: r["quality"] for r in labels.where("quality is not null").collect()}
+    got = quality_classifier.scored(frame(spark, rows), labels).collect()
+    held = [r for r in got if r["held_out"]]
+    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in got)
+    assert np.mean([(r["score"] >= 0.5) == truth[r["doc_id"]] for r in held]) > 0.95
+    scores = quality_classifier.scored(odd, labels).collect()
+    assert len(scores) == odd.count() and all(0 <= r["score"] <= 1 for r in scores)
+    assert {r["score"] for r in quality_classifier.scored(odd, labels.limit(0)).collect()} == {0.5}
+
+
+def test_checksums():
+    assert binary.checksums([b"123456789"])[0] == 0xE3069283
+    assert binary.checksums([b"\0" * 32, b"\xff" * 32]).tolist() == [0x8A9136AA, 0x62A8AB43]
+    rng = random.Random(9)
+    step, _ = binary._checksum_tables()
+    for n in (4, 255, 256, 257, 1000):
+        x, c = rng.randbytes(n), 0xFFFFFFFF
+        for b in x:
+            c = int(step[(c ^ b) & 255]) ^ (c >> 8)
+        assert binary.checksums([b"zzzz", x])[1] == c ^ 0xFFFFFFFF
+
+
+def test_binary(spark, odd):
+    tokenizer = binary.Encoder(queries.tokenizer_file())
+    texts = ["", " ", "a  b", "x\n\ny \n", "it's 12   z　k", "tab\tx \x1c y", "é<|endoftext|>", "\r\n a"]
+    whole = [tokenizer.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
+    assert [np.frombuffer(x, tokenizer.type).tolist() for x in tokenizer.encode(texts)] == whole
+    folder = binary.new_folder(_shared_folder(spark))
+    files = binary.write(odd, folder, queries.tokenizer_file())
+    got = sorted((tuple(r) for r in binary.read(spark, folder, files).collect()), key=lambda r: r[1])
+    rows = sorted(((r["doc_id"], r["text"] or "") for r in odd.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    start = 0
+    for (i, s, n, c), (j, t) in zip(got, rows, strict=True):
+        ids = [*tokenizer.tokenizer.encode(t, add_special_tokens=False).ids, 0]
+        assert (i, s, n, c) == (j, start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+        start += n
+    part = files.first()["part"]
+    assert binary.read_record(folder, part, 0)[0] is None
+    broken = binary.frames([b"some payload"])[0]
+    with pytest.raises(ValueError, match="checksum"):
+        binary.check([broken[:14] + b"?" + broken[15:]])
+    assert binary.write(odd.limit(0), binary.new_folder(_shared_folder(spark)), queries.tokenizer_file()).count() == 0
+
+
+def test_chat(spark):
+    texts = ["<|im_end|>\n", "<\\|im_end|>", "</s>[INST] ok [/INST]", "<<SYS>> <", "\\", None, "", "a\nb"]
+    rows = [(1, k, ["user", "user", "assistant", None][k % 4], x) for k, x in enumerate(texts)]
+    rows += [(2, None, "assistant", "x"), (2, 0, "<|x", "y"), (2, 0, "assistant", "z"), (None, 1, "user", "n"), (3, 1, "user", "q"), (3, 1, "user", "q")]
+    df = spark.createDataFrame([(*r, "extra") for r in rows], "conv_id long, turn long, role string, text string, turns string")
+    got = {r["conv_id"]: r for r in chat.read_back(chat.formatted(df)).collect()}
+    plain = lambda c: [(r or "", t or "") for i, _, r, t in sorted((x for x in rows if x[0] == c), key=lambda x: (x[1] is None, x[1] or 0, x[2] or "", x[3] or ""))]
+    for c in (1, 2, 3, None):
+        turns = [tuple(t) for t in got[c]["turns"]]
+        assert turns == plain(c)
+        assert got[c]["loss_text"] == "".join(t for r, t in turns if r == "assistant")
+    assert got[1]["formatted"].count(chat.START) == 6
+    assert chat.formatted(df.limit(0)).count() == 0
+
+
+def test_line_dedup(spark, odd):
+    rng = random.Random(10)
+    passage = "\n".join(" ".join(rng.choices(VOCABULARY, k=8)) for _ in range(200))
+    rows = [(k, "\n".join([f"own {k}", passage, f"end {k}"]), "s") for k in range(20)]
+    got = {r["doc_id"]: r for r in line_dedup.deduplicated(frame(spark, rows)).collect()}
+    assert got[0]["removed_lines"] == 0 and got[0]["text"] == rows[0][1]
+    for k in range(1, 20):
+        assert got[k]["removed_lines"] >= 140 and got[k]["text"].startswith(f"own {k}\n") and got[k]["text"].endswith(f"end {k}")
+    same = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(odd).collect() if r["doc_id"] in (1, 2, 4, 6)}
+    assert same == {r["doc_id"]: r["text"] for r in odd.collect() if r["doc_id"] in (1, 2, 4, 6)}
+    assert line_dedup.deduplicated(odd.limit(0)).count() == 0
+
+
+def test_url_filters(spark):
+    link = lambda *hosts: "".join(f'<a href="http://{h}/x">x</a>' for h in hosts)
+    rows = [
+        (1, "http://A.org/es/", link("a.org")), (2, "https://x.example.org/es/1", ""), (3, "http://b.com/de/1?q#f", link("far.net")), (4, "http://b.com/fr/", None),
+        (5, None, ""), (6, "no url", link("spam.com")), (7, "http://spam.com/de/", None), (8, "http://farm.net/a", link("spam.com", "SPAM.com")), (9, "http://good.net", link("a.org")),
+        (10, "http://example.org/en/12", ""), (11, "http://notexample.org/es/", ""), (11, "http://notexample.org/es/", ""),
+    ]
+    df = spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, host string")
+    got = {r["page_id"]: r for r in url_filters.judged(df, url_filters.RULES).collect()}
+    verdicts = {k: (r["host"], r["path"], r["rule"], r["verdict"]) for k, r in got.items()}
+    assert verdicts == {
+        1: ("a.org", "/es/", "org/", "allow"), 2: ("x.example.org", "/es/1", "example.org/es/", "block"), 3: ("b.com", "/de/1", "com/de/", "block"), 4: ("b.com", "/fr/", "com/fr/", "allow"),
+        5: ("", "", None, "allow"), 6: ("", "", None, "allow"), 7: ("spam.com", "/de/", "com/de/", "block"), 8: ("farm.net", "/a", None, "block"), 9: ("good.net", "", None, "allow"),
+        10: ("example.org", "/en/12", "example.org/en/1", "block"), 11: ("notexample.org", "/es/", "org/", "allow"),
+    }
+    assert got[8]["distrust"] == pytest.approx(0.15 * 0.85) and got[9]["trust"] == 0
+    assert url_filters.judged(df.limit(0), url_filters.RULES).count() == 0
+
+
+def test_words():
+    texts = pa.array(["aB c", None, "", "\x0bé\tc ", "c"])
+    words = w.split(texts, lower=True)
+    assert words.counts.tolist() == [2, 0, 0, 2, 1] and words.keys[1] == words.keys[3] == words.keys[4]
+    assert [len(x) for _, x in w.slices(texts, 4)] == [3, 1, 1]
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_query(spark, sf_dir, name):
+    connection = duckdb.connect()
+    for table in ("documents", "conversations"):
+        connection.execute(f"create view {table} as select * from '{sf_dir}/{table}.parquet'")
+    result = connection.execute(queries.ORACLES[name])
+    columns = [c[0] for c in result.description]
+    got = queries.QUERIES[name](spark, sf_dir)
+    assert sorted(got.columns) == sorted(columns)
+    assert Counter(tuple(r) for r in got.select(*columns).collect()) == Counter(result.fetchall())
+
+
+def test_pipeline(spark, odd, sf_dir):
+    docs, seen = odd, []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES):
+        path = f"{_shared_folder(spark)}/test-stage-{k}"
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
+        seen.append(docs.count())
+        if k < 4:
+            assert docs.columns == odd.columns
+    assert {r["doc_id"] for r in docs.collect()} <= {4, 5} and seen[0] == 3 and seen[1] == 1
