@@ -8,6 +8,7 @@ import pytest
 
 import __spark_entry__ as entry
 from claimloom.queries.fixtures import TABLES
+from claimloom.queries.registry import ORACLES, QUERIES
 
 
 @pytest.fixture(scope="module")
@@ -27,11 +28,11 @@ def rows(columns, data):
     return sorted(columns), Counter(tuple(value(row[i]) for i in order) for row in data)
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, sf_dir, database, name):
     df = entry.queries()[name](spark, sf_dir)
     got = rows(df.columns, [tuple(r) for r in df.collect()])
-    result = database.execute(entry.oracle_sql()[name])
+    result = database.execute(ORACLES[name])
     expected = rows([c[0] for c in result.description], result.fetchall())
     assert got[0] == expected[0]
     assert got[1] == expected[1], (list((got[1] - expected[1]).items())[:2], list((expected[1] - got[1]).items())[:2])
@@ -43,6 +44,6 @@ def test_entry(spark):
 
 
 def test_no_query_compares_every_pair(spark, sf_dir):
-    for name, query in entry.queries().items():
+    for name, query in QUERIES.items():
         plan = query(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
         assert "NestedLoop" not in plan and "Cartesian" not in plan, name
