@@ -42,7 +42,7 @@ from claimloom.llm import words as w
 from claimloom.session import durable
 
 END = 0
-_PIECES = 300_000
+_PIECES = 1_000_000
 _HEAD = "<qBBI"
 _BLOCK = 256
 _INDEX = np.dtype([("place", "<u8"), ("size", "<u8"), ("tokens", "<u4")])
