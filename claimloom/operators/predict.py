@@ -29,9 +29,10 @@ def predict(inputs: DataFrame, make_predictor: Callable[[], Predictor], keep: bo
     """Predict from (doc_id, email_text, table_data, xlsx_data).
 
     ``make_predictor`` runs once per task, so a client or model is opened where it is used.
-    Columns the predictor leaves out are NULL.  If it fails on a batch, the documents go
-    through it one by one, and only those that fail again get a ``prediction_error``.  With
-    ``keep`` the predictions are written to the shared folder: a costly predictor must not
+    Columns the predictor leaves out are NULL, and a document it leaves out gets a
+    ``prediction_error``.  If it fails on a batch, or answers for documents it was not given
+    or twice for one, each half of the batch goes through it again, down to the documents
+    at fault, which get a ``prediction_error``.  With ``keep`` the predictions are written to the shared folder: a costly predictor must not
     run again for every sink.
     """
     names = PREDICTION_SCHEMA.fieldNames()
@@ -43,20 +44,34 @@ def predict(inputs: DataFrame, make_predictor: Callable[[], Predictor], keep: bo
             absent = {name: None for name in names if name not in found.columns}
             return found.assign(**absent)[names]
 
-        def one(document: pd.DataFrame) -> pd.DataFrame:
-            try:
-                return complete(predictor(document))
-            except Exception as error:
-                return complete(document[["doc_id"]].assign(prediction_error=f"{type(error).__name__}: {error}"))
+        def failed(documents: pd.DataFrame, why: str) -> pd.DataFrame:
+            return complete(documents[["doc_id"]].assign(prediction_error=why))
 
-        for batch in batches:
+        def answered(documents: pd.DataFrame) -> pd.DataFrame:
+            found = complete(predictor(documents))
+            got, sent = found["doc_id"].value_counts(), documents["doc_id"].value_counts()
+            if (got > sent.reindex(got.index, fill_value=0)).any():
+                raise ValueError("unknown or repeated documents in the answer")
+            return found
+
+        def answers(documents: pd.DataFrame) -> Iterator[pd.DataFrame]:
             try:
-                found = complete(predictor(batch))
-            except Exception:
-                for row in range(len(batch)):
-                    yield one(batch.iloc[[row]])
+                found = answered(documents)
+            except Exception as error:
+                if len(documents) < 2:
+                    yield failed(documents, f"{type(error).__name__}: {error}")
+                else:
+                    half = len(documents) // 2
+                    yield from answers(documents.iloc[:half])
+                    yield from answers(documents.iloc[half:])
             else:
                 yield found
+                absent = documents[~documents["doc_id"].isin(found["doc_id"])]
+                if len(absent):
+                    yield failed(absent, "no prediction")
+
+        for batch in batches:
+            yield from answers(batch)
 
     predictions = inputs.select("doc_id", "email_text", "table_data", "xlsx_data").mapInPandas(
         run, PREDICTION_SCHEMA

@@ -1,4 +1,4 @@
-"""The cleaning rules once more, in plain Python, for one text at a time."""
+"""Block removal and normalisation once more, in plain Python, for one text at a time."""
 
 import re
 import unicodedata
@@ -58,57 +58,3 @@ def without_disclaimers(text, markers=fixed.BLOCK_MARKERS, endings=fixed.BLOCK_E
             tail = tail[stop.end() :] if stop else tail
         text = head + tail
     return text, fixed.BLOCK_ROUNDS
-
-
-def paragraphs(text):
-    return [p.strip() for p in re.split(r"\n\s*\n", text) if p.strip()]
-
-
-def filled(text):
-    return [line.strip() for line in text.split("\n") if line.strip()]
-
-
-def is_table(p):
-    lines = filled(p)
-    aligned = sum(1 for line in lines if "\t" in line or re.search(r"\w{2,}\s{3,}\w{2,}", line))
-    return sum(line.count("|") > 1 for line in lines) > 1 or (len(lines) > 1 and aligned * 2 >= len(lines))
-
-
-def is_protected(p):
-    rest = EMAIL.sub("", p)
-    return any(re.search(pattern, rest) for pattern in fixed.PROTECTED_PATTERNS)
-
-
-def is_header(p):
-    if any(re.search(fixed.HEADER_PATTERNS[i], p, re.IGNORECASE) for i in (1, 2)):
-        return True
-    lines = filled(p)
-    headers = [line for line in lines if any(re.search(h, line, re.IGNORECASE) for h in fixed.HEADER_PATTERNS)]
-    if len(lines) == 1:
-        return len(headers) == 1
-    metadata = any(re.search(fixed.METADATA_LINE, line, re.IGNORECASE) for line in lines)
-    return len(headers) * 2 >= len(lines) or (metadata and len(lines) < 5)
-
-
-def is_footer(p):
-    return any(re.search(f, p, re.IGNORECASE) for f in fixed.FOOTER_PATTERNS)
-
-
-def is_disclaimer(p):
-    low = p.lower()
-    return sum(k in low for k in fixed.DISCLAIMER_KEYWORDS) >= fixed.DISCLAIMER_KEYWORD_MINIMUM or any(
-        re.search(b, p, re.IGNORECASE) for b in fixed.BOILERPLATE_PATTERNS
-    )
-
-
-def paragraph_class(p):
-    tests = [("table", is_table), ("protected", is_protected), ("header", is_header),
-             ("footer", is_footer), ("disclaimer", is_disclaimer)]
-    return next((name for name, test in tests if test(p)), "body")
-
-
-def clean(text):
-    text = without_disclaimers(without_addresses(without_cc(normal(text))[0])[0])[0]
-    classed = [(p, paragraph_class(p)) for p in paragraphs(text)]
-    first = [p for p, c in classed if c in ("table", "protected")]
-    return "\n\n".join(first + [p for p, c in classed if c == "body"])
