@@ -7,9 +7,10 @@ is its share of the n-grams of its kind.  A score is the logistic function of a
 sparse dot product.
 
 Training takes at most ``sample`` labelled documents, the first in the order of a hash of the
-id, so the sample is the same in every run and its size does not grow with the corpus.  It
-is dealt to ``workers`` tasks; in each of ``rounds`` rounds a task updates the leader's sums
-(gradients and their squares, per weight) over its share, and the sums are averaged.
+id, so the sample is the same in every run and its size does not grow with the corpus.  Its
+features are written once, dealt to ``workers`` shares; in each of ``rounds`` rounds one task a
+share reads it without a shuffle and updates the leader's sums (gradients and their squares,
+per weight), and the sums are averaged.
 Averages have a fixed size (two tables of 2^18 numbers a task).  Scoring is one narrow pass.
 
 Defined results: null or empty texts have no features and the score of the bias; null labels
@@ -20,6 +21,8 @@ gives an empty result.  The only inputs of a score are the text's words.
 
 from __future__ import annotations
 
+import functools
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
@@ -30,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom.llm import words as w
-from claimloom.session import durable
+from claimloom.session import _shared_folder, durable
 
 BITS = 18
 _VIEWS = 5
@@ -121,15 +124,21 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def _learner(state: Broadcast, how: Training) -> Callable[[pa.Table], pa.Table]:
-    """One task's pass over its examples, from the averaged sums on."""
+_EXAMPLES = "spread long, quality int, numbers array<int>, shares array<double>"
 
-    def learn(table: pa.Table) -> pa.Table:
+
+def _learner(state: Broadcast, how: Training) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """One task's pass over its share of the sample, from the averaged sums on."""
+
+    def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = list(batches)
+        if not sum(x.num_rows for x in held):
+            return
         z, n = (x.copy() for x in state.value)
-        table = table.sort_by([("spread", "ascending"), ("quality", "ascending")])
+        table = pa.Table.from_batches(held).sort_by([("spread", "ascending"), ("quality", "ascending")])
         for numbers, shares, label in zip(table["numbers"], table["shares"], table["quality"].to_pylist(), strict=True):
             update(numbers.values.to_numpy(), shares.values.to_numpy(), label, z, n, how)
-        return pa.table({"z": pa.array([z.tobytes()], pa.binary()), "n": pa.array([n.tobytes()], pa.binary())})
+        yield pa.RecordBatch.from_arrays([pa.array([z.tobytes()], pa.binary()), pa.array([n.tobytes()], pa.binary())], ["z", "n"])
 
     return learn
 
@@ -159,13 +168,15 @@ def train(docs: DataFrame, labels: DataFrame, how: Training = Training()) -> tup
 
     # The sample's size is a parameter, so it may be sent to every task.
     rows = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(spread.alias("spread"), F.col("quality").cast("int").alias("quality"), "text")
-    examples = durable(rows.mapInArrow(run, "spread long, quality int, numbers array<int>, shares array<double>"))
-    worker = F.pmod("spread", F.lit(how.workers)).cast("int").alias("worker")
+    spark, path = docs.sparkSession, f"{_shared_folder(docs.sparkSession)}/examples-{uuid.uuid4().hex}"
+    worker = F.pmod("spread", F.lit(how.workers)).cast("int")
+    rows.mapInArrow(run, _EXAMPLES).withColumn("worker", worker).write.partitionBy("worker").parquet(path)
+    examples = spark.read.schema(f"{_EXAMPLES}, worker int").parquet(path)
+    shares = [examples.where(F.col("worker") == k).drop("worker").coalesce(1) for k in range(how.workers)]
     z, n = np.zeros((1 << BITS) + 1), np.zeros((1 << BITS) + 1)
     for _ in range(how.rounds):
-        state = docs.sparkSession.sparkContext.broadcast((z, n))
-
-        learned = examples.withColumn("worker", worker).groupBy("worker").applyInArrow(_learner(state, how), "z binary, n binary").collect()
+        learn = _learner(spark.sparkContext.broadcast((z, n)), how)
+        learned = functools.reduce(DataFrame.union, [x.mapInArrow(learn, "z binary, n binary") for x in shares]).collect()
         if not learned:
             break
         z = np.mean([np.frombuffer(r["z"]) for r in learned], axis=0)
