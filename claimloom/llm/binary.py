@@ -13,8 +13,9 @@ when it is whole, so a repeated task leaves one file.  Files go through the file
 the folder's URI, never to a task's machine.
 
 Encoding looks up pieces: the tokenizer's pattern never joins a character to white space that
-follows, so a text may be cut before white space and each distinct piece is encoded once by
-each Python worker; its table of pieces has a fixed largest size.
+follows, nor a letter to a mark that follows (but for the apostrophe), so a text may be cut there.
+Arrow numbers the distinct pieces of a slice of texts, each Python worker encodes a piece once, and
+the tokens of all pieces are then gathered by number; the table of pieces has a fixed largest size.
 
 Defined results: null text is empty, an empty text has the end token only; null ids come
 first and read back as null; equal ids are ordered by text; repeated rows are records of their
@@ -24,8 +25,8 @@ own; an empty table gives no record.  Only the id and text columns are read.
 from __future__ import annotations
 
 import functools
+import itertools
 import os
-import re
 import struct
 import uuid
 import zlib
@@ -43,6 +44,7 @@ from claimloom.session import durable
 
 END = 0
 _PIECES = 1_000_000
+_SLICE_BYTES = 8 << 20
 _HEAD = "<qBBI"
 _BLOCK = 256
 _INDEX = np.dtype([("place", "<u8"), ("size", "<u8"), ("tokens", "<u4")])
@@ -97,6 +99,33 @@ def masked(sums: np.ndarray) -> np.ndarray:
     return ((sums >> np.uint32(15)) | (sums << np.uint32(17))) + np.uint32(0xA282EAD8)
 
 
+def _bytes(*ranges: tuple[int, int]) -> np.ndarray:
+    own = np.zeros(256, bool)
+    for low, high in ranges:
+        own[low : high + 1] = True
+    return own
+
+
+#: White space (1) and marks (2); what may stand before them at a cut, four times these bits.
+_CLASS = (
+    _bytes((9, 13), (32, 32)) * 1
+    + _bytes((33, 38), (40, 47), (58, 64), (91, 96), (123, 126)) * 2
+    + _bytes((33, 126), (128, 255)) * 4
+    + _bytes((65, 90), (97, 122)) * 8
+).astype(np.uint8)
+_UNSURE = _bytes((0xC2, 0xC2), (0x80, 0x81), (0x9A, 0x9A))
+
+
+def _cuts(data: np.ndarray) -> np.ndarray:
+    """Where a text may be cut: before white space after none, or a mark after a letter.
+
+    Some white space beyond ASCII ends in the bytes of other characters; there is no cut after those.
+    """
+    kind = _CLASS[data]
+    at = np.flatnonzero(kind[1:] & (kind[:-1] >> 2)) + 1
+    return at[(data[at - 1] < 128) | ~_UNSURE[data[at - 2]]]
+
+
 class Encoder:
     """Texts to the bytes of their token ids."""
 
@@ -108,27 +137,55 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.type = np.dtype(f"<u{self.width}")
-        self.known: dict[str, bytes] = {}
-
-    @staticmethod
-    def pieces(text: str) -> list[str]:
-        """The text cut before white space that follows something else."""
-        if re.search(r"[\x1c-\x1f]", text):  # white space to some patterns only
-            return [text]
-        if not re.search(r"\s[ \n]", text):
-            first, *others = text.replace("\n", " \n").split(" ")
-            return [first, *[x if x[:1] == "\n" else " " + x for x in others]]
-        return re.findall(r"\s*\S+|\s+", text)
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        cut = [self.pieces(x) for x in texts]
-        known = self.known
-        if len(known) > _PIECES:
-            known.clear()
-        new = list(set().union(*cut).difference(known))
-        for piece, got in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            known[piece] = np.array(got.ids, self.type).tobytes()
-        return [b"".join(map(known.__getitem__, x)) for x in cut]
+        self.forget()
+
+    def forget(self) -> None:
+        """Piece k of ``known`` has the tokens ``first[k]`` to ``first[k + 1]`` of ``tokens``."""
+        self.known: dict[str, int] = {}
+        self.first, self.tokens, self.used = np.zeros(1 << 16, np.int64), np.zeros(1 << 18, self.type), 0
+
+    def numbers(self, pieces: list[str]) -> np.ndarray:
+        """The numbers of distinct pieces; new ones are encoded."""
+        if len(self.known) > _PIECES or self.used > 16 * _PIECES:
+            self.forget()
+        numbers = np.fromiter(map(self.known.get, pieces, itertools.repeat(-1)), np.int64, len(pieces))
+        missing = np.flatnonzero(numbers < 0)
+        if not len(missing):
+            return numbers
+        new = [pieces[i] for i in missing.tolist()]
+        found = [x.ids for x in self.tokenizer.encode_batch_fast(new, add_special_tokens=False)]
+        n = len(self.known)
+        numbers[missing] = np.arange(n, n + len(new))
+        self.known.update(zip(new, range(n, n + len(new)), strict=True))
+        ends = self.used + np.cumsum(np.fromiter(map(len, found), np.int64, len(found)))
+        if n + len(new) >= len(self.first):
+            self.first = np.resize(self.first, 2 * (n + len(new)))
+        if ends[-1] > len(self.tokens):
+            self.tokens = np.resize(self.tokens, 2 * ends[-1])
+        self.first[n + 1 : n + len(new) + 1] = ends
+        self.tokens[self.used : ends[-1]] = np.fromiter(itertools.chain.from_iterable(found), self.type, ends[-1] - self.used)
+        self.used = int(ends[-1])
+        return numbers
+
+    def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
+        if not isinstance(texts, pa.Array):
+            texts = pa.array(texts, pa.string())
+        data, offsets = w.text_bytes(texts)
+        begin = np.zeros(len(data) + 1, bool)
+        begin[_cuts(data)] = True
+        begin[offsets] = True  # a piece ends with its text
+        begin = np.flatnonzero(begin)
+        pieces = pa.LargeStringArray.from_buffers(len(begin) - 1, pa.py_buffer(begin), pa.py_buffer(data)).dictionary_encode()
+        numbers = self.numbers(pieces.dictionary.to_pylist())
+        own, sizes = self.first[numbers], self.first[numbers + 1] - self.first[numbers]
+        numbers = pieces.indices.to_numpy()
+        sizes = sizes[numbers]
+        ends = np.cumsum(sizes)
+        place = np.repeat((own[numbers] - ends + sizes).astype(np.int32), sizes)
+        place += np.arange(len(place), dtype=np.int32)
+        tokens = self.tokens[place].tobytes()
+        at = np.concatenate(([0], ends))[np.searchsorted(begin, offsets)] * self.width
+        return [tokens[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
 
 
 @functools.cache
@@ -174,14 +231,14 @@ def write(docs: DataFrame, folder: str, tokenizer_file: str, text: str = "text",
         last = np.array([end], encoder.type).tobytes()
         files, place, records, tokens = None, 0, 0, 0
         for batch in batches:
-            for at, some in w.slices(batch.column(1)):
+            for at, some in w.slices(batch.column(1), _SLICE_BYTES):
                 if files is None:
                     system, base = _file_system(folder)
                     system.create_dir(base, recursive=True)
                     names = [f"{base}/{kind}-{part:06d}" for kind in ("tokens", "index")]
                     files = [system.open_output_stream(f"{x}.{attempt}") for x in names]
                 ids = batch.column(0).slice(at, len(some)).to_pylist()
-                encoded = [x + last for x in encoder.encode([x or "" for x in some.to_pylist()])]
+                encoded = [x + last for x in encoder.encode(some)]
                 counts = [len(x) // encoder.width for x in encoded]
                 made = frames([struct.pack(_HEAD, i or 0, i is not None, encoder.width, n) + x for i, n, x in zip(ids, counts, encoded, strict=True)])
                 index = np.zeros(len(made), _INDEX)
