@@ -1,4 +1,5 @@
 import random
+import unicodedata
 
 import duckdb
 import pytest
@@ -6,7 +7,7 @@ from pyspark.sql import functions as F
 
 import plain_rules as plain
 from claimloom import fixed_values as fixed
-from claimloom.functions.normalise import normalise
+from claimloom.functions.normalise import foreign_pattern, normalise
 from claimloom.functions.text import first_lines, strip, without_emails
 from claimloom.operators import clean
 from claimloom.queries import sql_text as sql
@@ -53,6 +54,19 @@ def compare(df, column, expected):
     assert not wrong, wrong[:3]
 
 
+def test_only_texts_that_nfkc_may_change_go_to_python(spark):
+    usual = ["\u20b9 500 \u2013 10 %", "caf\u00e9, na\u00efve, Stra\u00dfe", "\u201cquoted\u201d \u2014 it\u2019s", "Привет", "\u6f22\u5b57\u304b\u306a", "plain"]
+    changed = ["a\u00a0b", "e\u0301", "\ufb01ne", "\u00bd", "\u2026", "\u1100\u1161", "\u304b\u3099", "q\u0323\u0307", "\u2122", "\u212b"]
+    df = spark.createDataFrame([(x,) for x in usual + changed], "t string")
+    foreign = {r[0] for r in df.where(F.col("t").rlike(foreign_pattern())).collect()}
+    assert foreign == set(changed)
+    rng = random.Random(5)
+    codes = [c for c in range(0x80, 0x30000) if not 0xD800 <= c < 0xE000]
+    texts = ["".join(map(chr, rng.choices(codes, k=3))) for _ in range(20_000)] + [f"a{chr(c)}" for c in codes[:0x3000]]
+    kept = spark.createDataFrame([(x,) for x in texts], "t string").where(~F.col("t").rlike(foreign_pattern())).collect()
+    assert kept and all(unicodedata.is_normalized("NFKC", r[0]) for r in kept)
+
+
 def test_normalise(texts):
     compare(texts.withColumn("r", normalise(F.col("raw_text"))), "r", plain.normal)
 
