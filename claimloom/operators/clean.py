@@ -33,6 +33,8 @@ DIGIT_FORMS = {
     r"\d{1,2}:\d{2}\s*(?:AM|PM)": r"\d:\d{2}\s*(?:AM|PM)",
     r"\d+\.?\d*\s*%": r"\d\.?\s*%",
 }
+if not DIGIT_FORMS.keys() <= set(fixed.PROTECTED_PATTERNS):
+    raise ValueError("a digit form belongs to no protected pattern")
 
 
 def _is_word(pattern: str) -> bool:
