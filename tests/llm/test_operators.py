@@ -1,6 +1,8 @@
 """The operators against plain statements of their results, and their edge cases."""
 
+import base64
 import random
+import re
 import struct
 import zlib
 from collections import Counter
@@ -129,6 +131,23 @@ def test_bands():
     assert not judge(prose[:9000] + b"x" * 30_000) and judge(prose) and judge(b"")
 
 
+def test_bands_by_length(spark, sf_dir):
+    rng = random.Random(11)
+    printable = [chr(x) for x in range(33, 127)]
+    letters = [x for x in printable if x.isalpha()]
+    drawn = lambda signs, n: " ".join("".join(rng.choices(signs, k=rng.randint(2, 9))) for _ in range(n // 6))
+    encoded = lambda n: re.sub("(.{11})", r"\1 ", base64.b64encode(rng.randbytes(n)).decode())
+    lines = lambda n: re.sub("(.{76})", r"\1\n", base64.b64encode(rng.randbytes(n)).decode())
+    made = [drawn(printable, n) for n in (350, 500, 700, 1_300, 2_500, 5_000, 40_000)]
+    made += [encoded(n) for n in (500, 700, 1_300, 2_500, 5_000, 40_000)] + [lines(n) for n in (5_000, 40_000)]
+    made += [drawn(letters, n) for n in (2_500, 5_000, 40_000)]
+    report = quality_rules.rule_report(frame(spark, [(k, x, "s") for k, x in enumerate(made)])).collect()
+    assert not any(r["base_failed"] for r in report) and not [r for r in report if r["kept"]]
+    docs = queries.table(spark, sf_dir, "documents")
+    clean = quality_rules.rule_report(docs).where("not base_failed").join(docs.select("doc_id", "lang"), "doc_id").collect()
+    assert {r["lang"] for r in clean} >= {"en", "de", "fr", "es"} and all(r["kept"] for r in clean)
+
+
 def edits(rng, item, k):
     text = list(item)
     for _ in range(k):
