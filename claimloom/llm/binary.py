@@ -27,6 +27,7 @@ from __future__ import annotations
 import functools
 import itertools
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -34,6 +35,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import pyarrow.fs  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -134,7 +136,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.tokenizer.encode_special_tokens = True
+        added = self.tokenizer.get_added_tokens_decoder().values()
+        literals = sorted((x.content for x in added if x.content), key=len, reverse=True)  # the longest at a place counts
+        self.literals = "|".join(map(re.escape, literals))
+        self.alone = not any(x.lstrip or x.rstrip or x.single_word or x.normalized for x in added)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.type = np.dtype(f"<u{self.width}")
         self.forget()
@@ -167,12 +172,29 @@ class Encoder:
         self.used = int(ends[-1])
         return numbers
 
+    def uncut(self, texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+        """Ranges of ``data`` that must be pieces: the added tokens, each inside its text."""
+        if not self.literals:
+            return
+        found = pc.fill_null(pc.match_substring_regex(texts, self.literals), False)
+        pattern = re.compile(self.literals.encode())
+        for row in np.flatnonzero(found.to_numpy(zero_copy_only=False)).tolist():
+            first, end = int(offsets[row]), int(offsets[row + 1])
+            if not self.alone:
+                yield first, end
+                continue
+            for x in pattern.finditer(data[first:end].tobytes()):
+                yield first + x.start(), first + x.end()
+
     def encode(self, texts: pa.Array | list[str]) -> list[bytes]:
         if not isinstance(texts, pa.Array):
             texts = pa.array(texts, pa.string())
         data, offsets = w.text_bytes(texts)
         begin = np.zeros(len(data) + 1, bool)
         begin[_cuts(data)] = True
+        for a, b in self.uncut(texts, data, offsets):
+            begin[a + 1 : b] = False
+            begin[[a, b]] = True
         begin[offsets] = True  # a piece ends with its text
         begin = np.flatnonzero(begin)
         pieces = pa.LargeStringArray.from_buffers(len(begin) - 1, pa.py_buffer(begin), pa.py_buffer(data)).dictionary_encode()

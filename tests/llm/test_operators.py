@@ -13,6 +13,7 @@ import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F
+from tokenizers import AddedToken, Tokenizer
 
 import corpus_pipeline
 from claimloom.llm import binary, chat, decontaminate, jaccard, line_dedup, mixing, quality_classifier, quality_rules, queries, sharding, url_filters
@@ -291,6 +292,34 @@ def test_binary(spark, odd):
     assert binary.write(odd.limit(0), binary.new_folder(_shared_folder(spark)), queries.tokenizer_file()).count() == 0
 
 
+def test_binary_added_tokens(spark):
+    whole = Tokenizer.from_file(queries.tokenizer_file())
+    mark = "<|endoftext|>"
+    texts = [f"abc {mark} def", f"é{mark}", mark, mark * 2 + "  x", f"a{mark}'s\n{mark}\n", "<|endo", "ftext|>", f"<{mark}>|", "<|endoftext|", None, f"{mark[:6]}{mark}", f"日本{mark}\u3000语"]
+    expected = [whole.encode(x or "", add_special_tokens=False).ids for x in texts]
+    assert expected[0] == [39305, 220, 50256, 825]
+    encoder = binary.Encoder(queries.tokenizer_file())
+    for some in (pa.array(texts), pa.chunked_array([["cut off", *texts]]).combine_chunks().slice(1)):
+        assert [np.frombuffer(x, encoder.type).tolist() for x in encoder.encode(some)] == expected
+    folder = binary.new_folder(_shared_folder(spark))
+    files = binary.write(frame(spark, [(k, x, "s") for k, x in enumerate(texts)]), folder, queries.tokenizer_file())
+    start = 0
+    for r, ids in zip(binary.read(spark, folder, files).orderBy("doc_id").collect(), expected, strict=True):
+        ids = [*ids, 0]
+        assert tuple(r)[1:] == (start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+        start += len(ids)
+
+
+@pytest.mark.parametrize("flags", [{}, {"lstrip": True}, {"rstrip": True}, {"single_word": True}])
+def test_binary_added_token_flags(tmp_path, flags):
+    whole = Tokenizer.from_file(queries.tokenizer_file())
+    whole.add_tokens([AddedToken("[X", normalized=False, **flags), AddedToken("[X Y]", normalized=False, **flags)])
+    whole.save(str(tmp_path / "tokenizer.json"))
+    encoder = binary.Encoder(str(tmp_path / "tokenizer.json"))
+    texts = ["a [X Y] b", "a[X b", "  [X  [X Y]  c", "[X [X Y", "plain a-b"]
+    assert [np.frombuffer(x, encoder.type).tolist() for x in encoder.encode(texts)] == [whole.encode(x, add_special_tokens=False).ids for x in texts]
+
+
 def test_chat(spark):
     texts = ["<|im_end|>\n", "<\\|im_end|>", "</s>[INST] ok [/INST]", "<<SYS>> <", "\\", None, "", "a\nb"]
     rows = [(1, k, ["user", "user", "assistant", None][k % 4], x) for k, x in enumerate(texts)]
