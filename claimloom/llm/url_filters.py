@@ -1,16 +1,15 @@
 """URL filters: host and path rules, and link-graph propagation for what no rule decides.
 
 A rule fits its host and all subdomains where the path starts with the rule's; the longest
-decides.  Hosts all of whose pages are allowed by rules are trusted seeds, hosts all of whose
-pages are blocked by rules are blocked seeds (callers may name others).  Over the edges
-between hosts, taken from the pages' links and added up by pair of hosts:
+decides.  A host is a trusted seed by the share of its pages that rules allow, and a blocked
+seed by the share that rules block (callers may name other seeds).  Over the edges between hosts, taken from the pages' links and added up by pair of hosts:
 
 * trust is personalised PageRank from the trusted seeds along links;
 * distrust is the same from the blocked seeds against the links: who links to a blocked host
   is distrusted.
 
 A host is blocked if its distrust is more than its trust and at least ``least_distrust`` of
-what a blocked seed starts with.
+what a host with only blocked pages starts with.
 
 Edges are counts per pair of hosts, so a host with a third of all pages is one node.  Each
 round is one join and one aggregation over edges, written down; rounds end when the scores no
@@ -93,13 +92,14 @@ def edges(pages: DataFrame) -> DataFrame:
 
 
 def propagated(edges: DataFrame, seeds: DataFrame, how: Propagation) -> DataFrame:
-    """``(host, score)``: personalised PageRank from ``seeds (host)`` along ``(source, target, links)``.
+    """``(host, score)``: personalised PageRank from ``seeds (host, mass)`` along ``(source, target, links)``.
 
-    Every seed starts with 1 - damping.
+    A seed starts with mass * (1 - damping); seeds without the column have mass 1.
     """
     out = edges.groupBy("source").agg(F.sum("links").alias("out"))
     steps = durable(edges.join(out, "source").select("source", "target", (F.col("links") / F.col("out")).alias("share")))
-    start = durable(seeds.select("host", F.lit(1 - how.damping).alias("score")).distinct())
+    mass = F.col("mass") if "mass" in seeds.columns else F.lit(1.0)
+    start = durable(seeds.groupBy("host").agg(F.max(mass * (1 - how.damping)).alias("score")))
     now = start
     for _ in range(how.rounds):
         moved = now.join(steps, now["host"] == steps["source"]).select(F.col("target").alias("host"), (F.col("score") * F.col("share") * how.damping).alias("score"))
@@ -138,8 +138,8 @@ def judged(
     ruled = durable(rows.select("page_id", "host", "path", rule("name").alias("rule"), rule("verdict").alias("by_rule")))
     share = lambda v: F.avg(F.when(F.col("by_rule") == v, 1).otherwise(0))
     hosts = durable(ruled.where("host != ''").groupBy("host").agg(share("allow").alias("allowed"), share("block").alias("blocked")))
-    trusted = hosts.where("allowed = 1").select("host") if trusted is None else trusted
-    blocked = hosts.where("blocked = 1").select("host") if blocked is None else blocked
+    trusted = hosts.where("allowed > 0").select("host", F.col("allowed").alias("mass")) if trusted is None else trusted
+    blocked = hosts.where("blocked > 0").select("host", F.col("blocked").alias("mass")) if blocked is None else blocked
     scores = host_scores(rows, trusted, blocked, how)
     met = ruled.join(scores, "host", "left").withColumns({c: F.coalesce(c, F.lit(0.0)) for c in ("trust", "distrust")})
     bad = (F.col("distrust") > F.col("trust")) & (F.col("distrust") >= how.least_distrust * (1 - how.damping))

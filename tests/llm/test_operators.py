@@ -367,6 +367,33 @@ def test_url_filters(spark):
     assert url_filters.judged(df.limit(0), url_filters.RULES).count() == 0
 
 
+def test_url_filters_mixed_hosts(spark):
+    link = lambda *hosts: "".join(f'<a href="http://{h}/x">x</a>' for h in hosts)
+    pages = [("bad.com", "/de/1", ""), ("bad.com", "/de/2", ""), ("bad.com", "/fr/1", link("both.net")), ("bad.com", "/it/1", ""), ("good.com", "/fr/1", link("friend.net")), ("good.com", "/fr/2", link("both.net"))]
+    pages += [("good.com", "/de/1", ""), ("good.com", "/it/1", ""), ("farm.net", "/a", link("bad.com")), ("friend.net", "/a", ""), ("both.net", "/a", link("good.com", "bad.com")), ("alone.net", "/a", "")]
+    df = spark.createDataFrame([(k, f"http://{h}{p}", x) for k, (h, p, x) in enumerate(pages)], "page_id long, url string, html string")
+    got = url_filters.judged(df, url_filters.RULES).collect()
+    masses = {"bad.com": (1 / 4, 2 / 4), "good.com": (2 / 4, 1 / 4)}
+    links = [("bad.com", "both.net"), ("good.com", "friend.net"), ("good.com", "both.net"), ("farm.net", "bad.com"), ("both.net", "good.com"), ("both.net", "bad.com")]
+
+    def plain(which, links):
+        hosts = sorted({h for h, _, _ in pages})
+        start = {h: 0.15 * masses.get(h, (0, 0))[which] for h in hosts}
+        now = start
+        for _ in range(20):
+            now = {h: start[h] + 0.85 * sum(now[a] / sum(x == a for x, _ in links) for a, b in links if b == h) for h in hosts}
+        return now
+
+    trust, distrust = plain(0, links), plain(1, [(b, a) for a, b in links])
+    for r in got:
+        assert r["trust"] == pytest.approx(trust[r["host"]], abs=1e-4) and r["distrust"] == pytest.approx(distrust[r["host"]], abs=1e-4)
+    undecided = {r["host"]: r["verdict"] for r in got if r["rule"] is None}
+    assert undecided["farm.net"] == "block" and undecided["friend.net"] == undecided["alone.net"] == "allow"
+    assert undecided == {h: "block" if distrust[h] > trust[h] and distrust[h] >= 0.015 else "allow" for h in undecided}
+    named = url_filters.judged(df, url_filters.RULES, blocked=df.limit(0).selectExpr("url as host")).collect()
+    assert {r["distrust"] for r in named} == {0.0}
+
+
 def test_words():
     texts = pa.array(["aB c", None, "", "\x0bé\tc ", "c"])
     words = w.split(texts, lower=True)
