@@ -12,8 +12,9 @@ lower-cased.
    current word and moves on by a random bit of step and word.  Few edits become few
    differing places.  ``walks`` independent walks are taken.
 3. *Bit sampling.*  Each walk gives ``samples`` keys of ``places`` sampled symbols.  A window
-   and its item that share a key are compared; the numbers are set for a recall of 0.99 at
-   the largest distance (measured in the tests).
+   and its item that share a key are compared; a key with only places behind the end of both
+   walks says nothing and is left out.  The numbers are set for a recall of 0.99 at the largest
+   distance (measured in the tests).
 4. *Check.*  Exact edit distances of the item and all windows within k words of the place.
 
 Documents are read in one narrow pass.  Items are sent to the tasks in blocks of at most
@@ -72,18 +73,21 @@ def embed(keys: np.ndarray, start: np.ndarray, length: np.ndarray, n: np.ndarray
     return out
 
 
-def sampled(keys: np.ndarray, start: np.ndarray, length: np.ndarray, n: np.ndarray, search: Search) -> np.ndarray:
-    """The keys of each window, one row for each walk and sample."""
+def sampled(keys: np.ndarray, start: np.ndarray, length: np.ndarray, n: np.ndarray, search: Search) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of each window, one row for each walk and sample, and whether a key has a word in it."""
     rng = np.random.default_rng(search.seed)
-    rows = []
+    rows, reached = [], []
     for walk in range(search.walks):
         symbols = embed(keys, start, length, n, walk, search.seed)
         for _ in range(search.samples):
-            total = n.astype(np.uint64)
+            total, some = n.astype(np.uint64), np.zeros(len(n), bool)
             for share in rng.random(search.places):
-                total = w.mix(total + symbols[(share * 3 * n).astype(np.int64), np.arange(len(n))])
+                symbol = symbols[(share * 3 * n).astype(np.int64), np.arange(len(n))]
+                total = w.mix(total + symbol)
+                some |= symbol != 0
             rows.append(total)
-    return np.array(rows)
+            reached.append(some)
+    return np.array(rows), np.array(reached)
 
 
 def distances(item: np.ndarray, windows: list[np.ndarray]) -> np.ndarray:
@@ -112,6 +116,7 @@ class Items:
     search: Search
     segments: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=dict)
     marks: np.ndarray | None = None
+    reached: np.ndarray | None = None
 
     @classmethod
     def of(cls, ids: list, texts: list, search: Search) -> Items:
@@ -133,8 +138,9 @@ class Items:
         n = words.counts
         full = np.flatnonzero(n > 0)
         items.marks = np.zeros((search.walks * search.samples, len(n)), np.uint64)
+        items.reached = np.zeros(items.marks.shape, bool)
         if len(full):
-            items.marks[:, full] = sampled(words.keys, words.first[full], n[full], n[full], search)
+            items.marks[:, full], items.reached[:, full] = sampled(words.keys, words.first[full], n[full], n[full], search)
         return items
 
     def places(self, words: w.Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -159,6 +165,11 @@ class Items:
         rows = np.unique(np.concatenate(found, axis=1), axis=1)
         return rows[0], rows[1], rows[2]
 
+    def alike(self, keys: np.ndarray, start: np.ndarray, length: np.ndarray, n: np.ndarray, item: np.ndarray) -> np.ndarray:
+        """The windows that share a key with their item; a key behind the end of both walks says nothing."""
+        marks, reached = sampled(keys, start, length, n, self.search)
+        return ((marks == self.marks[:, item]) & (reached | self.reached[:, item])).any(axis=0)
+
     def matches(self, texts: pa.Array) -> dict[tuple[int, int], tuple[int, int]]:
         """``(row, item)`` to the least distance and the first word of its first window."""
         words = _words(texts)
@@ -168,8 +179,7 @@ class Items:
             return best
         n = np.diff(self.first)[item]
         length = np.minimum(n, words.first[row + 1] - start)
-        same = sampled(words.keys, start, length, n, self.search) == self.marks[:, item]
-        for k in np.flatnonzero(same.any(axis=0)):
+        for k in np.flatnonzero(self.alike(words.keys, start, length, n, item)):
             r, i, at = int(row[k]), int(item[k]), int(start[k])
             wanted = self.keys[self.first[i] : self.first[i + 1]]
             begin, end = int(words.first[r]), int(words.first[r + 1])

@@ -200,6 +200,29 @@ def test_decontamination_recall_and_exactness(spark):
     assert kept.columns == df.columns and {r["doc_id"] for r in kept.collect()} == {i for i, _, _ in rows} - {i for i, _ in got}
 
 
+def test_decontamination_candidates(monkeypatch):
+    rng = random.Random(12)
+    words = [f"v{k}" for k in range(20_000)]
+    for n, most in ((40, 0.6), (100, 0.3)):
+        texts = [rng.choices(words, k=n) for _ in range(60)]
+        items = decontaminate.Items.of(list(range(60)), [" ".join(x) for x in texts], decontaminate.Search())
+        k, compared = n * 20 // 100, []
+        cut = slice(n * (k // 2) // (k + 1), n * (k // 2 + 1) // (k + 1))  # a segment
+        plain = decontaminate.distances
+        with monkeypatch.context() as patch:
+            patch.setattr(decontaminate, "distances", lambda item, windows, plain=plain, compared=compared: compared.append(1) or plain(item, windows))
+            chance = [" ".join(rng.choices(words, k=n) + x[cut] + rng.choices(words, k=n)) for x in texts]
+            assert len(items.places(decontaminate._words(pa.array(chance)))[0]) >= 60
+            assert not items.matches(pa.array(chance)) and len(compared) <= most * len(texts)
+        near = [list(x) for x in texts]
+        for x in near:
+            for at in rng.sample(range(n), k):
+                x[at] = rng.choice(words)
+        near = [" ".join(rng.choices(words, k=9) + x + rng.choices(words, k=9)) for x in near]
+        found = items.matches(pa.array(near))
+        assert sum((r, r) in found for r in range(60)) >= 0.99 * 60
+
+
 def test_decontamination_odd(spark, odd):
     benchmark = spark.createDataFrame([(1, None), (2, ""), (3, "ONE!"), (None, "a, b c")], "item_id long, text string")
     got = Counter((r["doc_id"], r["item_id"]) for r in decontaminate.matches(odd, benchmark).collect())
