@@ -1,4 +1,4 @@
-"""The queries ``op1_`` to ``op10_`` and the SQL of those that SQL can express."""
+"""The queries ``op1_`` to ``op13_`` and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from claimloom.llm import binary, chat, decontaminate, jaccard, line_dedup, mixing, quality_classifier, quality_rules, sharding, url_filters
+from claimloom.llm import (
+    binary, chat, decontaminate, jaccard, language_id, line_dedup, merkle, mixing, quality_classifier, quality_rules, sharding, url_filters, whitening,
+)
 from claimloom.session import _shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -176,3 +178,72 @@ def op9_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's host, path, rule and verdict."""
     return url_filters.judged(table(spark, sf_dir, "pages"), url_filters.RULES)
+
+
+@_query()
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector's whitened components, and what tells how exact they are."""
+    found = whitening.whitened(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
+
+
+@_query()
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's predicted language and how sure that is."""
+    return language_id.identified(table(spark, sf_dir, "documents"))
+
+
+def _sql_leaf(n_chars: str) -> str:
+    fields = [f"coalesce(strlen({v}::varchar) || ':' || {v}::varchar, '-')" for v in ("doc_id", "source", "lang", n_chars, "text")]
+    return f"sha256({' || '.join(fields)})"
+
+
+def _sql_crc(text: str) -> str:
+    """The unsigned crc32 of ASCII text, bit by bit."""
+    bit = "case when x & 1 = 1 then xor(x >> 1, 3988292384) else x >> 1 end"
+    byte = f"list_reduce(range(8), lambda x, k: {bit}, xor(c, b))"
+    return f"xor(list_reduce([ord(d)::bigint for d in string_split({text}, '')], lambda c, b: {byte}, 4294967295::bigint), 4294967295)"
+
+
+@_query(
+    f"""with recursive leaves as (
+      select *, row_number() over (partition by lang order by doc_id nulls first, leaf) - 1 as pos, count(*) over (partition by lang) as n
+      from (select doc_id, lang, {_sql_leaf("n_chars")} as leaf,
+        case when n_chars is not null and {_sql_crc("doc_id::varchar")} % 7 = 0 then {_sql_leaf("(n_chars + 1)")} end as shown from documents)),
+    nodes as (
+      select lang, 0 as level, pos, n, leaf as h from leaves
+      union all
+      select lang, level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' order by pos)) from nodes where n > 1 group by lang, level, pos // 2, n),
+    subroots as (select lang, h, row_number() over (order by lang nulls first) - 1 as pos, count(*) over () as n from nodes where n = 1),
+    tops as (
+      select 0 as level, pos, n, h from subroots
+      union all
+      select level + 1, pos // 2, (n + 1) // 2, sha256(string_agg(h, '' order by pos)) from tops where n > 1 group by level, pos // 2, n),
+    heights as (select lang, max(level) as low from nodes group by lang),
+    ways as (
+      select l.doc_id, l.leaf, l.lang, s.level, s.pos < l.pos >> s.level as left_side, s.h
+      from leaves l join nodes s on l.lang is not distinct from s.lang and s.pos = xor(l.pos >> s.level, 1)
+      union all
+      select l.doc_id, l.leaf, l.lang, t.low + s.level, s.pos < r.pos >> s.level, s.h
+      from leaves l join heights t on l.lang is not distinct from t.lang join subroots r on l.lang is not distinct from r.lang
+        join tops s on s.pos = xor(r.pos >> s.level, 1)),
+    proofs as (select doc_id, leaf, sha256(string_agg(h, '' order by level)) as proof from ways group by doc_id, leaf),
+    folds as (
+      select l.doc_id, l.leaf, l.lang, 0 as level, coalesce(shown, l.leaf) as h, t.low + (select max(level) from tops) as last
+      from leaves l join heights t on l.lang is not distinct from t.lang
+      union all
+      select f.doc_id, f.leaf, f.lang, f.level + 1, sha256(case when w.h is null then f.h when left_side then w.h || f.h else f.h || w.h end), last
+      from folds f left join ways w on f.doc_id is not distinct from w.doc_id and f.leaf = w.leaf and f.level = w.level where f.level < last)
+    select l.doc_id, l.leaf, s.h as subroot, t.h as root, coalesce(p.proof, sha256('')) as proof_sha256, f.h as folded_root, f.h = t.h as verified
+    from leaves l join subroots s on l.lang is not distinct from s.lang join tops t on t.n = 1
+      join folds f on l.doc_id is not distinct from f.doc_id and l.leaf = f.leaf and f.level = f.last
+      left join proofs p on l.doc_id is not distinct from p.doc_id and l.leaf = p.leaf"""
+)
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in the manifest's tree, one in seven checked with a changed length."""
+    docs = table(spark, sf_dir, "documents")
+    changed = (F.col("n_chars").cast("decimal(20,0)") + 1).cast("string")
+    fields = [changed if f == "n_chars" else F.col(f) for f in merkle.FIELDS]
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 7 == 0
+    shown = F.when(tampered & F.col("n_chars").isNotNull(), F.sha2(merkle.encoded(fields), 256))
+    return merkle.manifest(docs, shown)
