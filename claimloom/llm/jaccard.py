@@ -11,13 +11,14 @@ is one n-gram of all its words).  Texts with equal sets form a class.  Two class
 2. *Prefixes.*  Two sets that link share an n-gram among the first
    ``size - ceil(size * percent / 100) + 1`` of each.  One row per class and prefix n-gram
    is sorted by range over (n-gram, size, hash), so a very common n-gram spreads over tasks.
-3. *Neighbours.*  First, consecutive classes in an eighth of the n-grams' lists are compared.
-   Then, while that still links anything, lists that hold several components are gone through
-   again: consecutive classes of different components, and from the second time on every
-   class with the best linked class of the other components.  This joins groups of near copies by a number of pairs that
-   grows with the rows and not with the square of a group.
-4. *The rest.*  What step 3 left in different components is joined in full: lists that still
-   hold two components, pairs of components first, then their members.  Pairs inside one
+3. *Neighbours.*  In an eighth of the n-grams' lists, and then, while that still links anything,
+   in all lists that hold several components, every class is compared with the one before it and
+   with the list's hub, the class that has the n-gram nearest to its front.  A hub has the
+   fewest n-grams of its own, so it is the middle of a group of near copies: such groups are
+   joined by a number of pairs that grows with the rows and not with the square of a group.
+4. *The rest.*  What step 3 left in different components is joined in full: in lists that still
+   hold two components, first (component, size) with (component, size), where the positional
+   filter holds for the best member of each, then the members that pass it.  Pairs inside one
    component are never formed, and no link between components is lost.
 5. *Check.*  A pair must pass the length and positional filters, the suffix filter (counts
    of n-grams by 64 ranges of the key bound the symmetric difference from below), and the
@@ -51,10 +52,11 @@ from claimloom.session import durable
 SKETCH_BITS = 23
 _SKETCH_PIECES = 64
 _RANGES = 64
-#: The share of lists that the first round goes through, and the most rounds after it.
+#: The share of lists that the first round goes through, and the most rounds.
 _FIRST_SHARE = 8
-_ROUNDS = 2
-_ID_BITS = 24
+_ROUNDS = 4
+#: The least and most bits of the table that finds the documents of a check.
+_ID_BITS = (10, 28)
 
 
 @dataclass(frozen=True)
@@ -111,17 +113,21 @@ def count_scales(docs: DataFrame, n: int) -> np.ndarray:
         if table.any():
             group = TaskContext.get().partitionId() % 64
             for k in range(_SKETCH_PIECES):
-                piece = table[k * width : (k + 1) * width].astype(np.uint32).tobytes()
+                piece = table[k * width : (k + 1) * width].tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([group], pa.int32()), pa.array([piece], pa.binary())], ["piece", "part", "counts"])
 
-    def add(table: pa.Table) -> pa.Table:
+    def total_of(table: pa.Table, kind: type) -> np.ndarray:
         total = np.zeros(width, np.uint32)
         for x in table["counts"]:
-            total += np.frombuffer(x.as_py(), np.uint32)
+            total += np.frombuffer(x.as_py(), kind)
+        return total
+
+    def add(table: pa.Table) -> pa.Table:
+        total = total_of(table, np.uint8)
         return pa.table({"piece": table["piece"][:1], "part": table["part"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
     def scale(table: pa.Table) -> pa.Table:
-        total = np.frombuffer(add(table)["counts"][0].as_py(), np.uint32)
+        total = total_of(table, np.uint32)
         scales = np.floor(2 * np.log2(total + 1.0)).astype(np.uint8)
         return pa.table({"piece": table["piece"][:1], "scales": pa.array([scales.tobytes()], pa.binary())})
 
@@ -133,7 +139,7 @@ def count_scales(docs: DataFrame, n: int) -> np.ndarray:
 
 
 def with_sets(docs: DataFrame, like: Similarity, scales: np.ndarray) -> DataFrame:
-    """By document: size and keys of its set, rarest n-grams first, and counts by key range."""
+    """By document: size and keys of its set, rarest n-grams first, and counts by key range; written down."""
     order = docs.sparkSession.sparkContext.broadcast(scales)
     shift = np.uint64(64 - SKETCH_BITS)
 
@@ -163,46 +169,78 @@ def with_sets(docs: DataFrame, like: Similarity, scales: np.ndarray) -> DataFram
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, ka long, kb long, prefix array<long>, ranges array<int>")
+    written = durable(docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, ka long, kb long, prefix array<long>, ranges array<int>"))
+    order.destroy()
+    return written
 
 
-_POSTING = "token long, class long, size int, place int, component long, class_2 long, size_2 int, place_2 int, component_2 long"
+_POSTING = ["token", "class", "size", "place", "component"]
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Sorted postings that share their n-gram with the next or the last, each with the last.
+def _in_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of sorted postings, those that share their n-gram with the one before or behind.
 
     The first and the last row of a partition stay too, as the list may go on elsewhere.
     """
-    names = ["token", "class", "size", "place", "component"]
-    held = [np.zeros(0, t) for t in (np.int64, np.int64, np.int32, np.int32, np.int64)]  # up to two rows: the last shown, the next to show
-    shown = 0  # of the rows held
-    first = True
+    held, shown, first = None, 0, True  # the last two rows, how many of them were shown, whether none was yet
 
-    def show(columns: list[np.ndarray], begin: int, end: int, keep_first: bool, keep_last: bool) -> pa.RecordBatch:
-        token = columns[0]
+    def show(rows: pa.Table, begin: int, end: int, keep_first: bool, keep_last: bool) -> list[pa.RecordBatch]:
+        token = rows["token"].to_numpy()
         same = np.concatenate(([False], token[1:] == token[:-1], [False]))
         at = np.arange(begin, end)
         at = at[same[at] | same[at + 1] | (keep_first & (at == 0)) | (keep_last & (at == len(token) - 1))]
-        last = same[at]
-        own = [pa.array(c[at]) for c in columns]
-        return pa.RecordBatch.from_arrays([*own, *(pa.array(c[at - 1], mask=~last) for c in columns[1:])], [x.split()[0] for x in _POSTING.split(", ")])
+        return rows.take(pa.array(at)).to_batches()
 
     for batch in batches:
         if not batch.num_rows:
             continue
-        columns = [np.concatenate((h, batch.column(n).to_numpy())) for h, n in zip(held, names, strict=True)]
-        n = len(columns[0])
+        new = pa.Table.from_batches([batch])
+        rows = new if held is None else pa.concat_tables([held, new])
+        n = rows.num_rows
         if n - 1 > shown:
-            yield show(columns, shown, n - 1, first, False)
+            yield from show(rows, shown, n - 1, first, False)
             first = False
-        held, shown = [c[max(0, n - 2) :] for c in columns], min(n, 2) - 1
-    if len(held[0]):
-        yield show(held, shown, len(held[0]), first, True)
+        held, shown = rows.slice(max(0, n - 2)), min(n, 2) - 1
+    if held is not None:
+        yield from show(held, shown, held.num_rows, first, True)
+
+
+def _met(percent: int):
+    """Of sorted postings, the pairs of classes ``(a, b)`` to compare: with the one before, and with the list's hub.
+
+    A list that several batches hold takes its hub along; one that several tasks hold has a hub in each.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carried = [np.zeros(0, np.int64)] * len(_POSTING)  # hub and last row of the list that may go on
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [np.concatenate((c, batch.column(n).to_numpy())).astype(np.int64) for c, n in zip(carried, _POSTING, strict=True)]
+            token, name, size, place, component = columns
+            opens = np.concatenate(([True], token[1:] != token[:-1]))
+            starts = np.flatnonzero(opens)
+            order = np.argsort(place, kind="stable")
+            first = np.full(len(starts), len(token))
+            of = np.cumsum(opens) - 1
+            np.minimum.at(first, of[order], np.arange(len(order)))
+            hub = order[first]
+            rows = np.arange(len(token))
+            i = np.concatenate((rows[~opens], rows))
+            j = np.concatenate((rows[~opens] - 1, hub[of]))
+            small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
+            need = np.ceil((size[i] + size[j]) * percent / (100 + percent) - 1e-9)
+            left = np.minimum(size[i] - place[i], size[j] - place[j])
+            good = (component[i] != component[j]) & (small * 100 >= large * percent) & (left >= need)
+            pairs = np.unique(np.stack((np.minimum(name[i], name[j])[good], np.maximum(name[i], name[j])[good])), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
+            carried = [c[np.unique([hub[-1], len(token) - 1])] for c in columns]
+
+    return run
 
 
 def _possible(percent: int, size: Column, place: Column, size_2: Column, place_2: Column) -> Column:
-    """Length filter, and positional filter: what may still come after a common n-gram."""
+    """Length filter, and positional filter: what may still come from a common n-gram on."""
     need = F.ceil((size + size_2) * percent / (100 + percent) - 1e-9)
     left = F.least(size - place, size_2 - place_2)
     return (F.least(size, size_2) * 100 >= F.greatest(size, size_2) * percent) & (left >= need)
@@ -216,12 +254,13 @@ def _suffix_possible(percent: int) -> Column:
 
 
 def _only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id's hash is among those of ``ids``, by a bit table of fixed size.
+    """The documents whose id's hash is among those of ``ids``, by a bit table.
 
-    The table has 2^_ID_BITS bits in at most 2^_ID_BITS / 64 rows (4 MB), so it can be broadcast
+    The table has eight bits for an id, and at most 2^28 in 2^22 rows (64 MB), so it can be broadcast
     at any input size.  It may let others through; it never holds one back.
     """
-    spot = F.xxhash64("doc_id").bitwiseAND((1 << _ID_BITS) - 1)
+    bits = min(max((8 * ids.count()).bit_length(), _ID_BITS[0]), _ID_BITS[1])
+    spot = F.xxhash64("doc_id").bitwiseAND((1 << bits) - 1)
     bits = (
         ids.select(spot.alias("spot"))
         .groupBy(F.shiftright("spot", 6).alias("cell"))
@@ -232,11 +271,16 @@ def _only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     return marked.join(F.broadcast(bits), "cell").where(hit).select("doc_id", "text")
 
 
-def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, like: Similarity) -> DataFrame:
-    """The pairs ``(a, b)`` of classes whose sets link, by exact counts."""
+def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, like: Similarity) -> tuple[DataFrame, DataFrame | None]:
+    """The pairs ``(a, b)`` of classes that pass the suffix filter, and those whose sets link, by exact counts.
+
+    Without any pair that passes, the second is None.
+    """
     known = classes.select("class", "size", "ranges", "doc_id", "ka", "kb")
     side = lambda x: known.select(F.col("class").alias(x), F.col("size").alias(f"size_{x}"), F.col("ranges").alias(f"ranges_{x}"))
     pairs = durable(pairs.join(side("a"), "a").join(side("b"), "b").where(_suffix_possible(like.percent)).select("a", "b", "size_a", "size_b"))
+    if pairs.isEmpty():
+        return pairs, None
     needed = pairs.select(F.col("a").alias("class")).union(pairs.select("b")).distinct()
     needed = durable(needed.join(known.select("class", "doc_id", "ka", "kb"), "class"))
 
@@ -251,11 +295,13 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, like: Similar
     kind = docs.schema["doc_id"].dataType.simpleString()
     made = _only_ids(docs, needed).mapInArrow(sets, f"doc_id {kind}, ka long, kb long, grams array<long>")
     same = made["ka"].eqNullSafe(needed["ka"]) & made["kb"].eqNullSafe(needed["kb"]) & made["doc_id"].eqNullSafe(needed["doc_id"])
-    made = durable(made.join(needed, same).select("class", "grams").dropDuplicates(["class"]))
+    # One shuffle by class serves both sides of the pairs.
+    made = made.join(needed, same).select("class", "grams").dropDuplicates(["class"])
     grams = lambda x: made.select(F.col("class").alias(x), F.col("grams").alias(f"grams_{x}"))
     common = F.size(F.array_intersect("grams_a", "grams_b"))
     met = pairs.join(grams("b"), "b").join(grams("a"), "a").withColumn("common", common)
-    return met.where(F.col("common") * 100 >= (F.col("size_a") + F.col("size_b") - F.col("common")) * like.percent).select("a", "b")
+    links = met.where(F.col("common") * 100 >= (F.col("size_a") + F.col("size_b") - F.col("common")) * like.percent).select("a", "b")
+    return pairs, durable(links)
 
 
 def _ordered_pairs(df: DataFrame) -> DataFrame:
@@ -267,75 +313,63 @@ def _named(linked: DataFrame) -> DataFrame:
 
 
 def _in_order(postings: DataFrame, seed: int) -> DataFrame:
-    """Each posting with the last of its n-gram's list, in order of size and a seeded hash."""
+    """The postings of each n-gram in order of size and a seeded hash; a very common one spreads over tasks."""
     spread = F.xxhash64(F.lit(seed), "token", "class")
     ordered = postings.repartitionByRange("token", "size", spread).sortWithinPartitions("token", "size", spread)
-    return ordered.select("token", "class", "size", "place", "component").mapInArrow(_neighbours, _POSTING)
-
-
-def _adjacent(rows: DataFrame, percent: int) -> DataFrame:
-    sizes = F.col("size"), F.col("place"), F.col("size_2"), F.col("place_2")
-    return rows.where(F.col("class_2").isNotNull() & (F.col("component") != F.col("component_2")) & _possible(percent, *sizes))
+    return ordered.select(*[c for c in _POSTING if c in postings.columns])
 
 
 def _mixed(shared: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """The postings of lists that hold several components, with their component."""
-    listed = shared.select("token", "class", "size", "place").join(found, "class", "left")
-    listed = listed.withColumn("component", F.coalesce("component", "class"))
+    listed = shared.join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
     # Only a smaller set's first n-grams can be the first in common, so a list needs one such posting.
     early = (F.col("size") - F.col("place")) * (100 + percent) >= F.col("size") * 2 * percent
     mixed = listed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(early).alias("early")).where("low < high and early")
     return durable(listed.join(mixed.select("token"), "token"))
 
 
-def _with_hubs(listed: DataFrame, links: DataFrame, found: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Every posting's class with the best linked class of the other components of its list."""
-    ends = links.select(F.col("a").alias("class")).union(links.select("b"))
-    degrees = ends.groupBy("class").agg(F.count("*").alias("degree"))
-    hubs = degrees.join(found, "class").groupBy("component").agg(F.max(F.struct("degree", "class")).alias("best"))
-    hubs = hubs.select("component", F.col("best.class").alias("class")).join(classes.select("class", "size"), "class")
-    hubs = hubs.select(F.col("component").alias("component_2"), F.col("class").alias("class_2"), F.col("size").alias("size_2"))
-    there = listed.select("token", F.col("component").alias("component_2")).distinct().join(hubs, "component_2")
-    fits = F.least("size", "size_2") * 100 >= F.greatest("size", "size_2") * percent
-    return listed.join(there, "token").where((F.col("component") != F.col("component_2")) & fits)
-
-
 def _across(listed: DataFrame, percent: int) -> DataFrame:
     """Pairs of postings in different components that the filters leave."""
-    held = listed.groupBy("token", "component").agg(F.min("size").alias("least"), F.max("size").alias("most"), F.max(F.col("size") - F.col("place")).alias("left"))
-    other = held.select("token", *[F.col(c).alias(f"{c}_2") for c in ("component", "least", "most", "left")])
-    fits = (F.col("component") < F.col("component_2")) & (F.col("most_2") * 100 >= F.col("least") * percent) & (F.col("most") * 100 >= F.col("least_2") * percent)
-    fits &= F.least("left", "left_2") * (100 + percent) >= (F.col("least") + F.col("least_2")) * percent
-    met = held.join(other, "token").where(fits).select("token", "component", "component_2", "least_2", "most_2", "left_2")
-    # Members that no member of the other component can fit go before the two sides are joined.
-    can = (F.col("most_2") * 100 >= F.col("size") * percent) & (F.col("size") * 100 >= F.col("least_2") * percent)
-    can &= F.least(F.col("size") - F.col("place"), "left_2") * (100 + percent) >= (F.col("size") + F.col("least_2")) * percent
-    met = met.join(listed, ["token", "component"]).where(can)
-    right = listed.select("token", F.col("class").alias("class_2"), F.col("size").alias("size_2"), F.col("place").alias("place_2"), F.col("component").alias("component_2"))
-    met = met.join(right, ["token", "component_2"])
+    left = F.col("size") - F.col("place")
+    held = listed.groupBy("token", "component", "size").agg(F.max(left).alias("left"))
+
+    def fits(a: Column, b: Column) -> Column:
+        """Whether members of the two sizes may link that have ``a`` and ``b`` n-grams left."""
+        near = F.least("size", "size_2") * 100 >= F.greatest("size", "size_2") * percent
+        return near & (F.least(a, b) * (100 + percent) >= (F.col("size") + F.col("size_2")) * percent)
+
+    # What no size in the list can answer goes before components meet.
+    best = listed.groupBy("token", "size").agg(F.max(left).alias("best")).withColumnsRenamed({"token": "token_2", "size": "size_2"})
+    able = held.join(best, (F.col("token") == F.col("token_2")) & fits(F.col("left"), F.col("best")), "left_semi")
+    other = able.select("token", *[F.col(c).alias(f"{c}_2") for c in ("component", "size", "left")])
+    apart = (F.col("component") < F.col("component_2")) & fits(F.col("left"), F.col("left_2"))
+    met = able.join(other, "token").where(apart).select("token", "component", "size", "component_2", "size_2", "left_2")
+    met = met.join(listed, ["token", "component", "size"]).where(fits(left, F.col("left_2")))
+    right = listed.select("token", F.col("component").alias("component_2"), F.col("size").alias("size_2"), F.col("class").alias("class_2"), F.col("place").alias("place_2"))
+    met = met.join(right, ["token", "component_2", "size_2"])
     return met.where(_possible(percent, F.col("size"), F.col("place"), F.col("size_2"), F.col("place_2")))
 
 
 def _components(postings: DataFrame, classes: DataFrame, docs: DataFrame, like: Similarity) -> DataFrame:
     """``(class, component)`` of the classes that link with another."""
-    shared = durable(_in_order(postings.withColumn("component", F.col("class")), 0))
-    first = shared.where(F.pmod(F.xxhash64("token"), F.lit(_FIRST_SHARE)) == 0)
-    tried = durable(_ordered_pairs(_adjacent(first, like.percent)))
-    links = durable(_linked(tried, classes, docs, like))
-    found = durable(_named(links))
+    kinds = "token long, class long, size int, place int"
+    shared = durable(_in_order(postings, 0).mapInArrow(_in_lists, kinds))
+    nothing = docs.sparkSession.createDataFrame([], "a long, b long")
+    tried, links, found = nothing, nothing, _named(nothing)
+    listed = shared.where(F.pmod(F.xxhash64("token"), F.lit(_FIRST_SHARE)) == 0).withColumn("component", F.col("class"))
     for k in range(1, _ROUNDS + 1):
-        listed = _mixed(shared, found, like.percent)
-        near = _ordered_pairs(_adjacent(_in_order(listed, k), like.percent))
-        if k > 1:  # there are few components now, and the large groups have a hub
-            near = near.union(_ordered_pairs(_with_hubs(listed, links, found, classes, like.percent))).distinct()
-        near = durable(near.join(tried, ["a", "b"], "left_anti"))
-        more = durable(_linked(near, classes, docs, like))
-        if more.isEmpty():
+        near = _in_order(listed, k).mapInArrow(_met(like.percent), "a long, b long").distinct()
+        checked, more = _linked(near.join(tried, ["a", "b"], "left_anti"), classes, docs, like)
+        tried = tried.union(checked.select("a", "b"))
+        if k > 1 and (more is None or more.isEmpty()):
             break
-        tried, links = tried.union(near), links.union(more)
-        found = durable(_named(links))
-    rest = _ordered_pairs(_across(_mixed(shared, found, like.percent), like.percent)).join(tried, ["a", "b"], "left_anti")
-    return durable(_named(links.union(_linked(durable(rest), classes, docs, like))))
+        if more is not None:
+            links = links.union(more)
+            found = durable(_named(links))
+        listed = _mixed(shared, found, like.percent)
+    rest = _ordered_pairs(_across(listed, like.percent)).join(tried, ["a", "b"], "left_anti")
+    _, more = _linked(rest, classes, docs, like)
+    return found if more is None else durable(_named(links.union(more)))
 
 
 def documents_by_class(docs: DataFrame, text: str, doc_id: str, like: Similarity) -> tuple[DataFrame, DataFrame]:
@@ -345,7 +379,7 @@ def documents_by_class(docs: DataFrame, text: str, doc_id: str, like: Similarity
     the number of the smallest class it is linked with, itself included.
     """
     docs = docs.select(docs[doc_id].alias("doc_id"), docs[text].alias("text"))
-    members = durable(with_sets(docs, like, count_scales(docs, like.n)))
+    members = with_sets(docs, like, count_scales(docs, like.n))
     classes = (
         members.where("n_shingles > 0")
         .groupBy("ka", "kb")
