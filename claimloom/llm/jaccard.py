@@ -107,9 +107,9 @@ def count_scales(docs: DataFrame, n: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << SKETCH_BITS, np.uint8)
         for batch in batches:
-            found = [shingle_sets(part, n)[0] >> np.uint64(64 - SKETCH_BITS) for _, part in w.slices(batch.column(0))]
-            own = np.bincount(np.concatenate(found).astype(np.int64), minlength=len(table)) if found else 0
-            table = np.minimum(own + table, 255).astype(np.uint8)
+            for _, part in w.slices(batch.column(0)):
+                counters, own = np.unique(shingle_sets(part, n)[0] >> np.uint64(64 - SKETCH_BITS), return_counts=True)
+                table[counters] = np.minimum(own + table[counters], 255)
         if table.any():
             group = TaskContext.get().partitionId() % 64
             for k in range(_SKETCH_PIECES):
