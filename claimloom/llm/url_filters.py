@@ -12,8 +12,12 @@ A host is blocked if its distrust is more than its trust and at least ``least_di
 what a host with only blocked pages starts with.
 
 Edges are counts per pair of hosts, so a host with a third of all pages is one node.  Each
-round is one join and one aggregation over edges, written down; rounds end when the scores no
-longer move, or after ``rounds``.
+round is one join and one aggregation over edges, written down.  What a round moves is at most
+``damping`` times what the round before moved, so rounds go on until that is at most
+``tolerance`` of the seeds' mass.
+
+Without links between hosts (the given pages have only relative ones) nothing is passed on, and a
+host's undecided pages go by the shares of its own pages that rules allow and block.
 
 Defined results: a null url, or one without ``://``, has an empty host and path and no edges;
 null html has no links; links of a host to itself do not count; repeated rows are judged each;
@@ -30,7 +34,7 @@ from pyspark.sql import functions as F
 from claimloom.session import durable
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_LINK = r"""(?i)<a\s[^>]*?href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'>\s]+)"""
+_LINK = r"""(?i)<a\s(?:[^>]*?\s)?href\s*=\s*["']?\s*(?:[a-z][a-z0-9+.-]*:)?//([^/?#"'>\s]+)"""
 
 
 @dataclass(frozen=True)
@@ -57,7 +61,6 @@ RULES = (
 @dataclass(frozen=True)
 class Propagation:
     damping: float = 0.85
-    rounds: int = 20
     tolerance: float = 1e-6
     least_distrust: float = 0.1
 
@@ -77,7 +80,8 @@ def path_of(url: Column) -> Column:
 def rule_of(host: Column, path: Column, rules: tuple[Rule, ...], part: str) -> Column:
     """``name`` or ``verdict`` of the longest rule that fits, the first of equals; else null."""
     found = F.lit(None).cast("string")
-    for rule in sorted(rules, key=lambda r: len(r.name)):
+    # What is set last counts: the longest, and of equally long ones the first.
+    for rule in sorted(reversed(rules), key=lambda r: len(r.name)):
         fits = ((host == rule.host) | host.endswith("." + rule.host)) & path.startswith(rule.path)
         found = F.when(fits, F.lit(getattr(rule, part))).otherwise(found)
     return found
@@ -101,15 +105,15 @@ def propagated(edges: DataFrame, seeds: DataFrame, how: Propagation) -> DataFram
     mass = F.col("mass") if "mass" in seeds.columns else F.lit(1.0)
     start = durable(seeds.groupBy("host").agg(F.max(mass * (1 - how.damping)).alias("score")))
     now = start
-    for _ in range(how.rounds):
+    mass_moved = (start.agg(F.sum("score")).first()[0] or 0.0) / (1 - how.damping)
+    while True:
         moved = now.join(steps, now["host"] == steps["source"]).select(F.col("target").alias("host"), (F.col("score") * F.col("share") * how.damping).alias("score"))
         after = durable(moved.union(start).groupBy("host").agg(F.sum("score").alias("score")))
         before = now.select("host", F.col("score").alias("was"))
         change = after.join(before, "host", "full").agg(F.sum(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("was", F.lit(0.0))))).first()[0]
         now = after
-        if (change or 0.0) <= how.tolerance:
-            break
-    return now
+        if (change or 0.0) <= how.tolerance * mass_moved:
+            return now
 
 
 def host_scores(pages: DataFrame, trusted: DataFrame, blocked: DataFrame, how: Propagation) -> DataFrame:
