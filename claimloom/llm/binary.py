@@ -237,7 +237,8 @@ def check(found: list[bytes]) -> None:
 
 
 def _file_system(uri: str) -> tuple[pa.fs.FileSystem, str]:
-    return pa.fs.FileSystem.from_uri(uri)
+    """Arrow's file system for a URI of Hadoop's: file, hdfs, viewfs, s3a, gs or abfss, as far as Arrow is built with it."""
+    return pa.fs.FileSystem.from_uri(re.sub("^s3[an]:", "s3:", uri))
 
 
 _FILES = "part int, n_records long, n_tokens long"
@@ -334,5 +335,7 @@ def read(spark: SparkSession, folder: str, files: DataFrame) -> DataFrame:
     return spread.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
-def new_folder(shared: str) -> str:
-    return f"{shared}/tokens-{uuid.uuid4().hex}"
+def new_folder(spark: SparkSession, shared: str) -> str:
+    """A folder's name below ``shared``, as a URI: a path without a scheme is one of Spark's default file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared}/tokens-{uuid.uuid4().hex}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()

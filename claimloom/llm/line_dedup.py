@@ -1,10 +1,13 @@
 """Line dedup by content-defined chunks of lines, in Spark expressions.
 
 A text's lines are hashed, and a rolling hash runs over the hashes of ``WINDOW`` lines; where
-it is 0 modulo ``DIVISOR`` a chunk ends.  A boundary depends on the lines next to it alone, so
-equal passages are cut alike wherever they stand.  A chunk of at least two lines with
-something in them that occurs more than once in all texts stays at its first place (smallest
-id, then place) and goes elsewhere.
+it is 0 modulo ``DIVISOR`` a chunk ends.  A line of ``LONG_LINE`` characters (some 25 words) or more
+is a chunk of its own.  A boundary depends on the lines next to it alone, so equal passages are
+cut alike wherever they stand.  A chunk of at least two lines with something in them, or of
+``LONG_LINE`` characters, that occurs more than once in all texts stays at its first place
+(smallest id, then place) and goes elsewhere.  So passages of long lines go whole, from one line on;
+of passages of short lines those at the ends, up to the first and from the last chunk's end, may stay,
+and single lines between two boundaries (one in nine).
 
 Occurrences are counted by the chunks' bytes, added up before the shuffle, so neither the
 chunk that a third of all documents hold nor its copies are gathered.  Decisions then travel
@@ -25,8 +28,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 2
-DIVISOR = 4
+DIVISOR = 3
 LEAST_LINES = 2
+LONG_LINE = 150
 
 
 def line_hash(line: Column) -> Column:
@@ -41,12 +45,12 @@ def _once(value: Column, body: Callable[[Column], Column]) -> Column:
 def _chunks(text: Column) -> Column:
     """Structs of first line (from 0), lines, and the chunk's text."""
 
-    def cut(lines: Column, hashes: Column) -> Column:
+    def cut(lines: Column, hashes: Column, long: Column) -> Column:
         n = F.size(lines)
 
         def ends(k: Column) -> Column:
             rolled = F.aggregate(F.slice(hashes, k - WINDOW + 2, F.lit(WINDOW)), F.lit(0).cast("long"), lambda t, h: (t * 31 + h) % 1_000_003)
-            return (k == n - 1) | ((k >= WINDOW - 1) & (rolled % DIVISOR == 0))
+            return (k == n - 1) | F.get(long, k) | F.get(long, k + 1) | ((k >= WINDOW - 1) & (rolled % DIVISOR == 0))
 
         return _once(F.filter(F.sequence(F.lit(0), n - 1), ends), lambda last: F.transform(last, lambda end, k: chunk(lines, last, end, k)))
 
@@ -56,7 +60,13 @@ def _chunks(text: Column) -> Column:
         full = F.size(F.filter(own, lambda x: F.trim(x) != ""))
         return F.struct(begin.alias("first"), (end - begin + 1).alias("n"), full.alias("full"), F.array_join(own, "\n").alias("chunk"))
 
-    return _once(F.split(text, "\n", -1), lambda lines: _once(F.transform(lines, line_hash), lambda hashes: cut(lines, hashes)))
+    def long_ones(lines: Column) -> Column:
+        return F.transform(lines, lambda x: F.length(x) >= LONG_LINE)
+
+    return _once(
+        F.split(text, "\n", -1),
+        lambda lines: _once(F.transform(lines, line_hash), lambda hashes: _once(long_ones(lines), lambda long: cut(lines, hashes, long))),
+    )
 
 
 def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
@@ -67,7 +77,7 @@ def _keyed(docs: DataFrame, text: str, doc_id: str) -> DataFrame:
 def deduplicated(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """``doc_id, n_lines, removed_lines, text`` of every document."""
     rows = _keyed(docs, text, doc_id)
-    chunks = rows.where("text is not null").select("doc_id", "r1", "r2", F.explode(_chunks(F.col("text"))).alias("c")).select("doc_id", "r1", "r2", "c.*").where(F.col("full") >= LEAST_LINES)
+    chunks = rows.where("text is not null").select("doc_id", "r1", "r2", F.explode(_chunks(F.col("text"))).alias("c")).select("doc_id", "r1", "r2", "c.*").where((F.col("full") >= LEAST_LINES) | (F.length("chunk") >= LONG_LINE))
     chunks = chunks.withColumns({"k1": F.xxhash64("chunk"), "k2": F.xxhash64(F.lit(7), "chunk")})
     place = F.struct("doc_id", "r1", "r2", "first")
     counted = chunks.groupBy("k1", "k2", "chunk").agg(F.count("*").alias("n"), F.min(place).alias("keeps"))

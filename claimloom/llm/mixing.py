@@ -3,9 +3,9 @@
 Every source wants a share of the total size by its weight, but is repeated ``epochs`` times
 at most.  Sources above that are clamped and their excess is shared by weight among the
 others, until none is above.  Then ``target / source size`` repetitions are sampled: the
-whole ones are taken of every document, the fractional one of the documents that come first
-in a seeded order, up to the document with which the source's words come nearest to the
-target.
+whole ones are taken of every document, the fractional one, if anything is left to take, of the
+documents that come first in a seeded order, up to the document with which the source's words
+come nearest to the target.  So no document is taken more than ``epochs`` times.
 
 A document's place in that order is a hash, so the sample of a source is given by one number,
 the last place that is taken.  It is found without ordering a source: documents fall into
@@ -14,7 +14,7 @@ in which a source reaches its target is put in order.  A source with a third of
 a few thousand sums.  What returns to the documents is one row a source, joined by source.
 
 Defined results: a null source is a source of its own, last; null or empty texts have size 0;
-rows alike in id and text are taken alike; a source of size 0 has target 0; sums are whole
+rows alike in id and text are taken alike; a source of size 0 has target 0 and nothing is taken of it; sums are whole
 numbers and targets are formed in one order, so reruns agree; an empty table gives an empty
 result.  Other columns are not read by ``mix`` and returned as they are by ``mixed``.
 """
@@ -48,14 +48,13 @@ def seeded(seed: int, *columns: Column) -> Column:
 def numbered(sources: DataFrame) -> DataFrame:
     """Sources with their rank by code point from 0, null last.
 
-    Ranks are taken within ranges and moved on by the sizes of the ranges before; those sums are
-    one row for each partition.
+    Ranks are taken within ranges and moved on by the sizes of the ranges before: a running sum
+    over one row for each partition.
     """
     last = F.col("source").isNull()
     ranged = durable(sources.repartitionByRange(last, "source").withColumn("part", F.spark_partition_id()))
-    before = ranged.groupBy("part").count().withColumnRenamed("part", "earlier")
-    starts = ranged.select("part").distinct().join(F.broadcast(before), F.col("earlier") < F.col("part"), "left")
-    starts = starts.groupBy("part").agg(F.coalesce(F.sum("count"), F.lit(0)).alias("start"))
+    earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = ranged.groupBy("part").count().select("part", F.coalesce(F.sum("count").over(earlier), F.lit(0)).alias("start"))
     own = F.row_number().over(Window.partitionBy("part").orderBy(last, "source")) - 1
     return ranged.withColumn("own", own).join(F.broadcast(starts), "part").withColumn("rank", F.col("start") + F.col("own")).drop("part", "own", "start")
 
@@ -100,7 +99,7 @@ def _shares(rows: DataFrame, weights: tuple[int, ...], epochs: int) -> DataFrame
     # The bucket in which the words of the fractional repetition reach what is wanted.
     earlier = Window.partitionBy("_source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.withColumn("before", F.coalesce(F.sum("size").over(earlier), F.lit(0)))
-    edge = sums.join(shares, sums["_source"].eqNullSafe(shares["source"])).where("before <= wanted and wanted < before + size")
+    edge = sums.join(shares, sums["_source"].eqNullSafe(shares["source"])).where("wanted > 0 and before <= wanted and wanted < before + size")
     edge = durable(edge.select("source", F.col("bucket").alias("edge"), "before", "wanted"))
     # Its documents in order: the one that crosses is taken if that brings the sum nearer.
     inside = rows.join(edge, rows["_source"].eqNullSafe(edge["source"]) & (rows["bucket"] == edge["edge"]))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -70,7 +69,7 @@ _PLACE = "cast('0x' || substr(md5('20:' || coalesce('=' || doc_id, '-') || ':' |
         coalesce(sum(size) over (partition by r.source order by place rows between unbounded preceding and 1 preceding), 0) as before
       from rows r join shares s on r.source is not distinct from s.source)
     select doc_id, source, size, source_size, target, copies, (size * copies)::bigint as taken from (
-      select *, (whole + case when before + size / 2 <= wanted then 1 else 0 end)::bigint as copies from reached)"""
+      select *, (whole + case when wanted > 0 and before + size / 2 <= wanted then 1 else 0 end)::bigint as copies from reached)"""
 )
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's size, its source's target, and the words the mix takes of it."""
@@ -94,14 +93,15 @@ _LINES = """lines as (
         len(string_split(text, chr(10))) as n from documents where text is not null),
     hashed as (select *, cast('0x' || substr(md5(line), 1, 8) as bigint) % 1000003 as h from lines),
     ended as (
-      select *, k = n - 1 or (k >= 1 and ((lag(h) over w * 31 + h) % 1000003) % 4 = 0) as ends from hashed window w as (partition by doc_id order by k)),
+      select *, k = n - 1 or (k >= 1 and ((lag(h) over w * 31 + h) % 1000003) % 3 = 0)
+        or length(line) >= 150 or length(lead(line) over w) >= 150 as ends from hashed window w as (partition by doc_id order by k)),
     numbered as (
       select *, coalesce(sum(ends::int) over (partition by doc_id order by k rows between unbounded preceding and 1 preceding), 0) as chunk from ended),
     chunks as (
       select doc_id, chunk, min(k) as first, count(*) as size, count(*) filter (trim(line) <> '') as filled, string_agg(line, chr(10) order by k) as body
       from numbered group by doc_id, chunk),
     ranked as (
-      select doc_id, chunk, filled >= 2 and row_number() over (partition by body, filled >= 2 order by doc_id, first) > 1 as gone from chunks)"""
+      select doc_id, chunk, (filled >= 2 or length(body) >= 150) and row_number() over (partition by body order by doc_id, first) > 1 as gone from chunks)"""
 
 
 @_query(
@@ -132,9 +132,7 @@ def tokenizer_file() -> str:
 @_query()
 def op7_binary_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's tokens, written as binary records and read back."""
-    folder = binary.new_folder(_shared_folder(spark))
-    if "://" not in folder and not folder.startswith("file:"):
-        folder = os.path.abspath(folder)
+    folder = binary.new_folder(spark, _shared_folder(spark))
     files = binary.write(table(spark, sf_dir, "documents"), folder, tokenizer_file())
     return binary.read(spark, folder, files)
 

@@ -4,6 +4,7 @@ import base64
 import random
 import re
 import struct
+import time
 import zlib
 from collections import Counter
 
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from tokenizers import AddedToken, Tokenizer
 
 import corpus_pipeline
-from claimloom.llm import binary, chat, decontaminate, jaccard, line_dedup, mixing, quality_classifier, quality_rules, queries, sharding, url_filters
+from claimloom.llm import binary, chat, decontaminate, graph, jaccard, line_dedup, mixing, quality_classifier, quality_rules, queries, sharding, url_filters
 from claimloom.llm import words as w
 from claimloom.session import _shared_folder
 
@@ -263,6 +264,23 @@ def test_mixing(spark, odd):
     assert mixing.mix(odd.limit(0)).count() == 0
 
 
+def test_mixing_takes_no_more_than_the_epochs(spark):
+    """Empty texts of a clamped source, and a source of empty texts alone."""
+    rows = [(k, "", "b") for k in range(300)] + [(300 + k, "x y", "b") for k in range(20)]
+    rows += [(1000 + k, "w " * 50, "a") for k in range(200)] + [(2000 + k, None, "c") for k in range(30)]
+    df = frame(spark, rows)
+    mix = mixing.mix(df).collect()
+    assert max(r["copies"] for r in mix) == 3 and {r["copies"] for r in mix if r["source"] == "b"} == {3}
+    assert {(r["target"], r["copies"]) for r in mix if r["source"] == "c"} == {(0.0, 0)}
+    connection = duckdb.connect()
+    connection.execute("create table documents (doc_id bigint, text varchar, source varchar)")
+    connection.executemany("insert into documents values (?, ?, ?)", rows)
+    result = connection.execute(queries.ORACLES["op5_mixing"])
+    columns = [c[0] for c in result.description]
+    assert Counter(result.fetchall()) == Counter(tuple(r[c] for c in columns) for r in mix)
+    assert "NestedLoop" not in mixing.mix(df)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_classifier(spark, odd):
     rng = random.Random(8)
     rows, labels = [], []
@@ -298,7 +316,7 @@ def test_binary(spark, odd):
     texts = ["", " ", "a  b", "x\n\ny \n", "it's 12   z　k", "tab\tx \x1c y", "é<|endoftext|>", "\r\n a"]
     whole = [tokenizer.tokenizer.encode(x, add_special_tokens=False).ids for x in texts]
     assert [np.frombuffer(x, tokenizer.type).tolist() for x in tokenizer.encode(texts)] == whole
-    folder = binary.new_folder(_shared_folder(spark))
+    folder = binary.new_folder(spark, _shared_folder(spark))
     files = binary.write(odd, folder, queries.tokenizer_file())
     got = sorted((tuple(r) for r in binary.read(spark, folder, files).collect()), key=lambda r: r[1])
     rows = sorted(((r["doc_id"], r["text"] or "") for r in odd.collect()), key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
@@ -312,7 +330,7 @@ def test_binary(spark, odd):
     broken = binary.frames([b"some payload"])[0]
     with pytest.raises(ValueError, match="checksum"):
         binary.check([broken[:14] + b"?" + broken[15:]])
-    assert binary.write(odd.limit(0), binary.new_folder(_shared_folder(spark)), queries.tokenizer_file()).count() == 0
+    assert binary.write(odd.limit(0), binary.new_folder(spark, _shared_folder(spark)), queries.tokenizer_file()).count() == 0
 
 
 def test_binary_added_tokens(spark):
@@ -324,7 +342,7 @@ def test_binary_added_tokens(spark):
     encoder = binary.Encoder(queries.tokenizer_file())
     for some in (pa.array(texts), pa.chunked_array([["cut off", *texts]]).combine_chunks().slice(1)):
         assert [np.frombuffer(x, encoder.type).tolist() for x in encoder.encode(some)] == expected
-    folder = binary.new_folder(_shared_folder(spark))
+    folder = binary.new_folder(spark, _shared_folder(spark))
     files = binary.write(frame(spark, [(k, x, "s") for k, x in enumerate(texts)]), folder, queries.tokenizer_file())
     start = 0
     for r, ids in zip(binary.read(spark, folder, files).orderBy("doc_id").collect(), expected, strict=True):
@@ -358,6 +376,18 @@ def test_chat(spark):
     assert chat.formatted(df.limit(0)).count() == 0
 
 
+def test_chat_of_many_turns(spark):
+    """The time of one conversation grows with its turns and not with their square."""
+    took = {}
+    for n in (500, 5_000, 40_000):
+        rows = spark.range(n).select(F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é turn [INST] "), F.col("id")).alias("text"))
+        begin = time.perf_counter()
+        r = chat.read_back(chat.formatted(rows)).collect()[0]
+        took[n] = time.perf_counter() - begin
+        assert r["loss_text"] == "".join(f"é turn [INST] {k}" for k in range(1, n, 2)) and len(r["turns"]) == n
+    assert took[40_000] < 60
+
+
 def test_line_dedup(spark, odd):
     rng = random.Random(10)
     passage = "\n".join(" ".join(rng.choices(VOCABULARY, k=8)) for _ in range(200))
@@ -366,6 +396,12 @@ def test_line_dedup(spark, odd):
     assert got[0]["removed_lines"] == 0 and got[0]["text"] == rows[0][1]
     for k in range(1, 20):
         assert got[k]["removed_lines"] >= 140 and got[k]["text"].startswith(f"own {k}\n") and got[k]["text"].endswith(f"end {k}")
+    # A passage of one to eight long lines between own lines goes whole.
+    for n in range(1, 9):
+        passage = "\n".join(" ".join(rng.choices(VOCABULARY, k=52)) for _ in range(n))
+        rows = [(k, "\n".join([f"own {k}", f"line {k}", passage, f"end {k}"]), "s") for k in range(4)]
+        got = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(frame(spark, rows)).collect()}
+        assert got[0] == rows[0][1] and all(got[k] == f"own {k}\nline {k}\nend {k}" for k in range(1, 4))
     same = {r["doc_id"]: r["text"] for r in line_dedup.deduplicated(odd).collect() if r["doc_id"] in (1, 2, 4, 6)}
     assert same == {r["doc_id"]: r["text"] for r in odd.collect() if r["doc_id"] in (1, 2, 4, 6)}
     assert line_dedup.deduplicated(odd.limit(0)).count() == 0
@@ -403,7 +439,7 @@ def test_url_filters_mixed_hosts(spark):
         hosts = sorted({h for h, _, _ in pages})
         start = {h: 0.15 * masses.get(h, (0, 0))[which] for h in hosts}
         now = start
-        for _ in range(20):
+        for _ in range(300):
             now = {h: start[h] + 0.85 * sum(now[a] / sum(x == a for x, _ in links) for a, b in links if b == h) for h in hosts}
         return now
 
@@ -417,6 +453,15 @@ def test_url_filters_mixed_hosts(spark):
     assert {r["distrust"] for r in named} == {0.0}
 
 
+def test_equal_rules(spark):
+    """Of equally long rules the first one of the list counts."""
+    one, two = url_filters.Rule("allow", "com", "/ab"), url_filters.Rule("block", "a.com", "/")
+    df = spark.createDataFrame([(1, "http://a.com/abc", '<a data-href="http://x.net/"><a class=x href="http://y.net/">')], "page_id long, url string, html string")
+    for rules in ((one, two), (two, one)):
+        assert url_filters.judged(df, rules).first()["verdict"] == rules[0].verdict
+    assert [r["target"] for r in url_filters.edges(df.withColumn("host", F.lit("a.com"))).collect()] == ["y.net"]
+
+
 def test_words():
     texts = pa.array(["aB c", None, "", "\x0bé\tc ", "c"])
     words = w.split(texts, lower=True)
@@ -446,3 +491,41 @@ def test_pipeline(spark, odd, sf_dir):
         if k < 4:
             assert docs.columns == odd.columns
     assert {r["doc_id"] for r in docs.collect()} <= {4, 5} and seen[0] == 3 and seen[1] == 1
+
+
+@pytest.mark.parametrize("one_task", [0, 1 << 22])
+def test_components(spark, one_task):
+    rng = random.Random(21)
+    edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(230)] + [(k, k + 1) for k in range(1000, 1040)] + [(5000, k) for k in range(5001, 5100)] + [(7, 7)]
+    parent = {x: x for e in edges for x in e if e[0] != e[1]}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        if a != b:
+            x, y = sorted((root(a), root(b)))
+            parent[y] = x
+    got = graph.components(spark.createDataFrame(edges, "u long, v long"), one_task).collect()
+    assert sorted(map(tuple, got)) == sorted((x, root(x)) for x in parent)
+    assert graph.components(spark.createDataFrame([], "u long, v long"), one_task).count() == 0
+
+
+def test_jaccard_of_a_large_group(spark):
+    """Many near copies of one text, most of them farther from each other than links reach, and a common line."""
+    rng = random.Random(22)
+    base = [f"b{k}" for k in range(80)]
+    line = " ".join(f"c{k}" for k in range(12))
+    rows = []
+    for k in range(260):
+        text = list(base)
+        for _ in range(rng.randint(0, 4)):
+            text[rng.randrange(len(text))] = f"own{rng.random()}"
+        rows.append((k, " ".join(text)))
+    rows += [(1000 + k, line + " " + " ".join(rng.choices(VOCABULARY, k=rng.randint(0, 6)))) for k in range(120)]
+    got = {tuple(r) for r in jaccard.near_duplicates(frame(spark, [(i, t, "s") for i, t in rows]), like=jaccard.Similarity(4, 85)).collect()}
+    expected = brute_components(rows, 4, 85)
+    assert got == expected
+    assert 20 < len({c for i, _, c in expected if i < 1000}) < 240
