@@ -119,6 +119,7 @@ SENTENCE_REACH = 200
 ZONED_OBJECT_TYPES = ["char", "line", "rect"]
 PAGE_BAND = 50
 MINIMUM_TEXT = 100
+OVERSIZED_TEXT = "The text does not fit one cell"
 SHEET_ROWS = 50
 CONTEXT_LINES = 50
 EVALUATION_LINES = {"email_text": 100, "table_data": 30, "xlsx_data": 30}

@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 # One cell of text.  Far above any document, and well inside what a row can hold.
 CELL_CHARS = 64 * 1024 * 1024
 
+# What has become of a text, beside it: a NULL text alone does not say.
+WHOLE, OVERSIZED, FAILED = "whole", "oversized", "failed"
+
 
 def split_by_size(
     parts: DataFrame,
@@ -44,10 +47,10 @@ def assemble(
     max_chars: int = CELL_CHARS,
     chars: str | None = None,
 ) -> DataFrame:
-    """Join the parts of each key in order: keys, ``text``, ``n_parts``.
+    """Join the parts of each key in order: keys, ``text``, ``n_parts``, ``n_chars``, ``text_state``.
 
-    A key whose text would not fit one cell is not gathered: it gets NULL text here, and
-    ``parts`` still holds it whole, row by row.
+    A key whose text would not fit one cell is not gathered: it is ``oversized`` with NULL text
+    here, and ``parts`` still holds it whole, row by row.
     """
     fitting, oversized = split_by_size(parts, keys, text, max_chars, chars)
     return joined_parts(fitting, keys, order, text, separator).unionByName(without_text(oversized, keys))
@@ -66,8 +69,11 @@ def joined_parts(fitting: DataFrame, keys: list[str], order: list[str], text: st
             F.array_join(F.transform("_parts", lambda p: p[text]), separator).alias("text"),
             "n_parts",
         )
+        .withColumns({"n_chars": F.length("text").cast("bigint"), "text_state": F.lit(WHOLE)})
     )
 
 
 def without_text(oversized: DataFrame, keys: list[str]) -> DataFrame:
-    return oversized.select(*keys, F.lit(None).cast("string").alias("text"), "n_parts")
+    return oversized.select(
+        *keys, F.lit(None).cast("string").alias("text"), "n_parts", "n_chars", F.lit(OVERSIZED).alias("text_state")
+    )

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import functools
 import itertools
-import sys
 import unicodedata
 
 import pyarrow as pa
@@ -24,38 +23,38 @@ def _compatibility_form(text: pa.Array) -> pa.Array:
     )
 
 
-def _may_change() -> set[int]:
-    """Code points that NFKC replaces, reorders, or joins to the character before."""
-    found = {*range(0x1161, 0x1176), *range(0x11A8, 0x11C3)}  # vowels and finals of Hangul syllables
-    for code in range(sys.maxunicode + 1):
+def _may_change(limit: int) -> set[int]:
+    """Code points below a limit that NFKC replaces, reorders, or joins to the character before."""
+    found = set()
+    for code in range(limit):
         char = chr(code)
         if unicodedata.combining(char) or not unicodedata.is_normalized("NFKC", char):
             found.add(code)
-        parts = unicodedata.decomposition(char).split()
-        if len(parts) == 2 and not parts[0].startswith("<"):
-            found.add(int(parts[1], 16))
     return found
 
 
+#: Beyond this, texts are normalised without a closer look: the look costs more than NFKC.
+_LOOKED_AT = 0x180
+
+
 @functools.cache
 def foreign_pattern() -> str:
-    """A character outside the runs of characters that no NFKC step touches.
+    """A character that NFKC may change, or one beyond the accented Latin letters.
 
-    Short runs beyond the first blocks are left out to keep the class small: a text with one
-    of their characters is normalised although it would not change.
+    The class is kept short, since a pattern of all that NFKC leaves alone (thousands of runs) takes
+    longer than NFKC itself.  Combining marks are beyond it, so an accent never goes unseen.
     """
-    changing = sorted({*_may_change(), *range(0xD800, 0xE000), sys.maxunicode + 1})
+    changing = sorted(_may_change(_LOOKED_AT) | {_LOOKED_AT})
     runs = [(a + 1, b - 1) for a, b in itertools.pairwise([-1, *changing]) if b > a + 1]
-    kept = [(a, b) for a, b in runs if a < 0x2200 or b - a >= 63]
-    return "[^" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in kept) + "]"
+    return "[^" + "".join(f"\\x{{{a:X}}}-\\x{{{b:X}}}" for a, b in runs) + "]"
 
 
 def normalise(text: Column) -> Column:
     """NFKC, then no control or invisible characters, and one kind of line break.
 
-    Spark has no built-in for NFKC.  ASCII text is already normal, and so is text whose other
-    characters (accented letters, dashes, currency signs, ideographs) are of the kind that NFKC
-    leaves alone; such rows send NULL to the Arrow function and keep their own text.  NFKC turns
+    Spark has no built-in for NFKC.  ASCII text is already normal, and so is text with accented
+    Latin letters and signs that NFKC leaves alone; such rows send NULL to the Arrow function and
+    keep their own text.  All other texts go through it.  NFKC turns
     U+00A0 into a space and U+2011 into U+2010, so nothing is left to replace for them.
     """
     beyond_ascii = F.octet_length(text) != F.char_length(text)

@@ -23,12 +23,14 @@ def full_context(mail: Column, tables: Column, sheets: Column) -> Column:
     )
 
 
-def context_chars(mail: Column, tables: Column, sheets_chars: Column) -> Column:
-    """Length of ``full_context``, given only the length of the sheets less trailing blanks."""
+def context_chars(mail: Column, table_chars: Column, sheets_chars: Column) -> Column:
+    """Length of ``full_context``, given only the lengths of the tables and of the sheets less trailing blanks."""
+    nothing = F.lit("")
     # A bar in place of the sheets keeps the heading before it whole.
-    headed = F.length(full_context(mail, tables, F.lit("|"))).cast("bigint") - 1
-    bare = F.length(full_context(mail, tables, F.lit(""))).cast("bigint")
-    return F.when(F.coalesce(sheets_chars, F.lit(0)) > 0, headed + sheets_chars).otherwise(bare)
+    headed = F.length(full_context(mail, nothing, F.lit("|"))).cast("bigint") - 1
+    bare = F.length(full_context(mail, nothing, nothing)).cast("bigint")
+    sheets = F.coalesce(sheets_chars, F.lit(0))
+    return F.coalesce(table_chars, F.lit(0)) + F.when(sheets > 0, headed + sheets).otherwise(bare)
 
 
 def or_placeholder(text: Column, placeholder: str) -> Column:

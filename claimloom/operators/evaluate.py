@@ -52,11 +52,17 @@ def mapped_labels(labels: Column) -> Column:
 
 
 def label_columns(gold: DataFrame, labels: str = "labels") -> DataFrame:
-    """Add one column per scored field from the labels; an absent label is NULL."""
-    return gold.withColumn("_fields", mapped_labels(F.col(labels))).select(
-        *gold.columns,
-        *[F.try_element_at("_fields", F.lit(f)).alias(f) for f in SCORED_FIELDS],
-    )
+    """Add one column per scored field from the labels.
+
+    An absent label is NULL and compares as "".  A label that is there with a null value reads
+    "None", as its text would.
+    """
+
+    def value(field: str) -> Column:
+        found = F.try_element_at("_fields", F.lit(field))
+        return F.when(F.map_contains_key("_fields", field), F.coalesce(found, F.lit("None"))).alias(field)
+
+    return gold.withColumn("_fields", mapped_labels(F.col(labels))).select(*gold.columns, *[value(f) for f in SCORED_FIELDS])
 
 
 # --- normalisers ----------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from claimloom import fixed_values as fixed
-from claimloom.functions.assemble import CELL_CHARS, assemble, joined_parts, split_by_size, without_text
+from claimloom.functions.assemble import CELL_CHARS, FAILED, OVERSIZED, WHOLE, assemble, joined_parts, split_by_size, without_text
 from claimloom.functions.text import strip
 
 
@@ -53,11 +53,11 @@ def outside_zones(elements: DataFrame, zone_table: DataFrame) -> DataFrame:
 
 
 def page_texts(elements: DataFrame, zone_table: DataFrame | None = None, max_chars: int = CELL_CHARS) -> DataFrame:
-    """Text of each page in the order of its elements: pages(doc_id, page, text).
+    """Text of each page in the order of its elements: pages(doc_id, page, text, n_chars).
 
     With ``zone_table`` the elements in its zones are left out.  Pages are sized before
     that, on the plain elements, so one too large to gather does not reach the join; its
-    text is NULL and ``outside_zones`` lists its elements.
+    text is NULL, its ``n_chars`` tells ``documents`` so, and ``outside_zones`` lists its elements.
     """
     keys = ["doc_id", "page"]
     spoken = elements.where(F.col("text").isNotNull())
@@ -66,7 +66,7 @@ def page_texts(elements: DataFrame, zone_table: DataFrame | None = None, max_cha
     return (
         joined_parts(kept, keys, ["seq"], "text", " ")
         .unionByName(without_text(oversized, keys))
-        .select("doc_id", "page", "text")
+        .select("doc_id", "page", "text", "n_chars")
     )
 
 
@@ -85,9 +85,10 @@ def _marked(pages: DataFrame, marker: str, filled: Column) -> DataFrame:
 def documents(
     pages: DataFrame, page_counts: DataFrame | None = None, ocr: bool = False, max_chars: int = CELL_CHARS
 ) -> DataFrame:
-    """Join page texts under their markers: docs(doc_id, raw_text, num_pages).
+    """Join page texts under their markers: docs(doc_id, raw_text, num_pages, text_state).
 
-    Empty pages have no text but count.  Recognised text counts as empty when blank.
+    A document whose text does not fit one cell is ``oversized``, with NULL text; all others are
+    ``whole``, also with empty text.  Empty pages have no text but count.  Recognised text counts as empty when blank.
     ``pages`` may bring the length of its texts as ``n_chars``.
     ``page_counts(doc_id, num_pages)`` adds documents and pages that yielded no row.
     """
@@ -102,22 +103,33 @@ def documents(
         counts = pages.groupBy("doc_id").agg(F.count("*").alias("num_pages"))
     return counts.join(joined, "doc_id", "left").select(
         "doc_id",
-        # No part at all is an empty text; text too large for a cell stays NULL.
+        # No part at all is an empty text.
         F.when(F.col("n_parts").isNull(), "").otherwise(F.col("text")).alias("raw_text"),
         F.col("num_pages").cast("bigint").alias("num_pages"),
+        F.coalesce("text_state", F.lit(WHOLE)).alias("text_state"),
     )
 
 
 def with_fallback(primary: DataFrame, recognised: DataFrame) -> DataFrame:
-    """Choose between extracted and recognised text, each docs(doc_id, raw_text, num_pages).
+    """Choose between extracted and recognised text, each docs(doc_id, raw_text, num_pages[, text_state]).
 
-    A NULL or absent text is a failed extraction.  Extracted text of more than 100
-    characters is kept; else recognised text wins even if it is shorter, unless it failed.
-    ``error`` is set where both failed.
+    A NULL or absent text is a failed extraction, unless its state is ``oversized``.  Extracted
+    text of more than 100 characters is kept; else recognised text wins even if it is shorter,
+    unless it failed.  An oversized text is long enough and never replaced.  ``text_state`` tells
+    what became of the chosen text, and ``error`` why there is none.
     """
+
+    def state(side: str, table: DataFrame) -> Column:
+        plain = F.when(F.col(f"{side}.raw_text").isNotNull(), WHOLE).otherwise(FAILED)
+        if "text_state" not in table.columns:
+            return plain
+        return F.when(F.col(f"{side}.text_state") == OVERSIZED, OVERSIZED).otherwise(plain)
+
     p, r = F.col("p.raw_text"), F.col("r.raw_text")
-    enough = F.length(strip(p)) > fixed.MINIMUM_TEXT
-    use_primary = F.coalesce(enough, F.lit(False)) | r.isNull()
+    p_state, r_state = state("p", primary), state("r", recognised)
+    enough = (F.length(strip(p)) > fixed.MINIMUM_TEXT) | (p_state == OVERSIZED)
+    use_primary = F.coalesce(enough, F.lit(False)) | (r_state == FAILED)
+    chosen = F.when(use_primary, p_state).otherwise(r_state)
     return (
         primary.alias("p")
         .join(recognised.alias("r"), "doc_id", "full_outer")
@@ -125,6 +137,19 @@ def with_fallback(primary: DataFrame, recognised: DataFrame) -> DataFrame:
             "doc_id",
             F.when(use_primary, p).otherwise(r).alias("raw_text"),
             F.when(use_primary, F.col("p.num_pages")).otherwise(F.col("r.num_pages")).alias("num_pages"),
-            F.when(p.isNull() & r.isNull(), F.lit("All extraction methods failed")).alias("error"),
+            chosen.alias("text_state"),
+            F.when(chosen == FAILED, F.lit("All extraction methods failed")).when(chosen == OVERSIZED, F.lit(fixed.OVERSIZED_TEXT)).alias("error"),
         )
     )
+
+
+def extracted(
+    elements: DataFrame, zone_table: DataFrame, page_counts: DataFrame, recognised_pages: DataFrame, max_chars: int = CELL_CHARS
+) -> DataFrame:
+    """Documents from page elements: docs(doc_id, raw_text, num_pages, text_state, error), as a batch wants them.
+
+    ``page_counts(doc_id, num_pages)`` names the documents that could be opened; the others, and
+    those with little text, get their recognised pages ``(doc_id, page, text)``.
+    """
+    primary = documents(page_texts(elements, zone_table, max_chars), page_counts, max_chars=max_chars)
+    return with_fallback(primary, documents(recognised_pages, ocr=True, max_chars=max_chars))

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from claimloom import fixed_values as fixed
 from claimloom.functions.keys import own_key
 from claimloom.functions.text import collapse, strip
+from claimloom.session import durable
 
 GRAM = 3
 
@@ -31,30 +32,46 @@ def _grams(text: Column, size: int) -> Column:
     return F.array_distinct(F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{size}}}))"), F.lit(1)))
 
 
+#: Bits of the table that tells which pieces any needle has; 2^_PIECE_BITS / 64 rows at most.
+_PIECE_BITS = 22
+
+
+def _marked(pieces: DataFrame) -> DataFrame:
+    """``pieces`` with the place of their hash in a bit table: ``cell`` and ``bit``."""
+    spot = F.xxhash64("gram").bitwiseAND((1 << _PIECE_BITS) - 1)
+    return pieces.withColumns({"cell": F.shiftright(spot, 6), "bit": F.expr("shiftleft(1L, cast(xxhash64(gram) & 63 as int))")})
+
+
 def contained_in(needles: DataFrame, texts: DataFrame) -> DataFrame:
     """Pairs (needle, text) in which the text contains the needle.
 
-    ``needles(needle)`` and ``texts(text)`` are distinct and not empty.  Each needle is
-    looked up by one of its own three-letter pieces, the one fewest texts hold, so this is
-    an equi join followed by the test, never a comparison of every pair.
+    ``needles(needle)`` and ``texts(text)`` are distinct and not empty.  The index is built from
+    the needles: a bit table of fixed size (1 MB) holds the hashes of their pieces, three letters
+    each or a shorter needle itself, and is sent to every task.  Texts are read once, and of their
+    pieces only those that some needle may have are written down and shuffled.  Each needle is
+    then looked up by the one of its pieces that fewest texts hold: an equi join followed by the
+    test, never a comparison of every pair.
     """
-    pieces = texts.select(
-        "text",
-        F.explode(F.concat(*[_grams(F.col("text"), n) for n in range(1, GRAM + 1)])).alias("gram"),
-    )
-    needle_grams = needles.select(
-        "needle",
-        F.explode(
-            F.when(F.length("needle") >= GRAM, _grams(F.col("needle"), GRAM)).otherwise(F.array("needle"))
-        ).alias("gram"),
+    needle_grams = durable(
+        needles.select(
+            "needle",
+            F.explode(F.when(F.length("needle") >= GRAM, _grams(F.col("needle"), GRAM)).otherwise(F.array("needle"))).alias("gram"),
+        )
     )
-    spread = pieces.groupBy("gram").agg(F.count("*").alias("texts"))
+    sizes = sorted(r[0] for r in needle_grams.select(F.length("gram")).distinct().collect())  # 1 to GRAM
+    if not sizes:
+        return needles.join(texts, needles["needle"] == texts["text"]).select("needle", "text")
+    bits = _marked(needle_grams.select("gram")).groupBy("cell").agg(F.bit_or("bit").alias("bits"))
+    pieces = texts.select("text", F.explode(F.concat(*[_grams(F.col("text"), n) for n in sizes])).alias("gram"))
+    wanted = _marked(pieces).join(F.broadcast(bits), "cell").where("(bits & bit) != 0").select("text", "gram")
+    hits = durable(wanted)
+    spread = hits.groupBy("gram").agg(F.count("*").alias("texts"))
     rarest = (
         needle_grams.join(spread, "gram", "left")
         .groupBy("needle")
         .agg(F.min_by("gram", F.struct(F.coalesce("texts", F.lit(0)), "gram")).alias("gram"))
     )
-    return rarest.join(pieces, "gram").where(F.contains("text", F.col("needle"))).select("needle", "text")
+    return rarest.join(hits, "gram").where(F.contains("text", F.col("needle"))).select("needle", "text")
 
 
 # --- product codes --------------------------------------------------------------------

@@ -7,8 +7,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from claimloom import fixed_values as fixed
-from claimloom.functions.assemble import CELL_CHARS, assemble, split_by_size
-from claimloom.functions.text import let
+from claimloom.functions.assemble import CELL_CHARS, assemble
+from claimloom.functions.numbering import numbered
+from claimloom.functions.text import WHITE_SPACE, first_lines
 
 TABLE_KEYS = ["doc_id", "source_page", "table_idx"]
 
@@ -103,81 +104,89 @@ def table_counts(cells: DataFrame) -> DataFrame:
     )
 
 
-def _column_names(header: Column) -> Column:
-    """The names of ``header_names`` for one header row, array<struct<col_idx, value>>."""
+def table_columns(cells: DataFrame) -> DataFrame:
+    """The columns of each document's consolidated table: (doc_id, name, place, num_columns).
 
-    def name(bases: Column, base: Column, position: Column) -> Column:
-        repeats = F.size(F.filter(F.slice(bases, 1, position), lambda b: b == base))
-        return let(repeats, lambda k: F.when(k == 0, base).otherwise(F.concat_ws("_", base, k.cast("string"))))
-
-    return let(
-        F.transform(header, lambda h: F.coalesce(h["value"], F.lit("col"))),
-        lambda bases: F.transform(bases, lambda base, i: name(bases, base, i)),
-    )
+    They are the union over the document's tables, in order of first appearance (``place`` from
+    1).  Only header rows are read, and equal names combine before the shuffle.
+    """
+    first = _headers(cells).groupBy("doc_id", "name").agg(F.min(F.struct("source_page", "table_idx", "col_idx")).alias("first"))
+    counts = first.groupBy("doc_id").agg(F.count("*").cast("int").alias("num_columns"))
+    place = F.row_number().over(W.partitionBy("doc_id").orderBy("first"))
+    return first.select("doc_id", "name", place.alias("place")).join(counts, "doc_id")
 
 
-def table_texts(cells: DataFrame, max_chars: int = CELL_CHARS) -> DataFrame:
-    """All tables of a document as CSV text: docs(doc_id, table_text).
+def table_lines(cells: DataFrame) -> DataFrame:
+    """All tables of a document as lines of CSV: (doc_id, source_page, table_idx, row_idx, line).
 
-    The columns are the union over the document's tables, in order of first appearance;
-    a table lacking a column leaves it empty.  A document too large for one cell gets NULL
-    text; ``table_cells`` holds it row by row.
+    The first line (NULL in the other keys, which sorts first) names the columns of
+    ``table_columns``; a table lacking a column leaves it empty, and the last column of a name
+    counts.  A row of a table is all that is brought together; documents of any size stay rows.
     """
-    fitting, oversized = split_by_size(cells, ["doc_id"], "value", max_chars)
-    # A document that fits one cell fits one task, so a single shuffle by document serves
-    # rows, tables and documents alike.
+    columns = table_columns(cells)
+    named = _headers(cells).join(columns, ["doc_id", "name"]).select(*TABLE_KEYS, "col_idx", "last", "place", "num_columns")
+    filled = F.struct("place", "last", F.coalesce("value", F.lit("")).alias("value"))
     rows = (
-        fitting.repartition("doc_id")
+        cells.where(F.col("row_idx") > 0)
+        .join(named, TABLE_KEYS + ["col_idx"])
         .groupBy(*TABLE_KEYS, "row_idx")
-        .agg(F.sort_array(F.collect_list(F.struct("col_idx", "value"))).alias("cells"))
+        .agg(F.max("num_columns").alias("n"), F.array_sort(F.collect_list(filled)).alias("_cells"))
+        .withColumn("_cells", F.filter("_cells", lambda c: c["last"]))
     )
-    grids = (
-        rows.groupBy(*TABLE_KEYS)
-        .agg(F.sort_array(F.collect_list(F.struct("row_idx", "cells"))).alias("rows"))
-        .where(F.col("rows")[0]["row_idx"] == 0)
-        .withColumn("header", F.col("rows")[0]["cells"])
-        .withColumn("names", _column_names(F.col("header")))
-        .withColumn("columns", F.transform("header", lambda h: h["col_idx"]))
+
+    def cell(c: Column, k: Column) -> Column:
+        # As many commas as there are columns since the cell before.
+        before = F.when(k == 0, F.lit(1)).otherwise(F.get("_cells", k - 1)["place"])
+        return F.concat(F.repeat(F.lit(","), c["place"] - before), csv_cell(c["value"]))
+
+    behind = F.col("n") - F.coalesce(F.try_element_at("_cells", F.lit(-1))["place"], F.lit(1))
+    body = rows.select(
+        *TABLE_KEYS,
+        "row_idx",
+        F.concat(
+            F.col("source_page").cast("string"), F.lit(","), table_id(F.col("source_page"), F.col("table_idx")), F.lit(","),
+            F.array_join(F.transform("_cells", cell), ""), F.repeat(F.lit(","), behind),
+        ).alias("line"),
     )
-    documents = (
-        grids.groupBy("doc_id")
-        .agg(F.sort_array(F.collect_list(F.struct("source_page", "table_idx", "names", "columns", "rows"))).alias("tables"))
-        .withColumn("all_names", F.array_distinct(F.flatten(F.transform("tables", lambda t: t["names"]))))
+    names = columns.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("place", "name"))).alias("names"))
+    head = names.select(
+        "doc_id",
+        *[F.lit(None).cast(cells.schema[k].dataType).alias(k) for k in ("source_page", "table_idx", "row_idx")],
+        F.concat(F.lit("source_page,table_id,"), F.array_join(F.transform("names", lambda c: csv_cell(c["name"])), ",")).alias("line"),
     )
+    return head.unionByName(body)
 
-    def column_of(table: Column, name: Column) -> Column:
-        # The last column of a name counts.
-        back = F.array_position(F.reverse(table["names"]), name)
-        return F.when(back > 0, F.element_at(table["columns"], (F.size(table["names"]) - back + 1).cast("int")))
-
-    def line(table: Column, columns: Column, row: Column) -> Column:
-        def cell(values: Column, column: Column) -> Column:
-            return csv_cell(F.coalesce(F.try_element_at(values, column), F.lit("")))
-
-        return F.concat_ws(
-            ",",
-            table["source_page"].cast("string"),
-            table_id(table["source_page"], table["table_idx"]),
-            let(
-                F.map_from_entries(row["cells"]),
-                lambda values: F.array_join(F.transform(columns, lambda c: cell(values, c)), ","),
-            ),
-        )
 
-    def lines(table: Column, names: Column) -> Column:
-        body = F.filter(table["rows"], lambda r: r["row_idx"] > 0)
-        return let(
-            F.transform(names, lambda n: column_of(table, n)),
-            lambda columns: F.transform(body, lambda row: line(table, columns, row)),
-        )
+LINE_ORDER = ["source_page", "table_idx", "row_idx"]
 
-    head = F.concat_ws(",", F.lit("source_page"), F.lit("table_id"), F.array_join(F.transform("all_names", csv_cell), ","))
-    body = let(
-        F.col("all_names"), lambda names: F.flatten(F.transform("tables", lambda t: lines(t, names)))
-    )
-    text = F.concat(F.array_join(F.concat(F.array(head), body), "\n"), F.lit("\n"))
-    return documents.select("doc_id", text.alias("table_text")).unionByName(
-        oversized.select("doc_id", F.lit(None).cast("string").alias("table_text"))
+
+def numbered_lines(lines: DataFrame) -> DataFrame:
+    """(doc_id, line_no, line) of ``table_lines``, numbered from 0 by document; written down."""
+    return numbered(lines, ["doc_id"], LINE_ORDER, "line_no").select("doc_id", "line_no", "line")
+
+
+def first_table_lines(lines: DataFrame, limit: int, suffix: str) -> DataFrame:
+    """(doc_id, table_data, table_chars): the text of ``table_lines`` cut to its first lines, and its whole length.
+
+    Ranking stops at the lines that are needed before the shuffle, and lengths add up there.
+    """
+    rank = F.row_number().over(W.partitionBy("doc_id").orderBy(*LINE_ORDER))
+    # One line more than is shown tells whether any was left out.
+    shown = lines.withColumn("rank", rank).where(F.col("rank") <= limit + 1)
+    heads = shown.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("rank", "line"))).alias("lines"))
+    text = F.concat(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("\n"))
+    chars = lines.groupBy("doc_id").agg(F.sum((F.length("line") + 1).cast("bigint")).alias("table_chars"))
+    return heads.select("doc_id", first_lines(text, limit, suffix).alias("table_data")).join(chars, "doc_id")
+
+
+def table_texts(cells: DataFrame) -> DataFrame:
+    """All tables of a document as one CSV text: docs(doc_id, table_text).
+
+    For documents whose tables are known to fit one cell; a batch works on ``table_lines``.
+    """
+    lines = table_lines(cells).groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct(*LINE_ORDER, "line"))).alias("lines"))
+    return lines.select(
+        "doc_id", F.concat(F.array_join(F.transform("lines", lambda x: x["line"]), "\n"), F.lit("\n")).alias("table_text")
     )
 
 
@@ -223,6 +232,47 @@ def sheet_texts(sheet_rows: DataFrame) -> DataFrame:
     return kept.select(*keys, text.alias("text"))
 
 
+def folder_parts(sheets: DataFrame, workbooks: DataFrame) -> DataFrame:
+    """Sheets of each folder's workbooks: (folder, workbook, sheet_idx, text), in that order.
+
+    ``sheets`` as of ``sheet_texts``, ``workbooks(folder, workbook)``.  The texts of a folder read
+    one after the other are what every document of the folder gets.
+    """
+    sheets = sheets.withColumnRenamed("file", "workbook")
+    first = sheets.groupBy("workbook").agg(F.min("sheet_idx").alias("_first"))
+    return (
+        sheets.join(first, "workbook")
+        .withColumn("text", F.concat(F.when(F.col("sheet_idx") > F.col("_first"), "\n").otherwise(""), "text"))
+        .join(workbooks, "workbook")
+        .select("folder", "workbook", "sheet_idx", "text")
+    )
+
+
+def first_sheet_lines(parts: DataFrame, limit: int, suffix: str) -> DataFrame:
+    """(folder, xlsx_data, xlsx_chars) of ``folder_parts``: the first lines, and the length without trailing blanks.
+
+    A sheet has a line at least, so no more sheets than lines are brought together, however many
+    a folder holds; lengths add up before the shuffle.
+    """
+    rank = F.row_number().over(W.partitionBy("folder").orderBy("workbook", "sheet_idx"))
+    shown = parts.withColumn("rank", rank).where(F.col("rank") <= limit + 1)
+    heads = shown.groupBy("folder").agg(F.sort_array(F.collect_list(F.struct("rank", "text"))).alias("texts"))
+    text = F.array_join(F.transform("texts", lambda x: x["text"]), "")
+    blanks = F.length("text") - F.length(F.rtrim("text", F.lit(WHITE_SPACE)))
+    chars = parts.groupBy("folder").agg(
+        (F.sum(F.length("text").cast("bigint")) - F.max_by(blanks, F.struct("workbook", "sheet_idx"))).alias("xlsx_chars")
+    )
+    return heads.select("folder", first_lines(text, limit, suffix).alias("xlsx_data")).join(chars, "folder")
+
+
+def folder_lines(parts: DataFrame) -> DataFrame:
+    """(folder, line_no, line) of ``folder_parts``, numbered from 0 by folder; written down."""
+    # A part ends with a break, and the next one goes on behind it.
+    split = F.split(F.left("text", F.length("text") - 1), "\n", -1)
+    lines = parts.select("folder", "workbook", "sheet_idx", F.posexplode(split).alias("pos", "line"))
+    return numbered(lines, ["folder"], ["workbook", "sheet_idx", "pos"], "line_no").select("folder", "line_no", "line")
+
+
 def workbook_texts(sheets: DataFrame, errors: DataFrame | None = None, max_chars: int = CELL_CHARS) -> DataFrame:
     """Sheets of a workbook in order: workbooks(file, text).
 

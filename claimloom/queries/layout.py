@@ -43,7 +43,7 @@ def page_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     ctes(
         ("elements", fx.ELEMENTS), ("zones", fx.ZONES),
-        body=f"""select doc_id, page, string_agg(text, ' ' order by seq) as text
+        body=f"""select doc_id, page, string_agg(text, ' ' order by seq) as text, length(string_agg(text, ' ' order by seq)) as n_chars
           from elements e where not ({IN_ZONE}) and text is not null group by doc_id, page""",
     )
 )
@@ -53,7 +53,7 @@ def page_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _document_sql(marker: str, filled: str) -> str:
     return f"""select doc_id, coalesce(string_agg(chr(10) || '--- Page ' || page || '{marker} ---' || chr(10) || chr(10) || text,
-      chr(10) order by page) filter (where {filled}), '') as raw_text, count(*) as num_pages from pages_of group by doc_id"""
+      chr(10) order by page) filter (where {filled}), '') as raw_text, count(*) as num_pages, 'whole' as text_state from pages_of group by doc_id"""
 
 
 FILLED = "text <> ''"
@@ -83,6 +83,7 @@ _RECOGNISED = """select doc_id, case when doc_id % 4 = 0 then null when doc_id %
         body=f"""select doc_id,
           case when length({sql.strip('pt')}) > {fixed.MINIMUM_TEXT} then pt when rt is not null then rt else pt end as raw_text,
           case when length({sql.strip('pt')}) > {fixed.MINIMUM_TEXT} then pn when rt is not null then rn else pn end as num_pages,
+          case when pt is null and rt is null then 'failed' else 'whole' end as text_state,
           case when pt is null and rt is null then 'All extraction methods failed' end as error from both_texts""",
     )
 )
@@ -90,6 +91,34 @@ def text_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return layout.with_fallback(view(spark, sf_dir, _PRIMARY), view(spark, sf_dir, _RECOGNISED))
 
 
+# Documents of which one in five cannot be opened, and recognised pages of one in three.
+_OPENED = "select o_orderkey as doc_id, cast(3 as bigint) as num_pages from orders where o_orderkey % 5 <> 0"
+_SEEN_PAGES = """select o_orderkey as doc_id, o_custkey % 2 + 1 as page, case when o_orderkey % 6 = 0 then ' ' else concat('seen ', o_orderpriority) end as text
+  from orders where o_orderkey % 3 = 0"""
+
+
+@query(
+    ctes(
+        ("elements", fx.ELEMENTS), ("zones", fx.ZONES), ("opened", _OPENED), ("seen", _SEEN_PAGES),
+        ("texts", f"""select doc_id, page, string_agg(text, ' ' order by seq) as text from elements e
+          where not ({IN_ZONE}) and text is not null group by doc_id, page"""),
+        ("joined", """select doc_id, string_agg(chr(10) || '--- Page ' || page || ' ---' || chr(10) || chr(10) || text, chr(10) order by page) as text
+          from texts where text <> '' group by doc_id"""),
+        ("p", "select o.doc_id, num_pages, coalesce(text, '') as raw_text from opened o left join joined j on o.doc_id = j.doc_id"),
+        ("r", """select doc_id, coalesce(string_agg(chr(10) || '--- Page ' || page || ' (OCR) ---' || chr(10) || chr(10) || text, chr(10) order by page)
+          filter (where trim(text) <> ''), '') as raw_text, count(*) as num_pages from seen group by doc_id"""),
+        ("both_texts", """select coalesce(p.doc_id, r.doc_id) as doc_id, p.raw_text as pt, r.raw_text as rt,
+          p.num_pages as pn, r.num_pages as rn from p full join r on p.doc_id = r.doc_id"""),
+        body=f"""select doc_id, case when length({sql.strip('pt')}) > {fixed.MINIMUM_TEXT} or rt is null then pt else rt end as raw_text,
+          case when length({sql.strip('pt')}) > {fixed.MINIMUM_TEXT} or rt is null then pn else rn end as num_pages,
+          'whole' as text_state, cast(null as varchar) as error from both_texts""",
+    )
+)
+def extracted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents from their elements, as a batch wants them."""
+    return layout.extracted(*[view(spark, sf_dir, x) for x in (fx.ELEMENTS, fx.ZONES, _OPENED, _SEEN_PAGES)])
+
+
 # --- tables ---------------------------------------------------------------------------
 
 HEADERS = """select doc_id, source_page, table_idx, col_idx, case when k = 0 then base else base || '_' || k end as name
@@ -181,6 +210,28 @@ def consolidated_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consolidate(view(spark, sf_dir, fx.CELLS), documents)
 
 
+# Every order's lines as tables of their own names, so that a document has many columns.
+_OWN_NAMES = f"""select doc_id, source_page, cast(table_idx * 100 + row_idx as int) as table_idx, cast(0 as int) as row_idx, col_idx,
+    concat(value, cast(row_idx as varchar(9)), case when col_idx = 1 and row_idx % 2 = 0 then ',"x"' else '' end) as value from ({fx.CELLS}) c
+  union all select doc_id, source_page, cast(table_idx * 100 + row_idx as int) as table_idx, cast(1 as int) as row_idx, col_idx, value from ({fx.CELLS}) c"""
+_LINES = [(name, text if name != "cells" else _OWN_NAMES) for name, text in TABLE_TEXT]
+
+
+@query(
+    ctes(
+        *_LINES,
+        body="""select doc_id, row_number() over (partition by doc_id order by source_page, table_idx, row_idx) - 1 as line_no, line from csv_lines
+          union all select o_orderkey, 0, 'source_page,table_id,note' from orders where o_orderkey not in (select doc_id from csv_lines)""",
+    )
+)
+def consolidated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The consolidated table of every document by lines, of documents with many columns."""
+    from claimloom.sources import sinks
+
+    documents = view(spark, sf_dir, "select o_orderkey as doc_id from orders")
+    return sinks.consolidated_lines(tables.table_lines(view(spark, sf_dir, _OWN_NAMES)), documents)
+
+
 # Another extractor that found a table in every order, also in those without lines.
 _SECOND_SOURCE = """select o_orderkey as doc_id, 1 as source_page, 0 as table_idx, 0 as row_idx, 0 as col_idx, 'status' as value from orders
   union all select o_orderkey, 1, 0, 1, 0, o_orderstatus from orders"""

@@ -275,6 +275,45 @@ def config_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_WITH_PRODUCTS = "from configured where config_type not in ('info', 'empty', 'error') and error is null"
+
+
+@query(
+    ctes(
+        *field_queries.RESOLVED, *SETS, *CONFIGS,
+        ("keyed", f"select doc_id, cast(period_no as bigint) as period_no, code_set, stated_fsns {_WITH_PRODUCTS}"),
+        body="""select doc_id, period_no, generate_subscripts(stated_fsns, 1) - 1 as product_no, unnest(stated_fsns) as product_id from keyed where len(stated_fsns) > 0
+          union all select doc_id, period_no, 0, 'Populate from FSN File' from keyed where len(stated_fsns) = 0 and code_set is null
+          union all select doc_id, period_no, row_idx, fsn from keyed join sets s on code_set = s.model_name""",
+    )
+)
+def product_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every product of every document and period, all codes of all sets."""
+    return config.product_rows(*_configs(spark, sf_dir))
+
+
+@query(ctes(*field_queries.RESOLVED, *SETS, body="select model_name as code_set, row_idx as product_no, fsn as product_id from sets"))
+def product_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every set of products, once, as rows."""
+    return config.set_rows(_coded(spark, sf_dir)[1])
+
+
+@query(
+    ctes(
+        *field_queries.RESOLVED, *SETS, *CONFIGS,
+        body=f"""select doc_id, cast(period_no as bigint) as period_no, code_set as product_set,
+          case when len(stated_fsns) > 1 then array_to_string(stated_fsns, ';') end as products,
+          case when len(stated_fsns) = 1 then stated_fsns[1] when len(stated_fsns) = 0 and code_set is null then 'Populate from FSN File' end as product {_WITH_PRODUCTS}""",
+    )
+)
+def product_references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Configuration records that name their set of products, read back from their JSON."""
+    text = config.config_json(*_configs(spark, sf_dir), inline=False)
+    record = "config_type string, product_set string, fields struct<ProductId: string>, products array<struct<ProductId: string>>"
+    read = text.select("doc_id", "period_no", F.from_json("config", record).alias("r")).where("r.config_type is not null")
+    return read.select("doc_id", "period_no", "r.product_set", F.array_join("r.products.ProductId", ";").alias("products"), F.col("r.fields.ProductId").alias("product"))
+
+
 @query(
     ctes(
         *field_queries.RESOLVED, *SETS,

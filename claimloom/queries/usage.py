@@ -86,7 +86,7 @@ def estimated_usage(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.measured_or_estimated(given, "p", "r").select("doc_id", "input_tokens", "output_tokens")
 
 
-def _totals(source: str) -> str:
+def totals_sql(source: str) -> str:
     done = "filter (where status <> 'failed')"
     return f"""select total_files, successful, failed, total_input_tokens, total_output_tokens,
         total_input_tokens + total_output_tokens as total_tokens, {sql.rounded('c', 4)} as total_cost_usd,
@@ -98,19 +98,11 @@ def _totals(source: str) -> str:
         coalesce(sum(cost) {done}, 0.0) as c from {source})"""
 
 
-@query(ctes(("file_metrics", fx.FILE_METRICS), PRICES, costed("file_metrics"), body=_totals("costed")))
+@query(ctes(("file_metrics", fx.FILE_METRICS), PRICES, costed("file_metrics"), body=totals_sql("costed")))
 def batch_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return usage.batch_totals(usage.with_cost(view(spark, sf_dir, fx.FILE_METRICS)))
 
 
-_CONTEXT_ONLY = "select doc_id, 'context_generated' as status, cast(0 as bigint) as input_tokens, cast(0 as bigint) as output_tokens, cast(0 as double) as cost from documents"
-
-
-@query(ctes(("m", _CONTEXT_ONLY), body=_totals("m")))
-def context_only_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return usage.batch_totals(view(spark, sf_dir, _CONTEXT_ONLY))
-
-
 @query(
     ctes(
         ("file_metrics", fx.FILE_METRICS), PRICES, costed("file_metrics"),

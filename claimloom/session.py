@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,6 +40,49 @@ def _shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A name of its own below the folder for intermediate tables."""
+    return f"{_scratch.get() or _shared_folder(spark)}/{kind}-{uuid.uuid4().hex}"
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Inside, ``durable`` writes below the folder that this gives, for ``remove`` to delete."""
+    folder = new_folder(spark, "scratch")
+    token = _scratch.set(folder)
+    try:
+        yield folder
+    finally:
+        _scratch.reset(token)
+
+
+def _hadoop_path(spark: SparkSession, path: str):
+    """A path as Spark's default file system sees it, and that file system."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    system = found.getFileSystem(spark._jsc.hadoopConfiguration())
+    return system.makeQualified(found), system
+
+
+def remove(spark: SparkSession, folder: str) -> None:
+    """Delete a folder of intermediate tables; one that is not there is no error."""
+    path, system = _hadoop_path(spark, folder)
+    system.delete(path, True)
+
+
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """The paths that a glob pattern finds, in order."""
+    path, system = _hadoop_path(spark, pattern)
+    return sorted(x.getPath().toString() for x in system.globStatus(path) or [])
+
+
+def qualified(spark: SparkSession, path: str) -> str:
+    """The URI that Spark means by a path."""
+    return _hadoop_path(spark, path)[0].toString()
+
+
 def durable(df: DataFrame) -> DataFrame:
     """Write a costly result as a table in the shared folder and go on from there.
 
@@ -45,7 +91,7 @@ def durable(df: DataFrame) -> DataFrame:
     a local session without one gets a folder of its own.
     """
     spark = df.sparkSession
-    path = f"{_shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = new_folder(spark, "table")
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -44,10 +44,25 @@ def test_documents(spark):
 
 def test_large_documents_are_not_gathered(spark):
     given = pages(spark, [(1, i, "x" * 100) for i in range(50)] + [(2, 1, "small")])
-    got = {r.doc_id: (r.raw_text, r.num_pages) for r in layout.documents(given, max_chars=1000).collect()}
-    assert got[1] == (None, 50) and got[2][0].endswith("small")
+    got = {r.doc_id: (r.raw_text, r.num_pages, r.text_state) for r in layout.documents(given, max_chars=1000).collect()}
+    assert got[1] == (None, 50, "oversized") and got[2][0].endswith("small") and got[2][2] == "whole"
     parts = assemble(given, ["doc_id"], ["page"], "text", "", max_chars=1000)
-    assert {r.doc_id: r.n_parts for r in parts.collect()} == {1: 50, 2: 1}
+    assert {r.doc_id: (r.n_parts, r.text_state) for r in parts.collect()} == {1: (50, "oversized"), 2: (1, "whole")}
+    # Recognised text never stands in for a text because of its size.
+    seen = layout.documents(pages(spark, [(1, 1, "seen"), (2, 1, "seen")]), ocr=True)
+    chosen = {r.doc_id: (r.raw_text, r.text_state, r.error) for r in layout.with_fallback(layout.documents(given, max_chars=1000), seen).collect()}
+    assert chosen[1] == (None, "oversized", "The text does not fit one cell") and chosen[2][0].endswith("seen") and chosen[2][2] is None
+
+
+def test_a_large_page_makes_its_document_oversized(spark):
+    elements = spark.createDataFrame(
+        [(1, 1, k, "char", 0.0, 0.0, "x" * 10) for k in range(60)] + [(1, 2, 1, "char", 0.0, 0.0, "y"), (2, 1, 1, "char", 0.0, 0.0, "z")],
+        "doc_id bigint, page int, seq int, object_type string, x0 double, top double, text string",
+    )
+    zones = spark.createDataFrame([], "doc_id bigint, page int, x0 double, top double, x1 double, bottom double")
+    counts = spark.createDataFrame([(1, 2), (2, 1), (3, 1)], "doc_id bigint, num_pages bigint")
+    got = {r.doc_id: (r.raw_text, r.text_state) for r in layout.extracted(elements, zones, counts, pages(spark, [(3, 1, "seen")]), max_chars=300).collect()}
+    assert got == {1: (None, "oversized"), 2: ("\n--- Page 1 ---\n\nz", "whole"), 3: ("\n--- Page 1 (OCR) ---\n\nseen", "whole")}
 
 
 def test_fallback(spark):
@@ -86,8 +101,8 @@ def test_table_texts(spark):
         'source_page,table_id,a,b,c,a_1\n1,p1_t1,1,"x,y",,\n1,p1_t1,2,,,\n2,p2_t1,,"say ""hi""",3,\n3,p3_t2,p,,,r\n'
     )
     assert got[2] == "source_page,table_id,only,header\n"
-    small = {r.doc_id: r.table_text for r in tables.table_texts(spark.createDataFrame(rows, CELLS), max_chars=25).collect()}
-    assert small[1] is None and small[2] is not None
+    heads = {r.doc_id: (r.table_data, r.table_chars) for r in tables.first_table_lines(tables.table_lines(spark.createDataFrame(rows, CELLS)), 3, "more").collect()}
+    assert heads == {1: ("\n".join(got[1].split("\n")[:3]) + "\nmore", len(got[1])), 2: (got[2], len(got[2]))}
     counts = {r.doc_id: (r.num_tables, r.num_rows, r.num_columns) for r in tables.table_counts(spark.createDataFrame(rows, CELLS)).collect()}
     assert counts == {1: (3, 4, 4), 2: (1, 0, 2)}
 

@@ -46,7 +46,39 @@ def test_hot_table(spark, no_broadcast):
     )
     assert tables.table_cells(cells).count() == 20_000 - 4
     assert tables.table_rows(cells).count() == 4999
-    assert tables.table_texts(cells, max_chars=1000).first().table_text is None
+    lines = tables.numbered_lines(tables.table_lines(cells))
+    assert sorted(r.line_no for r in lines.collect()) == list(range(5000))
+    assert lines.where("line_no = 4999").first().line == "1,p1_t0".replace("t0", "t1") + ",19996,19997,19998,19999"
+    head = tables.first_table_lines(tables.table_lines(cells), 50, "more")
+    assert head.first().table_data.endswith("\nmore") and "WindowGroupLimit" in head._jdf.queryExecution().executedPlan().toString()
+
+
+def test_table_of_many_columns(spark, no_broadcast):
+    """A document of 3,000 tables, each with columns of its own."""
+    cells = spark.range(12_000).select(
+        F.lit(1).cast("bigint").alias("doc_id"), F.lit(1).alias("source_page"), F.floor(F.col("id") / 4).cast("int").alias("table_idx"),
+        F.floor(F.col("id") % 4 / 2).cast("int").alias("row_idx"), (F.col("id") % 2).cast("int").alias("col_idx"), F.concat(F.lit("c"), F.col("id")).alias("value"),
+    )
+    lines = {r.line_no: r.line for r in tables.numbered_lines(tables.table_lines(cells)).collect()}
+    assert len(lines) == 3001 and lines[0].startswith("source_page,table_id,c0,c1,c4,c5") and {x.count(",") for x in lines.values()} == {6001}
+    assert lines[3] == "1,p1_t3" + "," * 5 + "c10,c11" + "," * 5994
+
+
+def test_a_flat_folder(spark, no_broadcast):
+    """Very many sheets and documents in one folder: fifty lines, and no limit by size."""
+    sheets = spark.range(4000).select(
+        F.concat(F.lit("/in/book"), F.lpad(F.floor(F.col("id") / 4).cast("string"), 6, "0"), F.lit(".xlsx")).alias("file"), (F.col("id") % 4).cast("int").alias("sheet_idx"),
+        F.concat(F.lit("S"), F.col("id")).alias("sheet"), F.concat(F.lit("\n=== Sheet: S"), F.col("id"), F.lit(" ===\n\nrow\n\n")).alias("text"),
+    )
+    books = sheets.select(F.regexp_replace("file", "/[^/]*$", "").alias("folder"), F.col("file").alias("workbook")).distinct()
+    parts = tables.folder_parts(sheets, books)
+    heads = tables.first_sheet_lines(parts, 50, "more")
+    assert "WindowGroupLimit" in heads._jdf.queryExecution().executedPlan().toString()
+    found = heads.first()
+    whole = "".join(("\n" if k % 4 else "") + f"\n=== Sheet: S{k} ===\n\nrow\n\n" for k in range(4000))
+    assert found.xlsx_data == "\n".join(whole.split("\n")[:50]) + "\nmore" and found.xlsx_chars == len(whole.rstrip())
+    lines = {r.line_no: r.line for r in tables.folder_lines(parts).collect()}
+    assert [lines[k] for k in range(len(lines))] == whole.split("\n")[:-1]
 
 
 def test_hot_model_and_vendor(spark, no_broadcast):
