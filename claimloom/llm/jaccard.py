@@ -50,6 +50,8 @@ from claimloom.llm.graph import components
 from claimloom.session import durable
 
 SKETCH_BITS = 23
+#: Bytes of text that a Python worker splits at once.
+_SLICE_BYTES = 1 << 20
 _SKETCH_PIECES = 64
 _RANGES = 64
 #: The share of lists that the first round goes through, and the most rounds.
@@ -107,7 +109,7 @@ def count_scales(docs: DataFrame, n: int) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << SKETCH_BITS, np.uint8)
         for batch in batches:
-            for _, part in w.slices(batch.column(0)):
+            for _, part in w.slices(batch.column(0), _SLICE_BYTES):
                 counters, own = np.unique(shingle_sets(part, n)[0] >> np.uint64(64 - SKETCH_BITS), return_counts=True)
                 table[counters] = np.minimum(own + table[counters], 255)
         if table.any():
@@ -146,7 +148,7 @@ def with_sets(docs: DataFrame, like: Similarity, scales: np.ndarray) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = order.value
         for batch in batches:
-            for at, part in w.slices(batch.column(1)):
+            for at, part in w.slices(batch.column(1), _SLICE_BYTES):
                 keys, first = shingle_sets(part, like.n)
                 sizes = np.diff(first)
                 scale = table[(keys >> shift).astype(np.int64)]
@@ -286,7 +288,7 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, like: Similar
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, part in w.slices(batch.column(1)):
+            for at, part in w.slices(batch.column(1), _SLICE_BYTES):
                 keys, first = shingle_sets(part, like.n)
                 ka, kb = _set_keys(keys, first)
                 lists = pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(keys.view(np.int64)))
@@ -418,7 +420,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", like:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, part in w.slices(batch.column(place)):
+            for at, part in w.slices(batch.column(place), _SLICE_BYTES):
                 keys, first = shingle_sets(part, n)
                 own = batch.slice(at, len(part))
                 added = [pa.array(np.diff(first)), *map(pa.array, _set_keys(keys, first))]
