@@ -147,7 +147,35 @@ def test_bands_by_length(spark, sf_dir):
     assert not any(r["base_failed"] for r in report) and not [r for r in report if r["kept"]]
     docs = queries.table(spark, sf_dir, "documents")
     clean = quality_rules.rule_report(docs).where("not base_failed").join(docs.select("doc_id", "lang"), "doc_id").collect()
-    assert {r["lang"] for r in clean} >= {"en", "de", "fr", "es"} and all(r["kept"] for r in clean)
+    assert {r["lang"] for r in clean} >= {"en", "de", "fr", "es"} and sum(r["kept"] for r in clean) >= 0.99 * len(clean)
+
+
+def test_lower_bands(spark):
+    """Texts that no base rule rejects, as no three words come again, and that say next to nothing."""
+
+    def rounds(words):
+        """Every three words in a row once (a de Bruijn sequence)."""
+        found, held = [], [0] * 4 * len(words)
+
+        def go(t, p):
+            if t > 3:
+                found.extend(held[1 : p + 1] if 3 % p == 0 else [])
+                return
+            held[t] = held[t - p]
+            go(t + 1, p)
+            for j in range(held[t - p] + 1, len(words)):
+                held[t] = j
+                go(t + 1, t)
+
+        go(1, 1)
+        return [words[k] for k in found]
+
+    names = ["administration", "communication", "representation", "transformation", "characteristic", "responsibility", "infrastructure", "recommendation", "implementation", "identification"]
+    made = [" ".join(rounds(names)), "\n".join(" ".join(rounds(names[:n])) for n in (4, 6, 9))]
+    report = quality_rules.rule_report(frame(spark, [(k, x, "s") for k, x in enumerate(made)])).orderBy("doc_id").collect()
+    assert not report[0]["base_failed"] and not report[0]["kept"] and report[0]["ratio"] < 0.2
+    wide = quality_rules.Rules(bands=quality_rules.Bands(whole=((0, 0.0, 9.9),), chunk=(0.0, 9.9)))
+    assert quality_rules.rule_report(frame(spark, [(0, made[0], "s")]), rules=wide).first()["kept"]
 
 
 def edits(rng, item, k):
@@ -247,6 +275,23 @@ def test_sharding(spark, odd):
     assert sharding.place(odd.limit(0), names).count() == 0
 
 
+def test_turns_of_the_shards():
+    """Every shard's order of preference written out, and the claims one after the other."""
+    names, size = ["a", "b", "c", "d", "e"], 101
+    own = {}
+    for x in names:
+        first, step = sharding._hash(x, "first") % size, sharding._hash(x, "step") % (size - 1) + 1
+        own[x] = [(first + k * step) % size for k in range(size)]
+        assert sorted(own[x]) == list(range(size))
+    owner = {}
+    while len(owner) < size:
+        for x in names:
+            free = [slot for slot in own[x] if slot not in owner]
+            if free:
+                owner[free[0]] = x
+    assert [names[k] for k in sharding.lookup_table(names, size)] == [owner[k] for k in range(size)]
+
+
 def test_mixing(spark, odd):
     rng = random.Random(7)
     rows = [(k, " ".join(rng.choices(VOCABULARY, k=rng.randint(0, 40))), rng.choice(["a"] * 20 + ["b", None, "c", "ß"])) for k in range(3000)]
@@ -299,6 +344,33 @@ def test_classifier(spark, odd):
     assert {r["score"] for r in quality_classifier.scored(odd, labels.limit(0)).collect()} == {0.5}
 
 
+def test_classifier_update():
+    """One example after the other against a scalar statement of the regularised leader."""
+    rng = random.Random(13)
+    how = quality_classifier.Training()
+    z, n, plain = np.zeros(6), np.zeros(6), [[0.0, 0.0] for _ in range(6)]
+    for _ in range(80):
+        held = sorted(rng.sample(range(5), 3)) + [5]
+        values, label = [rng.random() * 4 for _ in held], rng.randrange(2)
+        quality_classifier.update(np.array(held), np.array(values), label, z, n, how)
+        weight = {}
+        for f in held:
+            a, b = plain[f]
+            weight[f] = 0.0 if abs(a) <= how.l1 else -(a - np.sign(a) * how.l1) / ((how.beta + b**0.5) / how.alpha + how.l2)
+        p = 1 / (1 + np.exp(-sum(weight[f] * v for f, v in zip(held, values, strict=True))))
+        for f, v in zip(held, values, strict=True):
+            g = (p - label) * v
+            plain[f][0] += g - ((plain[f][1] + g * g) ** 0.5 - plain[f][1] ** 0.5) / how.alpha * weight[f]
+            plain[f][1] += g * g
+    assert np.allclose(np.stack([z, n], axis=1), plain)
+
+
+def test_classifier_on_the_given_labels(spark, sf_dir):
+    labels = {r["doc_id"]: r["quality"] for r in queries.table(spark, sf_dir, "labels").collect()}
+    got = [r for r in queries.QUERIES["op4_quality_classifier"](spark, sf_dir).collect() if r["held_out"] and labels.get(r["doc_id"]) is not None]
+    assert len(got) > 5 and sum(r["predicted"] == labels[r["doc_id"]] for r in got) >= 0.9 * len(got)
+
+
 def test_checksums():
     assert binary.checksums([b"123456789"])[0] == 0xE3069283
     assert binary.checksums([b"\0" * 32, b"\xff" * 32]).tolist() == [0x8A9136AA, 0x62A8AB43]
