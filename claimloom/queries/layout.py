@@ -71,7 +71,7 @@ def recognised_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # Extracted texts long, short, failed and absent against recognised ones.
-_PRIMARY = """select doc_id, case doc_id % 5 when 0 then text when 1 then concat(' ', substring(text, 1, 20), ' ') when 2 then null else text end as raw_text, doc_id % 3 + 1 as num_pages from documents"""
+_PRIMARY = """select doc_id, case doc_id % 5 when 0 then text when 1 then concat(' ', source, ' ') when 2 then null else text end as raw_text, doc_id % 3 + 1 as num_pages from documents"""
 _RECOGNISED = """select doc_id, case when doc_id % 4 = 0 then null when doc_id % 4 = 1 then '' else concat('seen ', text) end as raw_text, doc_id % 3 + 2 as num_pages from documents"""
 
 
@@ -324,11 +324,11 @@ def full_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"select doc_id, {first_lines_sql('text', 5, fixed.CONTEXT_SUFFIX)} as text from documents"
+    f"select doc_id, {first_lines_sql('text', fixed.CONTEXT_LINES, fixed.CONTEXT_SUFFIX)} as text from documents"
 )
 def first_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "select doc_id, text from documents").select(
-        "doc_id", first_lines(F.col("text"), 5, fixed.CONTEXT_SUFFIX).alias("text")
+        "doc_id", first_lines(F.col("text"), fixed.CONTEXT_LINES, fixed.CONTEXT_SUFFIX).alias("text")
     )
 
 
@@ -374,7 +374,7 @@ def input_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.previews(_inputs(spark, sf_dir))
 
 
-_DEMOS = "select text as email_text from conversations where role = 'user'"
+_DEMOS = "select text as email_text from conversations"
 
 
 @query(

@@ -57,9 +57,11 @@ def partial_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.partial_codes(_models(spark, sf_dir), view(spark, sf_dir, fx.FSN_MAPPING))
 
 
-# Short, long, rare and absent needles over all texts of the benchmark and the parts.
-_NEEDLES = "select distinct lower(substring(p_name, p_partkey % 4 + 1, p_partkey % 7 + 1)) as needle from part where length(substring(p_name, p_partkey % 4 + 1, p_partkey % 7 + 1)) > 0 union select 'zzz'"
-_TEXTS = "select distinct lower(text) as text from benchmark"
+# Whole names, their words, brand numbers of two digits, and an absent needle, over all titles and texts of the benchmark.
+_NEEDLES = """select distinct lower(p_name) as needle from part union select split_part(lower(p_name), ' ', 1) from part
+  union select split_part(lower(p_name), ' ', 2) from part where p_name like '% %' union select split_part(p_brand, '#', 2) from part where p_brand like '%#%'
+  union select 'zzz'"""
+_TEXTS = "select distinct lower(text) as text from benchmark union select lower(concat(p_brand, ' ', p_name, ' ', p_type)) from part"
 
 
 @query(

@@ -6,13 +6,11 @@ the columns of documents; the last adds ``slot`` and ``shard``.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 
 from claimloom.llm import decontaminate, jaccard, mixing, quality_rules, sharding
 from claimloom.llm.queries import SHARDS, table
-from claimloom.session import _shared_folder
+from claimloom.session import new_folder, remove, scratch
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,10 +45,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each stage is written as Parquet and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each stage is written as Parquet and read again.
+
+    What a stage wrote on its way goes when it is done, and its result when the next one is.
+    """
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (_, stage) in enumerate(STAGES):
-        path = f"{_shared_folder(spark)}/stage-{k}-{uuid.uuid4().hex}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        path = new_folder(spark, f"stage-{k}")
+        with scratch(spark) as folder:
+            stage(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
+        for done in (folder, before):
+            if done is not None:
+                remove(spark, done)
+        before = path
     return docs
