@@ -1,6 +1,7 @@
 """The operators against plain statements of their results, and their edge cases."""
 
 import base64
+import hashlib
 import random
 import re
 import struct
@@ -12,6 +13,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 import zstandard
 from pyspark.sql import functions as F
 from tokenizers import AddedToken, Tokenizer
@@ -565,6 +567,120 @@ def test_pipeline(spark, odd, sf_dir):
     assert {r["doc_id"] for r in docs.collect()} <= {4, 5} and seen[0] == 3 and seen[1] == 1
 
 
+def plain_kept(text):
+    """The quality rules with the bands' limits written out."""
+    if plain_report(text)[5]:
+        return False
+
+    def ratio(part):
+        return len(zstandard.ZstdCompressor(level=3).compress(part)) / len(part)
+
+    data = text.encode()
+    whole = {200: (0.25, 0.85), 400: (0.25, 0.80), 600: (0.25, 0.77), 1_000: (0.22, 0.72), 2_000: (0.22, 0.68), 4_000: (0.20, 0.65), 32_000: (0.15, 0.62)}
+    limits = [whole[size] for size in whole if size <= len(data)]
+    parts = [data[k : k + 4096] for k in range(0, len(data) - 4095, 4096)] if len(data) > 4096 else []
+    bad = sum(not 0.15 <= ratio(x) <= 0.65 for x in parts)
+    return (not limits or limits[-1][0] <= ratio(data) <= limits[-1][1]) and 2 * bad <= len(parts)
+
+
+def plain_contaminated(text, items):
+    x = text.lower().split()
+    return any(plain_distance(y, x[s : s + len(y)]) <= len(y) * 20 // 100 for y in items for s in range(len(x)))
+
+
+def plain_mix(rows):
+    """How often each of ``(doc_id, text, source)`` is taken."""
+    sizes = Counter()
+    for _, t, s in rows:
+        sizes[s] += len(plain_words(t))
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {s: (5, 2, 1)[k % 3] for k, s in enumerate(names)}
+    target, open_ones, rest = {}, set(names), sum(sizes.values())
+    while True:
+        share = {s: weight[s] * rest / sum(weight[x] for x in open_ones) for s in open_ones}
+        above = {s for s in open_ones if share[s] > 3 * sizes[s]}
+        if not above:
+            break
+        target.update({s: 3 * sizes[s] for s in above})
+        open_ones -= above
+        rest -= sum(target[s] for s in above)
+    target.update(share)
+
+    def place(row):
+        told = ":".join(["20"] + ["-" if v is None else f"={v}" for v in row[:2]])
+        return int(hashlib.md5(told.encode()).hexdigest()[:15], 16)
+
+    copies = Counter()
+    for s in names:
+        whole = int(target[s] // sizes[s])
+        wanted, reached = target[s] - whole * sizes[s], 0
+        for row in sorted((r for r in rows if r[2] == s), key=place):
+            size = len(plain_words(row[1]))
+            copies[row] += whole + (reached + size / 2 <= wanted)
+            reached += size
+    return copies, target, sizes
+
+
+def plain_shards(shards, size):
+    def slots(x):
+        first, step = (int.from_bytes(hashlib.sha256(f"{salt}:{x}".encode()).digest()[:8], "big") for salt in ("first", "step"))
+        return ((first % size + k * (step % (size - 1) + 1)) % size for k in range(size))
+
+    owner, orders = {}, list(map(slots, shards))
+    while len(owner) < size:
+        for x, order in zip(shards, orders, strict=True):
+            free = next((slot for slot in order if slot not in owner), None)
+            if free is not None:
+                owner[free] = x
+    return owner
+
+
+def test_pipeline_by_brute_force(spark, tmp_path):
+    """The rows of a whole run from plain statements of its five stages."""
+    rng = random.Random(31)
+    items = [rng.choices(VOCABULARY, k=rng.randint(20, 40)) for _ in range(12)]
+    rows = []
+    for k in range(160):
+        text = rng.choices(VOCABULARY, k=rng.randint(60, 160))
+        source = rng.choice(["a", "a", "a", "a", "b", "\u00df", None])
+        kind = k % 8
+        if kind == 1:
+            text = text[: rng.randint(0, 49)]
+        elif kind == 2 and k > 8:
+            text = rng.choice([r for r in rows if len(r[1].split()) >= 60])[1].split()
+            for _ in range(rng.randint(0, 4)):
+                text[rng.randrange(len(text))] = rng.choice(VOCABULARY)
+        elif kind == 3:
+            item = rng.choice(items)
+            text[30:30] = edits(rng, item, rng.randint(0, len(item) // 10))
+        elif kind == 4 and k % 16 == 4:
+            text = [base64.b64encode(rng.randbytes(24)).decode() for _ in range(60)]
+        elif kind == 5 and k % 16 == 5:
+            text = text[:6] * 30
+        rows.append((k, " ".join(text), source))
+    rows += [rows[0], rows[0], (500, rows[8][1], "b"), (501, None, "a"), (502, "", None), (None, None, None)]
+    docs = [(i, t, "en", s, len(t) if t else None) for i, t, s in rows]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+
+    good = [r for r in rows if plain_kept(r[1])]
+    first = {i for i, _, component in brute_components([r[:2] for r in good], 5, 80) if i == component}
+    single = sorted({r for r in good if r[0] in first}, key=lambda r: r[0])
+    clean = [r for r in single if not plain_contaminated(r[1], items)]
+    copies, target, sizes = plain_mix(clean)
+    assert len(rows) > len(good) + 30 and len(good) > len(single) + 10 and len(single) > len(clean) + 10
+    assert any(target[s] == 3 * sizes[s] for s in sizes) and any(copies[r] == 0 for r in clean)
+    owner = plain_shards(queries.SHARDS, 65_537)
+    expected = Counter()
+    for (i, t, s), many in copies.items():
+        seed = xxhash.xxh64(struct.pack("<i", 1), 42).intdigest()
+        hashed = struct.unpack("<q", struct.pack("<Q", xxhash.xxh64(struct.pack("<q", i), seed).intdigest()))[0]
+        expected[i, t, "en", s, len(t), hashed % 65_537, owner[hashed % 65_537]] += many
+    found = corpus_pipeline.run(spark, str(tmp_path))
+    got = Counter(map(tuple, found.select("doc_id", "text", "lang", "source", "n_chars", "slot", "shard").collect()))
+    assert got == +expected
+
+
 @pytest.mark.parametrize("one_task", [0, 1 << 22])
 def test_components(spark, one_task):
     rng = random.Random(21)
