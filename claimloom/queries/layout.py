@@ -158,12 +158,12 @@ TABLE_TEXT = [
 
 @query(ctes(*TABLE_CTES, body="select doc_id, source_page, table_idx, col_idx, name from headers"))
 def header_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.header_names(view(spark, sf_dir, fx.CELLS))
+    return tables.header_names(fx.cells(spark, sf_dir))
 
 
 @query(ctes(*TABLE_CTES, body="select doc_id, source_page, table_idx, table_id, row_idx, col_idx, name, value from body_cells"))
 def table_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.table_cells(view(spark, sf_dir, fx.CELLS))
+    return tables.table_cells(fx.cells(spark, sf_dir))
 
 
 @query(
@@ -178,7 +178,7 @@ def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = F.transform(
         F.map_entries("cells"), lambda e: F.concat(e["key"], F.lit("="), F.coalesce(e["value"], F.lit("")))
     )
-    return tables.table_rows(view(spark, sf_dir, fx.CELLS)).withColumn("cells", F.array_join(F.sort_array(pairs), ";"))
+    return tables.table_rows(fx.cells(spark, sf_dir)).withColumn("cells", F.array_join(F.sort_array(pairs), ";"))
 
 
 @query(
@@ -191,7 +191,7 @@ def table_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 )
 def table_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.table_counts(view(spark, sf_dir, fx.CELLS))
+    return tables.table_counts(fx.cells(spark, sf_dir))
 
 
 @query(
@@ -207,7 +207,7 @@ def consolidated_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     from claimloom.sources.sinks import consolidated_csv as consolidate
 
     documents = view(spark, sf_dir, "select o_orderkey as doc_id from orders")
-    return consolidate(view(spark, sf_dir, fx.CELLS), documents)
+    return consolidate(fx.cells(spark, sf_dir), documents)
 
 
 # Every order's lines as tables of their own names, so that a document has many columns.
@@ -217,6 +217,16 @@ _OWN_NAMES = f"""select doc_id, source_page, cast(table_idx * 100 + row_idx as i
 _LINES = [(name, text if name != "cells" else _OWN_NAMES) for name, text in TABLE_TEXT]
 
 
+def _own_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of ``_OWN_NAMES``: each cell gives its name and its value."""
+    name = F.expr("concat(value, cast(row_idx as varchar(9)), case when col_idx = 1 and row_idx % 2 = 0 then ',\"x\"' else '' end)")
+    table = (F.col("table_idx") * 100 + F.col("row_idx")).cast("int").alias("table_idx")
+    both = F.posexplode(F.array(name, "value")).alias("row_idx", "value")
+    return fx.cells(spark, sf_dir).select("doc_id", "source_page", table, "col_idx", both).select(
+        "doc_id", "source_page", "table_idx", "row_idx", "col_idx", "value"
+    )
+
+
 @query(
     ctes(
         *_LINES,
@@ -229,7 +239,7 @@ def consolidated_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from claimloom.sources import sinks
 
     documents = view(spark, sf_dir, "select o_orderkey as doc_id from orders")
-    return sinks.consolidated_lines(tables.table_lines(view(spark, sf_dir, _OWN_NAMES)), documents)
+    return sinks.consolidated_lines(tables.table_lines(_own_names(spark, sf_dir)), documents)
 
 
 # Another extractor that found a table in every order, also in those without lines.
@@ -245,7 +255,7 @@ _SECOND_SOURCE = """select o_orderkey as doc_id, 1 as source_page, 0 as table_id
     )
 )
 def table_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return tables.with_table_fallback(view(spark, sf_dir, fx.CELLS), view(spark, sf_dir, _SECOND_SOURCE))
+    return tables.with_table_fallback(fx.cells(spark, sf_dir), view(spark, sf_dir, _SECOND_SOURCE))
 
 
 # --- sheets and context ---------------------------------------------------------------
@@ -282,7 +292,7 @@ def first_lines_sql(x: str, limit: int, suffix: str) -> str:
 def _materials(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mail text, tables and sheets of each document."""
     mails = view(spark, sf_dir, fx.MAILS).withColumn("file", F.concat(F.lit("book"), (F.col("doc_id") % 60).cast("string")))
-    csv = tables.table_texts(view(spark, sf_dir, fx.CELLS))
+    csv = tables.table_texts(fx.cells(spark, sf_dir))
     books = tables.workbook_texts(tables.sheet_texts(view(spark, sf_dir, fx.SHEET_ROWS))).withColumnRenamed("text", "xlsx_text")
     return mails.join(csv, "doc_id", "left").join(books, "file", "left")
 

@@ -1,0 +1,40 @@
+"""Cells and lines of tables: one window, one move of the rows."""
+
+from pyspark.sql import functions as F
+
+from claimloom.functions import numbering
+from claimloom.queries import fixtures as fx
+from claimloom.queries import layout as layout_queries
+
+
+def test_cells_from_one_window(spark, sf_dir):
+    """Both columns of the cells come from one numbering, with the rows of the SQL."""
+    got, wanted = fx.cells(spark, sf_dir), fx.view(spark, sf_dir, fx.CELLS)
+    assert got.dtypes == wanted.dtypes
+    assert got.exceptAll(wanted).isEmpty() and wanted.exceptAll(got).isEmpty()
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Window ") == 1
+    got, wanted = layout_queries._own_names(spark, sf_dir), fx.view(spark, sf_dir, layout_queries._OWN_NAMES)
+    assert got.dtypes == wanted.dtypes
+    assert got.exceptAll(wanted).isEmpty() and wanted.exceptAll(got).isEmpty()
+
+
+def test_numbers_over_ranges(spark, monkeypatch):
+    """Groups over several ranges and batches, null groups among them, are numbered without a shuffle of the rows."""
+    rows = spark.range(3000).select(
+        F.when(F.col("id") % 3 == 0, "big").when(F.col("id") % 50 == 1, None).otherwise(F.concat(F.lit("g"), F.col("id") % 7)).alias("g"), F.col("id").alias("k")
+    )
+    plans = []
+    durable = numbering.durable
+    monkeypatch.setattr(numbering, "durable", lambda df: plans.append(durable(df)) or plans[-1])
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "17")
+    try:
+        got = numbering.numbered(rows, ["g"], ["k"], "n").collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    groups = {}
+    for r in sorted(rows.collect(), key=lambda r: r.k):
+        groups.setdefault(r.g, []).append(r.k)
+    assert sorted((str(r.g), r.n, r.k) for r in got) == sorted((str(g), n, k) for g, ks in groups.items() for n, k in enumerate(ks))
+    assert plans[0].select("_range").distinct().count() > 1 and "_opens" in plans[0].columns
