@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from claimloom.functions import numbering
+from claimloom.operators import tables
 from claimloom.queries import fixtures as fx
 from claimloom.queries import layout as layout_queries
 
@@ -38,3 +39,19 @@ def test_numbers_over_ranges(spark, monkeypatch):
         groups.setdefault(r.g, []).append(r.k)
     assert sorted((str(r.g), r.n, r.k) for r in got) == sorted((str(g), n, k) for g, ks in groups.items() for n, k in enumerate(ks))
     assert plans[0].select("_range").distinct().count() > 1 and "_opens" in plans[0].columns
+
+
+def test_workbooks_rank_their_rows_once(spark):
+    """Sizes and texts of workbooks come from the same sheets, ranked once."""
+    rows = [(f"b{i % 3}", i % 2, f"S{i % 2}", i, f"r{i}") for i in range(300)]
+    ranked = spark.sparkContext.accumulator(0)
+
+    def told(batches):
+        for batch in batches:
+            ranked.add(batch.num_rows)
+            yield batch
+
+    kinds = "file string, sheet_idx int, sheet string, row_idx int, row_text string"
+    books = tables.workbook_texts(tables.sheet_texts(spark.createDataFrame(rows, kinds).mapInArrow(told, kinds))).collect()
+    assert ranked.value == 300
+    assert {r.file: (r.text.count("=== Sheet: "), r.text.count("[NOTE: ")) for r in books} == {"b0": (2, 0), "b1": (2, 0), "b2": (2, 0)}
