@@ -22,7 +22,8 @@ is one n-gram of all its words).  Texts with equal sets form a class.  Two class
    component are never formed, and no link between components is lost.
 5. *Check.*  A pair must pass the length and positional filters, the suffix filter (counts
    of n-grams by 64 ranges of the key bound the symmetric difference from below), and the
-   exact count of common n-grams.  Each pair is checked once.
+   exact count of common n-grams.  Each pair is checked once, and only classes and documents of
+   pairs are moved for it.
 
 Components use ``graph.components`` over class numbers.
 
@@ -53,12 +54,16 @@ SKETCH_BITS = 23
 #: Bytes of text that a Python worker splits at once.
 _SLICE_BYTES = 1 << 20
 _SKETCH_PIECES = 64
+#: Groups of tasks whose counters are summed first.
+_SKETCH_GROUPS = 8
 _RANGES = 64
+#: What a posting holds of an n-gram's key.  Two n-grams that share it cost time and no link, and zeros shuffle for less.
+_TOKEN = np.uint64(0xFFFFFFFFFF000000)
 #: The share of lists that the first round goes through, and the most rounds.
 _FIRST_SHARE = 8
 _ROUNDS = 4
-#: The least and most bits of the table that finds the documents of a check.
-_ID_BITS = (10, 28)
+#: The least and most bits of the table that finds the classes and documents of a check.
+_KEY_BITS = (10, 28)
 
 
 @dataclass(frozen=True)
@@ -101,8 +106,8 @@ def count_scales(docs: DataFrame, n: int) -> np.ndarray:
     """For each of 2^SKETCH_BITS key ranges, the scale of its number of n-grams, as bytes.
 
     Every task adds into one table, up to 255 each, and passes it on in pieces; pieces are summed
-    in two steps, so that no group holds more than a share of the tasks.  The result has a
-    fixed size, and only its order matters.
+    in two steps, so that no group holds more than a share of the tasks, up to 65,535 in the first.
+    The result has a fixed size, and only its order matters.
     """
     width = (1 << SKETCH_BITS) // _SKETCH_PIECES
 
@@ -113,7 +118,7 @@ def count_scales(docs: DataFrame, n: int) -> np.ndarray:
                 counters, own = np.unique(shingle_sets(part, n)[0] >> np.uint64(64 - SKETCH_BITS), return_counts=True)
                 table[counters] = np.minimum(own + table[counters], 255)
         if table.any():
-            group = TaskContext.get().partitionId() % 64
+            group = TaskContext.get().partitionId() % _SKETCH_GROUPS
             for k in range(_SKETCH_PIECES):
                 piece = table[k * width : (k + 1) * width].tobytes()
                 yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([group], pa.int32()), pa.array([piece], pa.binary())], ["piece", "part", "counts"])
@@ -125,11 +130,11 @@ def count_scales(docs: DataFrame, n: int) -> np.ndarray:
         return total
 
     def add(table: pa.Table) -> pa.Table:
-        total = total_of(table, np.uint8)
+        total = np.minimum(total_of(table, np.uint8), 65535).astype(np.uint16)
         return pa.table({"piece": table["piece"][:1], "part": table["part"][:1], "counts": pa.array([total.tobytes()], pa.binary())})
 
     def scale(table: pa.Table) -> pa.Table:
-        total = total_of(table, np.uint32)
+        total = total_of(table, np.uint16)
         scales = np.floor(2 * np.log2(total + 1.0)).astype(np.uint8)
         return pa.table({"piece": table["piece"][:1], "scales": pa.array([scales.tobytes()], pa.binary())})
 
@@ -155,7 +160,7 @@ def with_sets(docs: DataFrame, like: Similarity, scales: np.ndarray) -> DataFram
                 prefixes = []
                 for a, b in zip(first[:-1], first[1:], strict=True):
                     rare = np.argsort(scale[a:b], kind="stable")[: prefix_length(int(b - a), like.percent) if b > a else 0]
-                    prefixes.append(keys[a:b][rare])
+                    prefixes.append(keys[a:b][rare] & _TOKEN)
                 row = np.repeat(np.arange(len(sizes)), sizes)
                 ranges = np.bincount(row * _RANGES + (keys & np.uint64(_RANGES - 1)).astype(np.int64), minlength=len(sizes) * _RANGES)
                 ka, kb = _set_keys(keys, first)
@@ -165,13 +170,13 @@ def with_sets(docs: DataFrame, like: Similarity, scales: np.ndarray) -> DataFram
                     [
                         batch.column(0).slice(at, len(part)), pa.array(sizes), pa.array(ka), pa.array(kb),
                         pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)),
-                        pa.ListArray.from_arrays(pa.array(np.arange(0, len(ranges) + 1, _RANGES, dtype=np.int32)), pa.array(ranges.astype(np.int32))),
+                        pa.ListArray.from_arrays(pa.array(np.arange(0, len(ranges) + 1, _RANGES, dtype=np.int32)), pa.array(np.minimum(ranges, 127).astype(np.int8))),
                     ],
                     ["doc_id", "n_shingles", "ka", "kb", "prefix", "ranges"],
                 )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    written = durable(docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, ka long, kb long, prefix array<long>, ranges array<int>"))
+    written = durable(docs.mapInArrow(run, f"doc_id {kind}, n_shingles long, ka long, kb long, prefix array<long>, ranges array<tinyint>"))
     order.destroy()
     return written
 
@@ -249,28 +254,31 @@ def _possible(percent: int, size: Column, place: Column, size_2: Column, place_2
 
 
 def _suffix_possible(percent: int) -> Column:
-    """Suffix filter: the symmetric difference is at least the sum over ranges of the differences."""
-    apart = F.aggregate(F.zip_with("ranges_a", "ranges_b", lambda x, y: F.abs(x - y)), F.lit(0), lambda t, x: t + x)
+    """Suffix filter: the symmetric difference is at least the sum over ranges of the differences.
+
+    Counts stop at 127, which brings two of them nearer and never apart.
+    """
+    apart = F.aggregate(F.zip_with("ranges_a", "ranges_b", lambda x, y: F.abs(x.cast("int") - y.cast("int"))), F.lit(0), lambda t, x: t + x)
     need = F.ceil((F.col("size_a") + F.col("size_b")) * percent / (100 + percent) - 1e-9)
     return apart <= F.col("size_a") + F.col("size_b") - 2 * need
 
 
-def _only_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """The documents whose id's hash is among those of ``ids``, by a bit table.
+def _only(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
+    """The rows whose key's hash is among those of ``wanted``, by a bit table.
 
-    The table has eight bits for an id, and at most 2^28 in 2^22 rows (64 MB), so it can be broadcast
+    The table has eight bits for a key, and at most 2^28 in 2^22 rows (64 MB), so it can be broadcast
     at any input size.  It may let others through; it never holds one back.
     """
-    bits = min(max((8 * ids.count()).bit_length(), _ID_BITS[0]), _ID_BITS[1])
-    spot = F.xxhash64("doc_id").bitwiseAND((1 << bits) - 1)
+    bits = min(max((8 * wanted.count()).bit_length(), _KEY_BITS[0]), _KEY_BITS[1])
+    spot = F.xxhash64(key).bitwiseAND((1 << bits) - 1)
     bits = (
-        ids.select(spot.alias("spot"))
+        wanted.select(spot.alias("spot"))
         .groupBy(F.shiftright("spot", 6).alias("cell"))
         .agg(F.bit_or(F.expr("shiftleft(1L, cast(spot & 63 as int))")).alias("bits"))
     )
-    marked = docs.withColumn("spot", spot).withColumn("cell", F.shiftright("spot", 6))
+    marked = rows.withColumn("spot", spot).withColumn("cell", F.shiftright("spot", 6))
     hit = F.expr("(bits & shiftleft(1L, cast(spot & 63 as int))) != 0")
-    return marked.join(F.broadcast(bits), "cell").where(hit).select("doc_id", "text")
+    return marked.join(F.broadcast(bits), "cell").where(hit).select(*rows.columns)
 
 
 def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, like: Similarity) -> tuple[DataFrame, DataFrame | None]:
@@ -278,7 +286,10 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, like: Similar
 
     Without any pair that passes, the second is None.
     """
+    # Only classes that stand in a pair are shuffled; most stand in none.
+    pairs = durable(pairs)
     known = classes.select("class", "size", "ranges", "doc_id", "ka", "kb")
+    known = _only(known, "class", pairs.select(F.explode(F.array("a", "b")).alias("class")))
     side = lambda x: known.select(F.col("class").alias(x), F.col("size").alias(f"size_{x}"), F.col("ranges").alias(f"ranges_{x}"))
     pairs = durable(pairs.join(side("a"), "a").join(side("b"), "b").where(_suffix_possible(like.percent)).select("a", "b", "size_a", "size_b"))
     if pairs.isEmpty():
@@ -295,7 +306,7 @@ def _linked(pairs: DataFrame, classes: DataFrame, docs: DataFrame, like: Similar
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(part)), pa.array(ka), pa.array(kb), lists], ["doc_id", "ka", "kb", "grams"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    made = _only_ids(docs, needed).mapInArrow(sets, f"doc_id {kind}, ka long, kb long, grams array<long>")
+    made = _only(docs, "doc_id", needed).mapInArrow(sets, f"doc_id {kind}, ka long, kb long, grams array<long>")
     same = made["ka"].eqNullSafe(needed["ka"]) & made["kb"].eqNullSafe(needed["kb"]) & made["doc_id"].eqNullSafe(needed["doc_id"])
     # One shuffle by class serves both sides of the pairs.
     made = made.join(needed, same).select("class", "grams").dropDuplicates(["class"])
@@ -323,11 +334,11 @@ def _in_order(postings: DataFrame, seed: int) -> DataFrame:
 
 def _mixed(shared: DataFrame, found: DataFrame, percent: int) -> DataFrame:
     """The postings of lists that hold several components, with their component."""
-    listed = shared.join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
+    listed = shared.select("token", "class", "size", "place").join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
     # Only a smaller set's first n-grams can be the first in common, so a list needs one such posting.
     early = (F.col("size") - F.col("place")) * (100 + percent) >= F.col("size") * 2 * percent
     mixed = listed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(early).alias("early")).where("low < high and early")
-    return durable(listed.join(mixed.select("token"), "token"))
+    return durable(listed.join(mixed.select("token"), "token", "left_semi"))
 
 
 def _across(listed: DataFrame, percent: int) -> DataFrame:
@@ -368,7 +379,8 @@ def _components(postings: DataFrame, classes: DataFrame, docs: DataFrame, like:
         if more is not None:
             links = links.union(more)
             found = durable(_named(links))
-        listed = _mixed(shared, found, like.percent)
+        # Components only grow: a list that held one before holds one now.
+        listed = _mixed(shared if k == 1 else listed, found, like.percent)
     rest = _ordered_pairs(_across(listed, like.percent)).join(tried, ["a", "b"], "left_anti")
     _, more = _linked(rest, classes, docs, like)
     return found if more is None else durable(_named(links.union(more)))

@@ -717,3 +717,26 @@ def test_jaccard_of_a_large_group(spark):
     expected = brute_components(rows, 4, 85)
     assert got == expected
     assert 20 < len({c for i, _, c in expected if i < 1000}) < 240
+
+
+def test_jaccard_moves_only_classes_in_pairs(spark, monkeypatch):
+    """The rows of classes that stand in no pair, and all but a list's first five key bytes, are not shuffled."""
+    rng = random.Random(3)
+    rows = [(k, " ".join(f"w{k}x{j}" for j in range(30))) for k in range(300)]
+    rows += [(1000 + k, " ".join([f"own{rng.random()}", *(f"b{j}" for j in range(80))])) for k in range(4)]
+    moved = []
+    only = jaccard._only
+
+    def seen(rows, key, wanted):
+        kept = only(rows, key, wanted)
+        moved.append((key, rows.count(), kept.count(), wanted.distinct().count()))
+        return kept
+
+    monkeypatch.setattr(jaccard, "_only", seen)
+    docs = frame(spark, [(i, t, "s") for i, t in rows])
+    got = {tuple(r) for r in jaccard.near_duplicates(docs, like=jaccard.Similarity(4, 85)).collect()}
+    assert got == brute_components(rows, 4, 85)
+    classes = [x for x in moved if x[0] == "class"]
+    assert classes and all(everyone == 304 and wanted <= kept < 60 for _, everyone, kept, wanted in classes)
+    sets = jaccard.with_sets(docs.select("doc_id", "text"), jaccard.Similarity(4, 85), np.zeros(1 << jaccard.SKETCH_BITS, np.uint8))
+    assert sets.select(F.explode("prefix").alias("t")).where("t & 16777215 != 0").isEmpty()
