@@ -11,15 +11,17 @@ is one n-gram of all its words).  Texts with equal sets form a class.  Two class
 2. *Prefixes.*  Two sets that link share an n-gram among the first
    ``size - ceil(size * percent / 100) + 1`` of each.  One row per class and prefix n-gram
    is sorted by range over (n-gram, size, hash), so a very common n-gram spreads over tasks.
-3. *Neighbours.*  In an eighth of the n-grams' lists, and then, while that still links anything,
-   in all lists that hold several components, every class is compared with the one before it and
+   The task that holds a list of at most ``_SHORT`` classes whole gives all its pairs at once, so the
+   many lists of texts that share an n-gram by chance are not read again by what follows.
+3. *Neighbours.*  In an eighth of the longer lists, and then, while that still links anything,
+   in all of them that hold several components, every class is compared with the one before it and
    with the list's hub, the class that has the n-gram nearest to its front.  A hub has the
    fewest n-grams of its own, so it is the middle of a group of near copies: such groups are
    joined by a number of pairs that grows with the rows and not with the square of a group.
-4. *The rest.*  What step 3 left in different components is joined in full: in lists that still
-   hold two components, first (component, size) with (component, size), where the positional
-   filter holds for the best member of each, then the members that pass it.  Pairs inside one
-   component are never formed, and no link between components is lost.
+4. *The rest.*  What step 3 left in different components is joined in full: the pairs of the short
+   lists, and in longer ones that still hold two components, first (component, size) with (component,
+   size), where the positional filter holds for the best member of each, then the members that pass it.
+   Pairs inside one component are not checked, and no link between components is lost.
 5. *Check.*  A pair must pass the length and positional filters, the suffix filter (counts
    of n-grams by 64 ranges of the key bound the symmetric difference from below), and the
    exact count of common n-grams.  Each pair is checked once, and only classes and documents of
@@ -52,13 +54,15 @@ from claimloom.session import durable
 
 SKETCH_BITS = 23
 #: Bytes of text that a Python worker splits at once.
-_SLICE_BYTES = 1 << 20
+_SLICE_BYTES = 1 << 19
 _SKETCH_PIECES = 64
 #: Groups of tasks whose counters are summed first.
 _SKETCH_GROUPS = 8
 _RANGES = 64
 #: What a posting holds of an n-gram's key.  Two n-grams that share it cost time and no link, and zeros shuffle for less.
 _TOKEN = np.uint64(0xFFFFFFFFFF000000)
+#: Lists of so many classes at most are compared in full where they are sorted: 3.5 pairs a posting.
+_SHORT = 8
 #: The share of lists that the first round goes through, and the most rounds.
 _FIRST_SHARE = 8
 _ROUNDS = 4
@@ -184,32 +188,57 @@ def with_sets(docs: DataFrame, like: Similarity, scales: np.ndarray) -> DataFram
 _POSTING = ["token", "class", "size", "place", "component"]
 
 
-def _in_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted postings, those that share their n-gram with the one before or behind.
+def _in_lists(percent: int):
+    """Of sorted postings, the long lists, and of short ones the pairs that pass the length and positional filters.
 
-    The first and the last row of a partition stay too, as the list may go on elsewhere.
+    A pair is a row with its second class in ``other``.  A partition's first and last list may go on
+    elsewhere, so they count as long; a list of one class goes.
     """
-    held, shown, first = None, 0, True  # the last two rows, how many of them were shown, whether none was yet
-
-    def show(rows: pa.Table, begin: int, end: int, keep_first: bool, keep_last: bool) -> list[pa.RecordBatch]:
-        token = rows["token"].to_numpy()
-        same = np.concatenate(([False], token[1:] == token[:-1], [False]))
-        at = np.arange(begin, end)
-        at = at[same[at] | same[at + 1] | (keep_first & (at == 0)) | (keep_last & (at == len(token) - 1))]
-        return rows.take(pa.array(at)).to_batches()
-
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        new = pa.Table.from_batches([batch])
-        rows = new if held is None else pa.concat_tables([held, new])
-        n = rows.num_rows
-        if n - 1 > shown:
-            yield from show(rows, shown, n - 1, first, False)
-            first = False
-        held, shown = rows.slice(max(0, n - 2)), min(n, 2) - 1
-    if held is not None:
-        yield from show(held, shown, held.num_rows, first, True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [np.zeros(0, np.int64)] * 4  # the last list while it is short
+        loose = None  # the n-gram whose postings are shown as they come
+
+        def given(columns: list[np.ndarray], other: pa.Array) -> pa.RecordBatch:
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
+            return pa.RecordBatch.from_arrays([*map(pa.array, columns, kinds), other], [*_POSTING[:4], "other"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            columns = [np.concatenate((h, batch.column(n).to_numpy())) for h, n in zip(held, _POSTING[:4], strict=True)]
+            token, name, size, place = columns
+            loose = token[0] if loose is None else loose
+            opens = np.concatenate(([True], token[1:] != token[:-1]))
+            of = np.cumsum(opens) - 1
+            long = (np.bincount(of)[of] > _SHORT) | (token == loose)
+            last = of == of[-1]
+            if long.any():
+                yield given([c[long] for c in columns], pa.nulls(int(long.sum()), pa.int64()))
+            i, j = [], []
+            for gap in range(1, min(_SHORT, len(token))):
+                at = np.flatnonzero((of[gap:] == of[:-gap]) & ~(long | last)[:-gap])
+                i.append(at)
+                j.append(at + gap)
+            if i:
+                i, j = np.concatenate(i), np.concatenate(j)
+                good = _may_link(percent, size[i], place[i], size[j], place[j])
+                pairs = np.unique(np.stack((np.minimum(name[i], name[j])[good], np.maximum(name[i], name[j])[good])), axis=1)
+                zeros = np.zeros(pairs.shape[1], np.int64)
+                yield given([zeros, pairs[0], zeros, zeros], pa.array(pairs[1]))
+            loose = token[-1] if long[-1] else loose
+            held = [c[last & ~long] for c in columns]
+        if len(held[0]):
+            yield given(held, pa.nulls(len(held[0]), pa.int64()))
+
+    return run
+
+
+def _may_link(percent: int, size: np.ndarray, place: np.ndarray, size_2: np.ndarray, place_2: np.ndarray) -> np.ndarray:
+    """What ``_possible`` says, of arrays."""
+    need = np.ceil((size + size_2) * percent / (100 + percent) - 1e-9)
+    left = np.minimum(size - place, size_2 - place_2)
+    return (np.minimum(size, size_2) * 100 >= np.maximum(size, size_2) * percent) & (left >= need)
 
 
 def _met(percent: int):
@@ -235,10 +264,7 @@ def _met(percent: int):
             rows = np.arange(len(token))
             i = np.concatenate((rows[~opens], rows))
             j = np.concatenate((rows[~opens] - 1, hub[of]))
-            small, large = np.minimum(size[i], size[j]), np.maximum(size[i], size[j])
-            need = np.ceil((size[i] + size[j]) * percent / (100 + percent) - 1e-9)
-            left = np.minimum(size[i] - place[i], size[j] - place[j])
-            good = (component[i] != component[j]) & (small * 100 >= large * percent) & (left >= need)
+            good = (component[i] != component[j]) & _may_link(percent, size[i], place[i], size[j], place[j])
             pairs = np.unique(np.stack((np.minimum(name[i], name[j])[good], np.maximum(name[i], name[j])[good])), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
             carried = [c[np.unique([hub[-1], len(token) - 1])] for c in columns]
@@ -363,10 +389,19 @@ def _across(listed: DataFrame, percent: int) -> DataFrame:
     return met.where(_possible(percent, F.col("size"), F.col("place"), F.col("size_2"), F.col("place_2")))
 
 
+def _apart(pairs: DataFrame, found: DataFrame) -> DataFrame:
+    """The pairs whose classes are not in one component."""
+    side = lambda x: found.select(F.col("class").alias(x), F.col("component").alias(f"component_{x}"))
+    named = pairs.join(side("a"), "a", "left").join(side("b"), "b", "left")
+    return named.where("component_a is null or component_b is null or component_a != component_b").select("a", "b")
+
+
 def _components(postings: DataFrame, classes: DataFrame, docs: DataFrame, like: Similarity) -> DataFrame:
     """``(class, component)`` of the classes that link with another."""
-    kinds = "token long, class long, size int, place int"
-    shared = durable(_in_order(postings, 0).mapInArrow(_in_lists, kinds))
+    kinds = "token long, class long, size int, place int, other long"
+    lists = durable(_in_order(postings, 0).mapInArrow(_in_lists(like.percent), kinds))
+    shared = lists.where("other is null").drop("other")
+    short = lists.where("other is not null").select(F.col("class").alias("a"), F.col("other").alias("b")).distinct()
     nothing = docs.sparkSession.createDataFrame([], "a long, b long")
     tried, links, found = nothing, nothing, _named(nothing)
     listed = shared.where(F.pmod(F.xxhash64("token"), F.lit(_FIRST_SHARE)) == 0).withColumn("component", F.col("class"))
@@ -381,8 +416,8 @@ def _components(postings: DataFrame, classes: DataFrame, docs: DataFrame, like:
             found = durable(_named(links))
         # Components only grow: a list that held one before holds one now.
         listed = _mixed(shared if k == 1 else listed, found, like.percent)
-    rest = _ordered_pairs(_across(listed, like.percent)).join(tried, ["a", "b"], "left_anti")
-    _, more = _linked(rest, classes, docs, like)
+    rest = _ordered_pairs(_across(listed, like.percent)).union(_apart(short, found)).distinct()
+    _, more = _linked(rest.join(tried, ["a", "b"], "left_anti"), classes, docs, like)
     return found if more is None else durable(_named(links.union(more)))
 
 

@@ -1,7 +1,8 @@
 """The corpus pipeline: reject, deduplicate, decontaminate, mix and shard documents.
 
 Each stage takes ``(spark, docs, sf_dir)``, works on all that the stage before kept and returns
-the columns of documents; the last adds ``slot`` and ``shard``.
+the columns of documents; the last adds ``slot`` and ``shard``.  Stages that hand whole texts to Python
+set the session's batches to ``session.BATCH_ROWS`` rows, and leave them so, as they are lazy.
 """
 
 from __future__ import annotations
@@ -10,21 +11,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 from claimloom.llm import decontaminate, jaccard, mixing, quality_rules, sharding
 from claimloom.llm.queries import SHARDS, table
-from claimloom.session import new_folder, remove, scratch
+from claimloom.session import new_folder, remove, scratch, small_batches
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality rules keep."""
+    small_batches(spark)
     return quality_rules.keep(docs)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: five-word shingles, similarity 0.8."""
+    small_batches(spark)
     return jaccard.keep_one(docs)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item."""
+    small_batches(spark)
     return decontaminate.clean(docs, table(spark, sf_dir, "benchmark"))
 
 

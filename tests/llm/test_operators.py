@@ -740,3 +740,53 @@ def test_jaccard_moves_only_classes_in_pairs(spark, monkeypatch):
     assert classes and all(everyone == 304 and wanted <= kept < 60 for _, everyone, kept, wanted in classes)
     sets = jaccard.with_sets(docs.select("doc_id", "text"), jaccard.Similarity(4, 85), np.zeros(1 << jaccard.SKETCH_BITS, np.uint8))
     assert sets.select(F.explode("prefix").alias("t")).where("t & 16777215 != 0").isEmpty()
+
+
+def test_jaccard_reads_short_lists_once(spark, monkeypatch):
+    """Lists of few texts that share a line by chance are settled where they are sorted, and no link is lost."""
+    rng = random.Random(5)
+    rows = []
+    for k in range(150):
+        line = [f"l{k}x{j}" for j in range(12)]
+        rows += [(10 * k + i, " ".join(line + [f"own{rng.random()}" for _ in range(60)])) for i in range(rng.choice((2, 3, jaccard._SHORT)))]
+    for k in range(40):
+        text = [f"t{k}x{j}" for j in range(100)]
+        rows += [(5000 + 10 * k + i, " ".join([*text[:i], f"own{rng.random()}", *text[i:]])) for i in range(3)]
+    again, mixed = [], jaccard._mixed
+
+    def seen(*args):
+        listed = mixed(*args)
+        again.append(listed.groupBy("token").count().count())
+        return listed
+
+    monkeypatch.setattr(jaccard, "_mixed", seen)
+    got = {tuple(r) for r in jaccard.near_duplicates(frame(spark, [(i, t, "s") for i, t in rows]), like=jaccard.Similarity(4, 85)).collect()}
+    assert got == brute_components(rows, 4, 85)
+    assert again and max(again) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # only the first and last list of a task
+
+
+@pytest.mark.parametrize("step", [1, 2, 7, 1000])
+def test_jaccard_lists(step):
+    """Long lists and a task's first and last one stay; short ones become all their pairs, however batches cut them."""
+    lengths = [3, 1, 2, jaccard._SHORT, 1, jaccard._SHORT + 1, 2, 40, 1, 5, 2]
+    token = np.repeat(np.arange(100, 100 + len(lengths)), lengths)
+    columns = [token, np.arange(len(token)), np.full(len(token), 100, np.int32), np.zeros(len(token), np.int32)]
+    whole = pa.RecordBatch.from_arrays([pa.array(c) for c in columns], jaccard._POSTING[:4])
+    batches = [whole.slice(at, step) for at in range(0, len(token), step)]
+    got = pa.Table.from_batches(jaccard._in_lists(85)(iter(batches))).to_pylist()
+    stay = [t for t, n in zip(range(100, 100 + len(lengths)), lengths, strict=True) if n > jaccard._SHORT or t in (100, 99 + len(lengths))]
+    assert Counter(r["token"] for r in got if r["other"] is None) == Counter(int(t) for t in token if t in stay)
+    pairs = {(int(a), int(b)) for t in set(token) - set(stay) for a in columns[1][token == t] for b in columns[1][token == t] if a < b}
+    assert sorted((r["class"], r["other"]) for r in got if r["other"] is not None) == sorted(pairs)
+
+
+def test_pipeline_hands_texts_over_in_small_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    try:
+        for rows, after in (("10000", "2000"), ("0", "2000"), ("500", "500")):
+            spark.conf.set(key, rows)
+            corpus_pipeline.rules(spark, frame(spark, [(1, "a b", "s")]), "")
+            assert spark.conf.get(key) == after
+    finally:
+        spark.conf.set(key, before)
