@@ -186,6 +186,7 @@ def with_sets(docs: DataFrame, like: Similarity, scales: np.ndarray) -> DataFram
 
 
 _POSTING = ["token", "class", "size", "place", "component"]
+_HUB = [f"hub_{c}" for c in _POSTING[1:]]
 
 
 def _in_lists(percent: int):
@@ -241,33 +242,32 @@ def _may_link(percent: int, size: np.ndarray, place: np.ndarray, size_2: np.ndar
     return (np.minimum(size, size_2) * 100 >= np.maximum(size, size_2) * percent) & (left >= need)
 
 
+def _hub() -> list[Column]:
+    """Of a whole list, the class that has the n-gram nearest to its front; all columns come from one posting."""
+    return [F.min_by(c, "place").alias(h) for c, h in zip(_POSTING[1:], _HUB, strict=True)]
+
+
 def _met(percent: int):
     """Of sorted postings, the pairs of classes ``(a, b)`` to compare: with the one before, and with the list's hub.
 
-    A list that several batches hold takes its hub along; one that several tasks hold has a hub in each.
+    The hub comes with the postings, as a list that several tasks hold has one hub in all of them.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carried = [np.zeros(0, np.int64)] * len(_POSTING)  # hub and last row of the list that may go on
+        names = [*_POSTING, *_HUB]
+        carried = [np.zeros(0, np.int64)] * len(names)  # the last row of the list that may go on
         for batch in batches:
             if not batch.num_rows:
                 continue
-            columns = [np.concatenate((c, batch.column(n).to_numpy())).astype(np.int64) for c, n in zip(carried, _POSTING, strict=True)]
-            token, name, size, place, component = columns
-            opens = np.concatenate(([True], token[1:] != token[:-1]))
-            starts = np.flatnonzero(opens)
-            order = np.argsort(place, kind="stable")
-            first = np.full(len(starts), len(token))
-            of = np.cumsum(opens) - 1
-            np.minimum.at(first, of[order], np.arange(len(order)))
-            hub = order[first]
-            rows = np.arange(len(token))
-            i = np.concatenate((rows[~opens], rows))
-            j = np.concatenate((rows[~opens] - 1, hub[of]))
-            good = (component[i] != component[j]) & _may_link(percent, size[i], place[i], size[j], place[j])
-            pairs = np.unique(np.stack((np.minimum(name[i], name[j])[good], np.maximum(name[i], name[j])[good])), axis=1)
+            columns = [np.concatenate((c, batch.column(n).to_numpy())).astype(np.int64) for c, n in zip(carried, names, strict=True)]
+            token, own, hub = columns[0], columns[1 : len(_POSTING)], columns[len(_POSTING) :]
+            next_to = np.flatnonzero(token[1:] == token[:-1])
+            name, size, place, component = (np.concatenate((c[next_to + 1], c)) for c in own)
+            name_2, size_2, place_2, component_2 = (np.concatenate((c[next_to], h)) for c, h in zip(own, hub, strict=True))
+            good = (component != component_2) & _may_link(percent, size, place, size_2, place_2)
+            pairs = np.unique(np.stack((np.minimum(name, name_2)[good], np.maximum(name, name_2)[good])), axis=1)
             yield pa.RecordBatch.from_arrays([pa.array(pairs[0]), pa.array(pairs[1])], ["a", "b"])
-            carried = [c[np.unique([hub[-1], len(token) - 1])] for c in columns]
+            carried = [c[-1:] for c in columns]
 
     return run
 
@@ -355,16 +355,16 @@ def _in_order(postings: DataFrame, seed: int) -> DataFrame:
     """The postings of each n-gram in order of size and a seeded hash; a very common one spreads over tasks."""
     spread = F.xxhash64(F.lit(seed), "token", "class")
     ordered = postings.repartitionByRange("token", "size", spread).sortWithinPartitions("token", "size", spread)
-    return ordered.select(*[c for c in _POSTING if c in postings.columns])
+    return ordered.select(*[c for c in (*_POSTING, *_HUB) if c in postings.columns])
 
 
 def _mixed(shared: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """The postings of lists that hold several components, with their component."""
+    """The postings of lists that hold several components, with their component and the list's hub."""
     listed = shared.select("token", "class", "size", "place").join(found, "class", "left").withColumn("component", F.coalesce("component", "class"))
     # Only a smaller set's first n-grams can be the first in common, so a list needs one such posting.
     early = (F.col("size") - F.col("place")) * (100 + percent) >= F.col("size") * 2 * percent
-    mixed = listed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(early).alias("early")).where("low < high and early")
-    return durable(listed.join(mixed.select("token"), "token", "left_semi"))
+    held = listed.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.max(early).alias("early"), *_hub())
+    return durable(listed.join(held.where("low < high and early").select("token", *_HUB), "token"))
 
 
 def _across(listed: DataFrame, percent: int) -> DataFrame:
@@ -405,6 +405,7 @@ def _components(postings: DataFrame, classes: DataFrame, docs: DataFrame, like:
     nothing = docs.sparkSession.createDataFrame([], "a long, b long")
     tried, links, found = nothing, nothing, _named(nothing)
     listed = shared.where(F.pmod(F.xxhash64("token"), F.lit(_FIRST_SHARE)) == 0).withColumn("component", F.col("class"))
+    listed = listed.join(listed.groupBy("token").agg(*_hub()), "token")
     for k in range(1, _ROUNDS + 1):
         near = _in_order(listed, k).mapInArrow(_met(like.percent), "a long, b long").distinct()
         checked, more = _linked(near.join(tried, ["a", "b"], "left_anti"), classes, docs, like)

@@ -765,6 +765,35 @@ def test_jaccard_reads_short_lists_once(spark, monkeypatch):
     assert again and max(again) <= 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))  # only the first and last list of a task
 
 
+def test_jaccard_pairs_of_a_group_that_many_tasks_hold(spark, monkeypatch):
+    """Copies that link with one text and hardly with each other: pairs grow with the rows, also where tasks share a list."""
+    rng = random.Random(8)
+    base = [f"b{k}" for k in range(80)]
+    rows = [(0, " ".join(base))]
+    for k in range(1, 450):
+        at = rng.randrange(5, 75)
+        rows.append((k, " ".join([*base[:at], f"own{rng.random()}", *base[at + 1 :]])))
+    compared, linked = [], jaccard._linked
+
+    def seen(pairs, *args):
+        compared.append(pairs.count())
+        return linked(pairs, *args)
+
+    monkeypatch.setattr(jaccard, "_linked", seen)
+    settings = {"spark.sql.shuffle.partitions": "24", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = {tuple(r) for r in jaccard.near_duplicates(frame(spark, [(i, t, "s") for i, t in rows]), like=jaccard.Similarity(4, 85)).collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute_components(rows, 4, 85)
+    assert {c for _, _, c in got} == {0}
+    assert sum(compared) <= 6 * len(rows)
+
+
 @pytest.mark.parametrize("step", [1, 2, 7, 1000])
 def test_jaccard_lists(step):
     """Long lists and a task's first and last one stay; short ones become all their pairs, however batches cut them."""
