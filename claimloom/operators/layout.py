@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from claimloom import fixed_values as fixed
 from claimloom.functions.assemble import CELL_CHARS, FAILED, OVERSIZED, WHOLE, assemble, joined_parts, split_by_size, without_text
 from claimloom.functions.text import strip
+from claimloom.session import durable
 
 
 def zones(table_boxes: DataFrame, page_sizes: DataFrame) -> DataFrame:
@@ -151,5 +152,7 @@ def extracted(
     ``page_counts(doc_id, num_pages)`` names the documents that could be opened; the others, and
     those with little text, get their recognised pages ``(doc_id, page, text)``.
     """
-    primary = documents(page_texts(elements, zone_table, max_chars), page_counts, max_chars=max_chars)
+    # Sizes, oversized documents and texts would each assemble the pages again; written down, the first two read lengths only.
+    pages = durable(page_texts(elements, zone_table, max_chars))
+    primary = documents(pages, page_counts, max_chars=max_chars)
     return with_fallback(primary, documents(recognised_pages, ocr=True, max_chars=max_chars))

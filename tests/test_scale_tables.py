@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from claimloom.functions import numbering
-from claimloom.operators import tables
+from claimloom.operators import layout, tables
 from claimloom.queries import fixtures as fx
 from claimloom.queries import layout as layout_queries
 
@@ -55,3 +55,29 @@ def test_workbooks_rank_their_rows_once(spark):
     books = tables.workbook_texts(tables.sheet_texts(spark.createDataFrame(rows, kinds).mapInArrow(told, kinds))).collect()
     assert ranked.value == 300
     assert {r.file: (r.text.count("=== Sheet: "), r.text.count("[NOTE: ")) for r in books} == {"b0": (2, 0), "b1": (2, 0), "b2": (2, 0)}
+
+
+def _counted(df, count):
+    """``df`` through a task that adds its rows to an accumulator, each time they are made."""
+
+    def told(batches):
+        for batch in batches:
+            count.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(told, df.schema)
+
+
+
+def test_pages_are_assembled_once(spark):
+    """Elements are read for sizes and texts of pages, and not again for sizes and texts of documents."""
+    rows = [(d, p, s, "char", 10.0, 100.0, f"t{d}{p}{s}" * 9) for d in range(9) for p in range(3) for s in range(4)]
+    elements = spark.createDataFrame(rows, "doc_id bigint, page int, seq int, object_type string, x0 double, top double, text string")
+    zones = spark.createDataFrame([(1, 1, 0.0, 0.0, 50.0, 150.0)], "doc_id bigint, page int, x0 double, top double, x1 double, bottom double")
+    counts = spark.createDataFrame([(d, 3) for d in range(9)], "doc_id bigint, num_pages bigint")
+    seen = spark.createDataFrame([(20, 1, "seen")], "doc_id bigint, page int, text string")
+    made = spark.sparkContext.accumulator(0)
+    got = {r.doc_id: r.raw_text for r in layout.extracted(_counted(elements, made), zones, counts, seen).collect()}
+    assert made.value <= 3 * len(rows)
+    assert set(got) == {*range(9), 20} and got[20].endswith("seen")
+    assert "--- Page 1 ---" not in got[1] and got[0].count("t0") == 3 * 4 * 9
