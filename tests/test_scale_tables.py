@@ -1,10 +1,13 @@
 """Cells and lines of tables: one window, one move of the rows."""
 
+import pathlib
+
 from pyspark.sql import functions as F
 
 from claimloom.functions import numbering
 from claimloom.operators import layout, tables
 from claimloom.plans import batch
+from claimloom.queries import batches as batch_queries
 from claimloom.queries import fixtures as fx
 from claimloom.queries import layout as layout_queries
 from claimloom.sources import readers
@@ -129,3 +132,13 @@ def test_a_batch_makes_its_cells_once(spark, tmp_path):
     assert "\n".join(r.line for r in mails) == texts[1].cleaned_text
     files = [f.name for f in (tmp_path / "out").rglob("part-*")]
     assert any(f.endswith(".zstd.parquet") or f.endswith(".zst.parquet") for f in files) and not any("snappy" in f for f in files)
+
+
+def test_a_resumed_batch_needs_no_intermediate_tables(spark, sf_dir, monkeypatch):
+    """What the first stage kept for itself is deleted once it is written."""
+    kept = []
+    discard = batch.discard
+    monkeypatch.setattr(batch, "discard", lambda done: kept.extend(done.scratch) or discard(done))
+    rows = batch_queries.batch_of_given_predictions(spark, sf_dir)
+    assert kept and not [f for f in kept if pathlib.Path(f).exists()]
+    assert not rows.isEmpty()
